@@ -6,13 +6,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspan.llm import bpe as bpe_op
+from volspan.llm import decontaminate as leaks_op
+from volspan.llm import hosts as hosts_op
+from volspan.llm import importance as importance_op
+from volspan.llm import pii as pii_op
 from volspan.llm import quality_rules as quality_op
+from volspan.llm import secrets as secrets_op
+from volspan.llm import toxicity as toxicity_op
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def span_list(spans):
+    """kind:start:end of all spans, comma-joined, in the order of the array."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def base_digest(spans, kinds):
+    """SHA-256 of the base kinds' spans."""
+    return F.sha2(span_list(F.filter(spans, lambda s: s["kind"].isin(*kinds))), 256)
+
+
+def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_op.personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.col(f"pii.n_{k}").alias(f"n_{k}") for k in pii_op.ALL_KINDS]
+    return found.select("doc_id", *counts, base_digest(F.col("pii.spans"), pii_op.KINDS).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
+
+
+#: (host, path start, verdict)
+RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page outcomes are the quality labels of equal ids."""
+    judged = hosts_op.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+found AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut),
+known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, split_part(host, '.', -1) AS suffix,
+         CASE WHEN strpos(host, '.') > 0 THEN split_part(host, '.', -2) || '.' ELSE '' END || split_part(host, '.', -1) AS domain,
+         count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
+  FROM found LEFT JOIN known ON page_id = doc_id GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+g AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean, sum(n) AS n FROM s),
+level AS (SELECT 'h' AS l, n, k FROM h UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s),
+sums AS (SELECT l, sum(n) AS n, sum(k) AS k, count(*) AS g, sum(k * k / n) AS npp, sum(n * n) AS nn FROM level WHERE n > 0 GROUP BY l),
+var AS (
+  SELECT l, CASE WHEN g >= 2 AND n > g THEN (npp - k * k / n) / (g - 1) END AS b, CASE WHEN n > g THEN (k - npp) / (n - g) END AS w,
+         CASE WHEN g >= 2 THEN (n - nn / n) / (g - 1) END AS z FROM sums),
+rho AS (SELECT l, b IS NULL OR w IS NULL AS few, CASE WHEN b + (z - 1) * w > 0 THEN (b - w) / (b + (z - 1) * w) ELSE 0 END AS r FROM var),
+strength AS (SELECT l, CASE WHEN few THEN 2 WHEN r > 0 THEN least(1000, greatest(1, 1 / r - 1)) ELSE 1000 END AS s FROM rho),
+sm AS (SELECT suffix, (v.s * g.mean + s.k) / (v.s + s.n) AS m FROM s, g, strength v WHERE l = 's'),
+dm AS (SELECT domain, (v.s * m + k) / (v.s + n) AS m FROM d JOIN sm USING (suffix), strength v WHERE l = 'd'),
+post AS (SELECT host, v.s * m + k AS a, v.s * (1 - m) + n - k AS b FROM h JOIN dm USING (domain), strength v WHERE l = 'h'),
+bound AS (SELECT host, a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS u FROM post),
+judged AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM found JOIN bound USING (host))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN u < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_op.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_op.quality_rules(docs, keep=["doc_id"]).select("doc_id", "quality.*")
@@ -26,5 +103,35 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "bpe.*")
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op7_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id") != 2)
+    scored = toxicity_op.toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(remainder("doc_id") == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_op.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.col(f"secrets.n_{k}").alias(f"n_{k}") for k in (*secrets_op.KINDS, "guess")]
+    return found.select("doc_id", *counts, base_digest(F.col("secrets.spans"), secrets_op.KINDS).alias("base_sha256"), span_list(F.col("secrets.spans")).alias("spans"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks_op.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_semi_markov,
+        op3_host_reputation,
+        op5_importance_resampling,
+        op6_quality_rules,
+        op7_byte_bpe,
+        op8_toxicity,
+        op9_secrets,
+        op10_decontamination,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op3_host_reputation": OP3_SQL}

@@ -1,0 +1,213 @@
+"""Secret scans: fixed patterns, and guess costs of values in a credential context.
+
+Base kinds are found by pattern (leftmost, non-overlapping per kind; a match that
+fails its length test is dropped without a retry). The method then looks at every
+value that stands after a credential word and estimates how many guesses an
+attacker needs: the cheapest segmentation of the value into known words, dates,
+repeats, keyboard walks and brute-force spans, found by dynamic programming over
+its positions. Values that cost at least `min_log10_guesses` become `guess` spans.
+
+Defined results: null and empty texts have no spans; repeated rows get equal results;
+texts are scanned whole; values over `MOST_VALUE` characters are costed in
+consecutive pieces whose costs add up; other columns pass through.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Sequence
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from volspan.llm import wordhash
+from volspan.llm.arrowmap import append_struct
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+#: The same matches as `[0-9a-f]+` of 24 characters or more, without making the short ones.
+HEX = re.compile(r"[0-9a-f]{24,}")
+_HEX_BYTE = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
+#: A wider credential context than `assign`: more words, more separators, any value without white space.
+CONTEXT = re.compile(
+    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)["']?\s{0,3}(?::=|=>|[:=]|\bis\b)\s{0,3}["']?([^\s"'<>]{6,})"""
+)
+
+#: Common passwords and the words they are made of, most frequent first.
+WORDS = (
+    "password 123456 12345678 qwerty 12345 letmein dragon baseball football monkey abc123 mustang access shadow master "
+    "michael superman batman trustno1 iloveyou sunshine princess welcome admin login root user test guest default secret "
+    "changeme pass hello love summer winter spring autumn flower cheese computer internet server system database office "
+    "company security manager support service account money freedom whatever nothing ginger pepper purple orange yellow "
+    "silver golden black white green blue red happy lucky magic star angel devil ninja hunter killer soccer hockey tiger "
+    "eagle horse puppy kitty family mother father sister brother baby girl boy king queen prince lord lady sweet honey "
+    "cookie coffee water fire earth wind rain snow night light house home city world country english january february "
+    "march april june july august september october november december monday friday sunday token key value example "
+    "sample demo temp dummy placeholder none null true false string number your my the and"
+).split()
+KEYBOARD_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+LEET = str.maketrans("013457@$!", "oleastasi")
+MOST_VALUE = 256
+
+FOUND = StructType(
+    [StructField(f"n_{k}", LongType()) for k in (*KINDS, "guess")]
+    + [
+        StructField(
+            "spans",
+            ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])),
+        )
+    ]
+)
+
+
+def _neighbours() -> dict[str, set[str]]:
+    near: dict[str, set[str]] = {}
+    for y, row in enumerate(KEYBOARD_ROWS):
+        for x, c in enumerate(row):
+            around = [(y, x - 1), (y, x + 1), (y - 1, x), (y - 1, x + 1), (y + 1, x - 1), (y + 1, x)]
+            near[c] = {KEYBOARD_ROWS[j][i] for j, i in around if 0 <= j < len(KEYBOARD_ROWS) and 0 <= i < len(KEYBOARD_ROWS[j])}
+    return near
+
+
+NEAR = _neighbours()
+DATE = re.compile(r"(?a:(?:19|20)\d\d(?:[-/.]?(?:1[0-2]|0?[1-9])(?:[-/.]?(?:[12]\d|3[01]|0?[1-9]))?)?|(?:[12]\d|3[01]|0?[1-9])[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:19|20)\d\d)")
+
+
+def brute_log10(value: str) -> float:
+    """log10 of the guesses that try every string of the alphabet of `value`."""
+    if re.fullmatch(r"(?a:\d+)", value):
+        alphabet = 10
+    elif re.fullmatch(r"[0-9a-f]+", value):
+        alphabet = 16
+    else:
+        alphabet = 26 * bool(re.search(r"[a-z]", value)) + 26 * bool(re.search(r"[A-Z]", value)) + 10 * bool(re.search(r"(?a:\d)", value)) + 33 * bool(re.search(r"[^A-Za-z0-9]", value))
+    return len(value) * math.log10(alphabet)
+
+
+@lru_cache(maxsize=4)
+def word_ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
+    ranks: dict[str, float] = {}
+    for i, w in enumerate(words):
+        ranks.setdefault(w, math.log10(i + 2))
+    return ranks, max(map(len, ranks), default=0)
+
+
+def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
+    """log10 of the guesses of the cheapest segmentation of `value`.
+
+    best[j] is the least cost of value[:j]. Every segment but the first costs the
+    attacker a factor of two more for not knowing where it begins.
+    """
+    if len(value) > MOST_VALUE:
+        return sum(guess_log10(value[i : i + MOST_VALUE], words) for i in range(0, len(value), MOST_VALUE))
+    ranks, longest = word_ranks(words)
+    n, low = len(value), value.lower()
+    plain = low.translate(LEET)
+    per_char = brute_log10(value) / n if n else 0.0
+    best = [0.0] + [math.inf] * n
+    dates = {m.start(): m.end() for i in range(n) if (m := DATE.match(value, i)) and m.start() == i}
+    # walk[j]: start of the keyboard walk or alphabetic run that ends at j; same[j]: of the repeat
+    for i in range(n):
+        if best[i] == math.inf:
+            continue
+        base = best[i] + (0.3 if i else 0.0)
+        # brute force, one character at a time: a longer span is a chain of these without a new boundary
+        if (cost := best[i] + per_char) < best[i + 1]:
+            best[i + 1] = cost
+        for j in range(i + 2, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j])
+            extra = 0.0
+            if rank is None and (rank := ranks.get(plain[i:j])) is not None:
+                extra = 0.6
+            if rank is not None:
+                shape = 0.0 if value[i:j].islower() or value[i:j].isdigit() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.9
+                best[j] = min(best[j], base + rank + extra + shape)
+        if i in dates:
+            best[dates[i]] = min(best[dates[i]], base + math.log10(36_500))
+        j = i + 1
+        while j < n and low[j] in NEAR.get(low[j - 1], ()):
+            j += 1
+            if j - i >= 3:
+                best[j] = min(best[j], base + math.log10(47 * 2) + 0.25 * (j - i))
+        j = i + 1
+        step = ord(low[i + 1]) - ord(low[i]) if i + 1 < n else 0
+        while step in (1, -1) and j < n and ord(low[j]) - ord(low[j - 1]) == step:
+            j += 1
+            if j - i >= 3:
+                best[j] = min(best[j], base + math.log10(8 * (j - i)))
+        for unit in range(1, min(8, (n - i) // 2) + 1):
+            j = i + unit
+            while j + unit <= n and value[j : j + unit] == value[i : i + unit]:
+                j += unit
+                if j - i >= 3:
+                    best[j] = min(best[j], base + unit * per_char + math.log10((j - i) // unit))
+    return best[n]
+
+
+#: One of these (in either case) is in every text with a match of ASSIGN or CONTEXT.
+MARKS = (b"pass", b"secret", b"token", b"key", b"pwd", b"credential", b"auth")
+
+
+def marked(text: str) -> bool:
+    low = text.encode().lower()
+    return any(m in low for m in MARKS)
+
+
+def long_hex(texts: pa.Array, least: int = 24) -> np.ndarray:
+    """Which texts have a run of `least` characters of 0-9a-f."""
+    raw, at = wordhash.text_bytes(texts)
+    starts, ends = wordhash.word_spans(raw, at, _HEX_BYTE[raw])
+    out = np.zeros(len(texts), bool)
+    out[np.searchsorted(at, starts[ends - starts >= least], side="right") - 1] = True
+    return out
+
+
+def base_spans(text: str, may_assign: bool = True, may_hex: bool = True) -> dict[str, list[tuple[int, int]]]:
+    """Start and end of the matches of each base kind, in code points."""
+    return {
+        "assign": [m.span() for m in ASSIGN.finditer(text) if len(m[1]) >= 6] if may_assign else [],
+        "access": [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 20] if "AKIA" in text else [],
+        "hex": [m.span() for m in HEX.finditer(text)] if may_hex else [],
+    }
+
+
+def guess_spans(text: str, min_log10_guesses: float, words: tuple[str, ...]) -> list[tuple[int, int]]:
+    found = []
+    for m in CONTEXT.finditer(text):
+        start, end = m.span(1)
+        while end > start and text[end - 1] in ".,;:!?)]}*#%&$|":
+            end -= 1
+        if end - start >= 6 and guess_log10(text[start:end], words) >= min_log10_guesses:
+            found.append((start, end))
+    return found
+
+
+def secret_spans(
+    df: DataFrame,
+    text_col: str = "text",
+    out: str = "secrets",
+    keep: Sequence[str] | None = None,
+    min_log10_guesses: float = 9.0,
+    words: Sequence[str] = tuple(WORDS),
+) -> DataFrame:
+    """Append a struct with the number of spans of each kind and all spans, by start, then kind as listed."""
+    words = tuple(words)
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        counts: list[list[int]] = []
+        spans: list[list[dict]] = []
+        for text, may_hex in zip(texts.to_pylist(), long_hex(texts).tolist(), strict=True):
+            may_assign = marked(text or "")
+            found = base_spans(text or "", may_assign, may_hex)
+            found["guess"] = guess_spans(text or "", min_log10_guesses, words) if may_assign else []
+            counts.append([len(found[k]) for k in (*KINDS, "guess")])
+            order = sorted((s, k, e) for k, kind in enumerate((*KINDS, "guess")) for s, e in found[kind])
+            spans.append([{"kind": (*KINDS, "guess")[k], "start": s, "end": e} for s, k, e in order])
+        return [*([c[i] for c in counts] for i in range(4)), spans]
+
+    return append_struct(df, text_col, out, FOUND, run, keep)
