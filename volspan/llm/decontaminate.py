@@ -9,8 +9,8 @@ positions in a row hold at most `max_substitutions` different tokens.
 
 The benchmark side is broadcast in blocks of at most `block_windows` hashed windows,
 so its broadcast size is bounded whatever the benchmark's size; a larger benchmark
-takes one pass over the documents per block. Documents are neither shuffled nor
-repeated: windows, hits and the comparison run in the stage that scans them.
+takes one pass over the documents per block. Only hits, one row per document, item and
+shift, leave the stage that scans the documents; they meet the texts again by key.
 
 Defined results: null and empty texts match nothing; items or documents shorter than
 the masks' span (11 tokens) have no window and match nothing; items shorter than
@@ -20,6 +20,7 @@ get their rows; rows with a null id are judged like others.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,29 +76,34 @@ def overlaps(
     keys = [quoted(k) for k in key_cols]
     windows = benchmark_windows(bench, item_col, item_text_col, masks)
     blocks = max(1, -(-windows.count() // block_windows))
-    found = None
+    words = docs.select(*keys, tokens(F.col(quoted(text_col))).alias("words"))
+    # outer explodes: an inner one would have Spark test, and so compute, its array twice
+    placed = words.select(*keys, "words", F.explode_outer(F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span))).alias("at"))
+    seeded = placed.select(*keys, "at", F.explode_outer(seed_hashes(F.col("words"), F.col("at"), masks)).alias("seed"))
+    hits = None
     for b in range(blocks):
-        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b)
-        words = docs.select(*keys, tokens(F.col(quoted(text_col))).alias("words")).where(F.size("words") >= span)
-        placed = words.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("at"))
-        seeded = placed.select(*keys, "words", "at", F.explode(seed_hashes(F.col("words"), F.col("at"), masks)).alias("seed"))
-        hits = seeded.join(F.broadcast(part), "seed")
-        # side by side: document token `shift + j` and item token `j`
-        shift = F.col("at") - F.col("item_at")
-        first = F.greatest(F.lit(0), -shift)
-        size = F.least(F.size("item_words"), F.size("words") - shift) - first
-        laid = hits.select(
-            *keys,
-            F.col("item").alias(item_col),
-            F.zip_with(F.slice("words", shift + first + 1, size), F.slice("item_words", first + 1, size), lambda a, b: (a == b).cast("int")).alias("same"),
-            F.least(F.size("item_words"), F.lit(min_tokens)).alias("need"),
-        )
-        runs = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("need")), lambda j: F.aggregate(F.slice("same", j + 1, F.col("need")), F.lit(0), lambda a, x: a + x))
-        good = laid.where(F.size("same") >= F.col("need")).where(F.array_max(runs) >= F.col("need") - max_substitutions)
-        rows = good.select(*keys, quoted(item_col), F.size("same").cast("long").alias("n_aligned"), F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("n_equal"))
-        found = rows if found is None else found.unionByName(rows)
+        part = windows.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b) if blocks > 1 else windows
+        found = seeded.join(F.broadcast(part.select("seed", "item", "item_at")), "seed").select(*keys, "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.distinct()
+    # side by side: document token `shift + j` and item token `j`
+    same_key = functools.reduce(lambda x, y: x & y, [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
+    both = hits.alias("h").join(docs.select(*keys, F.col(quoted(text_col)).alias("doc text")).alias("d"), same_key)
+    items = bench.select(F.col(quoted(item_col)).alias("item"), F.col(quoted(item_text_col)).alias("item text"))
+    both = both.join(items, F.col("h.item").eqNullSafe(items["item"])).select(*[F.col(f"h.{k}").alias(name) for k, name in zip(keys, key_cols, strict=True)], F.col("h.item").alias("item"), "shift", tokens(F.col("doc text")).alias("words"), tokens(F.col("item text")).alias("item_words"))
+    first = F.greatest(F.lit(0), -F.col("shift"))
+    size = F.greatest(F.lit(0), F.least(F.size("item_words"), F.size("words") - F.col("shift")) - first)
+    laid = both.select(
+        *keys,
+        F.col("item").alias(item_col),
+        F.zip_with(F.slice("words", F.col("shift") + first + 1, size), F.slice("item_words", first + 1, size), lambda x, y: (x == y).cast("int")).alias("same"),
+        F.least(F.size("item_words"), F.lit(min_tokens)).alias("need"),
+    )
+    runs = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("need")), lambda j: F.aggregate(F.slice("same", j + 1, F.col("need")), F.lit(0), lambda x, y: x + y))
+    held = F.when(F.size("same") >= F.col("need"), F.array_max(runs) >= F.col("need") - max_substitutions).otherwise(False)
+    good = laid.where(held).select(*keys, quoted(item_col), F.size("same").cast("long").alias("n_aligned"), F.aggregate("same", F.lit(0), lambda x, y: x + y).cast("long").alias("n_equal"))
     best = F.max(F.struct("n_equal", "n_aligned"))
-    return found.groupBy(*keys, quoted(item_col)).agg(best.alias("best")).select(*keys, quoted(item_col), "best.n_aligned", "best.n_equal")
+    return good.groupBy(*keys, quoted(item_col)).agg(best.alias("best")).select(*keys, quoted(item_col), "best.n_aligned", "best.n_equal")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
