@@ -9,6 +9,7 @@ from volspan.llm import bpe as bpe_op
 from volspan.llm import decontaminate as leaks_op
 from volspan.llm import hosts as hosts_op
 from volspan.llm import importance as importance_op
+from volspan.llm import jaccard_join as jaccard_op
 from volspan.llm import pii as pii_op
 from volspan.llm import quality_rules as quality_op
 from volspan.llm import secrets as secrets_op
@@ -86,6 +87,30 @@ FROM judged
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_op.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' '))) END AS shingles
+  FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS h FROM s),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+           FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common WHERE 100 * c >= 85 * (nx + ny - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM r JOIN both_ways l ON r.b = l.x)
+  SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id FROM s JOIN reach ON doc_id = a
+"""
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_op.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -126,6 +151,7 @@ QUERIES = {
     for f in (
         op1_pii_semi_markov,
         op3_host_reputation,
+        op4_jaccard_join,
         op5_importance_resampling,
         op6_quality_rules,
         op7_byte_bpe,
@@ -134,4 +160,4 @@ QUERIES = {
         op10_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_host_reputation": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_host_reputation": OP3_SQL, "op4_jaccard_join": OP4_SQL}
