@@ -1,11 +1,20 @@
-"""The corpus pipeline: documents through five stages, each a job that is written and read again."""
+"""The corpus pipeline: documents through five stages, each a job that is written and read again.
+
+Every stage but the last returns the columns of documents. Rows without an id stay
+with the others; of rows that are equal in every column, near-duplicate removal keeps
+one. An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volspan.llm import bpe as bpe_op
+from volspan.llm import decontaminate as leaks_op
+from volspan.llm import jaccard_join as jaccard_op
 from volspan.llm import quality_rules as quality_op
+from volspan.llm import secrets as secrets_op
 from volspan.llm.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,9 +26,48 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(F.col("`quality verdict`.kept")).select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays."""
+    groups = stored(jaccard_op.jaccard_components(docs, k=5, percent=80), "near_duplicates")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().withColumnRenamed("doc_id", "kept id")
+    same = docs["doc_id"].eqNullSafe(F.col("kept id"))
+    once = docs.join(kept.where("count = 1"), same, "left_semi")
+    again = docs.join(kept.where("count > 1"), same, "left_semi").dropDuplicates()
+    return once.select(*COLUMNS).unionByName(again.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return leaks_op.decontaminate(docs, bench).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced, and `n_chars` follows."""
+    clean = secrets_op.redact_secrets(docs, out="redacted text", keep=COLUMNS)
+    changed = F.col("`redacted text`.n_spans") > 0
+    text = F.col("`redacted text`.text")
+    n_chars = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return clean.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    import public_tokenizers
+
+    coded = bpe_op.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out="coded", keep=["doc_id", "lang", "source"])
+    return coded.select("doc_id", "lang", "source", "coded.*")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("byte-level BPE", tokens),
+]
 
-#: zstandard ratios, among others, have no SQL.
+#: Compression ratios, spaced seeds and guess costs have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from volspan.llm.arrowmap import append_struct
 
@@ -193,12 +193,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
 
-ENCODED = StructType([StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+ENCODED = StructType([StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
 DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "bpe", keep: Sequence[str] | None = None, digests: bool = False) -> DataFrame:
-    """Append a struct with the ids of each text and the bytes that they decode to.
+    """Append a struct with the ids of each text, and whether they decode to its bytes.
 
     With `digests`, the struct holds the token count and the SHA-256 of the ids (as
     little-endian unsigned 32-bit integers) and of the decoded bytes, made where the
@@ -207,13 +207,32 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     def run(texts: pa.Array) -> list[pa.Array]:
         tool = encoder(path, pattern)
-        ids = tool.encode([t or "" for t in texts.to_pylist()])
+        plain = [t or "" for t in texts.to_pylist()]
+        ids = tool.encode(plain)
         counts = pa.array([len(x) // 4 for x in ids], pa.int64())
         if digests:
             sha = lambda x: hashlib.sha256(x).hexdigest()
             return [counts, pa.array([sha(x) for x in ids]), pa.array([sha(tool.decode(x)) for x in ids])]
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
         flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-        return [counts, pa.ListArray.from_arrays(pa.array(offsets), flat).cast(pa.list_(pa.int32())), pa.array([tool.decode(x) for x in ids], pa.binary())]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
+        return [counts, lists, pa.array([tool.decode(x) == t.encode() for x, t in zip(ids, plain, strict=True)])]
 
     return append_struct(df, text_col, out, DIGESTS if digests else ENCODED, run, keep)
+
+
+def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str, out: str = "decoded") -> DataFrame:
+    """Append the bytes that an array of token ids stands for; null and empty arrays give no bytes.
+
+    An id outside the vocabulary raises an error.
+    """
+    schema = StructType([*df.schema.fields, StructField(out, BinaryType())])
+
+    def run(batches):
+        tool = encoder(path, pattern)
+        for batch in batches:
+            column = batch.column(batch.schema.names.index(ids_col)).to_pylist()
+            made = pa.array([b"".join(tool.tokens[i] for i in ids or ()) for ids in column], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)

@@ -14,6 +14,8 @@ from volspan.llm import pii as pii_op
 from volspan.llm import quality_rules as quality_op
 from volspan.llm import secrets as secrets_op
 from volspan.llm import toxicity as toxicity_op
+from volspan.llm import warc as warc_op
+from volspan.llm.shared import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,13 @@ def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base_digest(F.col("pii.spans"), pii_op.KINDS).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
 
 
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    manifest = warc_op.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc_op.read_archives(spark, manifest, path, with_payload=False)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 #: (host, path start, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -138,7 +147,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_op.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    counts = [F.col(f"secrets.n_{k}").alias(f"n_{k}") for k in (*secrets_op.KINDS, "guess")]
+    counts = [F.col(f"secrets.n_{k}").alias(f"n_{k}") for k in secrets_op.ALL_KINDS]
     return found.select("doc_id", *counts, base_digest(F.col("secrets.spans"), secrets_op.KINDS).alias("base_sha256"), span_list(F.col("secrets.spans")).alias("spans"))
 
 
@@ -150,6 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_semi_markov,
+        op2_warc_dictionary,
         op3_host_reputation,
         op4_jaccard_join,
         op5_importance_resampling,

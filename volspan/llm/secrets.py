@@ -28,6 +28,7 @@ from volspan.llm import wordhash
 from volspan.llm.arrowmap import append_struct
 
 KINDS = ("assign", "access", "hex")
+ALL_KINDS = (*KINDS, "guess")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The same matches as `[0-9a-f]+` of 24 characters or more, without making the short ones.
@@ -55,7 +56,7 @@ LEET = str.maketrans("013457@$!", "oleastasi")
 MOST_VALUE = 256
 
 FOUND = StructType(
-    [StructField(f"n_{k}", LongType()) for k in (*KINDS, "guess")]
+    [StructField(f"n_{k}", LongType()) for k in ALL_KINDS]
     + [
         StructField(
             "spans",
@@ -187,6 +188,17 @@ def guess_spans(text: str, min_log10_guesses: float, words: tuple[str, ...]) ->
     return found
 
 
+def all_spans(texts: pa.Array, min_log10_guesses: float, words: tuple[str, ...]) -> list[list[tuple[int, int, int]]]:
+    """For each text its spans (start, kind, end), by start, then kind as listed."""
+    out = []
+    for text, may_hex in zip(texts.to_pylist(), long_hex(texts).tolist(), strict=True):
+        may_assign = marked(text or "")
+        found = base_spans(text or "", may_assign, may_hex)
+        found["guess"] = guess_spans(text or "", min_log10_guesses, words) if may_assign else []
+        out.append(sorted((s, k, e) for k, kind in enumerate(ALL_KINDS) for s, e in found[kind]))
+    return out
+
+
 def secret_spans(
     df: DataFrame,
     text_col: str = "text",
@@ -199,15 +211,43 @@ def secret_spans(
     words = tuple(words)
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        counts: list[list[int]] = []
-        spans: list[list[dict]] = []
-        for text, may_hex in zip(texts.to_pylist(), long_hex(texts).tolist(), strict=True):
-            may_assign = marked(text or "")
-            found = base_spans(text or "", may_assign, may_hex)
-            found["guess"] = guess_spans(text or "", min_log10_guesses, words) if may_assign else []
-            counts.append([len(found[k]) for k in (*KINDS, "guess")])
-            order = sorted((s, k, e) for k, kind in enumerate((*KINDS, "guess")) for s, e in found[kind])
-            spans.append([{"kind": (*KINDS, "guess")[k], "start": s, "end": e} for s, k, e in order])
-        return [*([c[i] for c in counts] for i in range(4)), spans]
+        found = all_spans(texts, min_log10_guesses, words)
+        counts = ([sum(k == kind for _, k, _ in spans) for spans in found] for kind in range(len(ALL_KINDS)))
+        return [*counts, [[{"kind": ALL_KINDS[k], "start": s, "end": e} for s, k, e in spans] for spans in found]]
 
     return append_struct(df, text_col, out, FOUND, run, keep)
+
+
+REDACTED = StructType([StructField("text", StringType()), StructField("n_spans", LongType())])
+
+
+def redact_secrets(
+    df: DataFrame,
+    text_col: str = "text",
+    out: str = "redacted",
+    keep: Sequence[str] | None = None,
+    replacement: str = "[secret]",
+    min_log10_guesses: float = 9.0,
+    words: Sequence[str] = tuple(WORDS),
+) -> DataFrame:
+    """Append a struct with the text whose spans (overlapping ones together) are replaced, and their number.
+
+    A null text stays null.
+    """
+    words = tuple(words)
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        clean, counts = [], []
+        for text, spans in zip(texts.to_pylist(), all_spans(texts, min_log10_guesses, words), strict=True):
+            counts.append(len(spans))
+            if spans:
+                parts, at = [], 0
+                for s, _, e in spans:
+                    if s >= at:
+                        parts += [text[at:s], replacement]
+                    at = max(at, e)
+                text = "".join(parts) + text[at:]
+            clean.append(text)
+        return [pa.array(clean, pa.string()), counts]
+
+    return append_struct(df, text_col, out, REDACTED, run, keep)
