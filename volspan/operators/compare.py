@@ -177,20 +177,20 @@ def gr_path(diff: DataFrame, keys: Sequence[str], share: float = 0.3, lags: int
     x = numbered(diff, keys).withColumn("base", F.avg("d").over(whole)).withColumn("e", F.col("d") - F.col("base"))
     x = x.withColumn("m", F.greatest(F.floor(F.col("T") * share), F.lit(least)).cast("long"))
     # running sums of e, of e squared and of products k rows apart
-    x = x.withColumns({"s": F.sum("e").over(run), "q_0": F.sum(F.col("e") * F.col("e")).over(run)})
+    x = x.withColumns({"cum_e": F.sum("e").over(run), "q_0": F.sum(F.col("e") * F.col("e")).over(run)})
     x = x.withColumns({f"q_{k}": F.sum(F.coalesce(F.col("e") * F.lag("e", k).over(w), F.lit(0.0))).over(run) for k in ks})
     # sums up to k rows before; the same k rows later; and up to row k - 1, for the first window
-    x = x.withColumns({f"early_{k}": F.coalesce(F.lag("s", k).over(w), F.lit(0.0)) for k in ks})
-    x = x.withColumns({f"f_{k}": F.lead("s", k).over(w) for k in ks} | {f"h_{k}": F.lead(f"q_{k}", k).over(w) for k in ks})
-    x = x.withColumns({f"head_{k}": F.max(F.when(F.col("pos") == k - 1, F.col("s"))).over(whole) for k in ks})
-    back = x.select(*keys, (F.col("pos") + F.col("m")).alias("pos"), F.col("s").alias("b_s"), F.col("q_0").alias("b_q_0"), *[F.col(f"{n}_{k}").alias(f"b_{n}_{k}") for n in "fh" for k in ks])
+    x = x.withColumns({f"early_{k}": F.coalesce(F.lag("cum_e", k).over(w), F.lit(0.0)) for k in ks})
+    x = x.withColumns({f"f_{k}": F.lead("cum_e", k).over(w) for k in ks} | {f"h_{k}": F.lead(f"q_{k}", k).over(w) for k in ks})
+    x = x.withColumns({f"head_{k}": F.max(F.when(F.col("pos") == k - 1, F.col("cum_e"))).over(whole) for k in ks})
+    back = x.select(*keys, (F.col("pos") + F.col("m")).alias("pos"), F.col("cum_e").alias("b_s"), F.col("q_0").alias("b_q_0"), *[F.col(f"{n}_{k}").alias(f"b_{n}_{k}") for n in "fh" for k in ks])
     y = x.where(F.col("pos") >= F.col("m") - 1).join(back, [*keys, "pos"], "left").na.fill(0.0, ["b_s", "b_q_0", *[f"b_h_{k}" for k in ks]])
     m = F.col("m")
-    mean = (F.col("s") - F.col("b_s")) / m
+    mean = (F.col("cum_e") - F.col("b_s")) / m
     variance = (F.col("q_0") - F.col("b_q_0")) / m - mean * mean
     for k in ks:
         inside = F.col(f"q_{k}") - F.col(f"b_h_{k}")
-        late = F.col("s") - F.coalesce(f"b_f_{k}", f"head_{k}")
+        late = F.col("cum_e") - F.coalesce(f"b_f_{k}", f"head_{k}")
         early = F.col(f"early_{k}") - F.col("b_s")
         gamma = (inside - mean * (late + early) + (m - k) * mean * mean) / (m - k)
         variance = variance + 2 * (1 - k / (lags + 1.0)) * gamma
