@@ -14,7 +14,7 @@ from volspan.llm import bpe as bpe_op
 from volspan.llm import decontaminate as leaks_op
 from volspan.llm import jaccard_join as jaccard_op
 from volspan.llm import quality_rules as quality_op
-from volspan.llm import secrets as secrets_op
+from volspan.llm import secret_scan as secrets_op
 from volspan.llm.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

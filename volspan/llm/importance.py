@@ -121,7 +121,7 @@ def importance_resample(
     text_col: str = "text",
     label_id: str = "doc_id",
     good_col: str = "quality",
-    keep_share: float = 0.85,
+    keep_share: float = 0.88,
     scale: float = 40.0,
     buckets: int = BUCKETS,
     target_rows: int = TARGET_ROWS,

@@ -47,8 +47,10 @@ FREQUENT = 200_000
 COUNT_CHUNK, COUNT_LEAST = 4_000_000, 4
 SHORT = 32
 BLOCK = 64
-#: Parity bitmap of a set: 64-bit words.
-BITMAP_WORDS = 16
+#: 64-bit words of the parity bitmap of a set of at most so many shingles.
+BITMAPS = ((1_500, 16), (6_000, 64), (24_000, 256), (None, 1024))
+#: Classes in groups up to which their ids are broadcast to the scan of the texts.
+BROADCAST_CLASSES = 1_000_000
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -94,8 +96,9 @@ def frequent_shingles(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray,
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of the bits."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+    """Parity of the number of shingles in each of the bits; their number grows with the set."""
+    bits = 64 * next(words for most, words in BITMAPS if most is None or len(s) <= most)
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -198,7 +201,7 @@ def candidate_graph(classes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    near = both.where(apart.cast("long") * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))
+    near = both.where((F.size("bits_u") != F.size("bits_v")) | (apart.cast("long") * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent)))
     return near.select("u", "v").unionByName(stars)
 
 
@@ -280,7 +283,8 @@ def block_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, id_col:
     placed = stored(groups.join(classes.select(F.col("class").alias("node"), "rep"), "node"), "groups")
     # the texts of the groups' classes; a row counts only if its own set has the class
     text = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    texts = text.join(placed, F.col("id").eqNullSafe(F.col("rep"))).select("node", "component", "text")
+    few = placed.count() <= BROADCAST_CLASSES
+    texts = text.join(F.broadcast(placed) if few else placed, F.col("id").eqNullSafe(F.col("rep"))).select("node", "component", "text")
 
     def to_sets(batches):
         for batch in batches:

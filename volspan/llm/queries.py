@@ -12,7 +12,7 @@ from volspan.llm import importance as importance_op
 from volspan.llm import jaccard_join as jaccard_op
 from volspan.llm import pii as pii_op
 from volspan.llm import quality_rules as quality_op
-from volspan.llm import secrets as secrets_op
+from volspan.llm import secret_scan as secrets_op
 from volspan.llm import toxicity as toxicity_op
 from volspan.llm import warc as warc_op
 from volspan.llm.shared import new_path

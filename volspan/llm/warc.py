@@ -99,7 +99,7 @@ class Archive:
     """An archive being written: the first records wait until the dictionary is made of them."""
 
     def __init__(self, store: fs.FileSystem, path: str):
-        self.path, self.sink = path, store.open_output_stream(path)
+        self.path, self.sink = path, store.open_output_stream(path, compression=None)
         self.waiting: list[bytes] | None = []
         self.waiting_bytes = self.bytes = self.records = self.dictionary_bytes = 0
         self.press = zstandard.ZstdCompressor(level=LEVEL)
@@ -223,7 +223,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, path: str, with_payl
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(archive) as source:
+                with store.open_input_stream(archive, compression=None) as source:
                     for raw in frames(source):
                         fields, http, payload = parse(raw)
                         kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
