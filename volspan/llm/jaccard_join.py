@@ -7,9 +7,10 @@
    puts shingles that are frequent in the corpus last (a bounded list of the most
    frequent, from counts over all documents), then goes by hash. Any order is exact; a
    good one keeps the inverted lists short.
-3. Inverted lists of at most `SHORT` classes give pairs, which stay unless the sizes or
-   parity bitmaps of the two sets prove them too different. Longer lists give a star.
-   The components of this graph are groups outside which no link can lie.
+3. Two classes on one inverted list are candidates unless the sizes or the parity bitmaps
+   of their sets prove them too different. Lists of at most `SHORT` classes give these
+   pairs themselves; longer ones give a spanning forest of them, grown from seeds over the
+   list's bitmaps. The components of this graph are groups outside which no link can lie.
 4. Groups are cut into blocks, and each pair of blocks is searched by DivideSkip: for a
    query set, the shortest inverted lists are merged by a heap, the longest are probed
    by binary search for those documents that the short ones leave possible, and those
@@ -46,8 +47,10 @@ FREQUENT = 200_000
 #: Shingles counted at once in a task, and the count there from which one is reported.
 COUNT_CHUNK, COUNT_LEAST = 4_000_000, 4
 SHORT = 32
-BLOCK = 64
-#: 64-bit words of the parity bitmap of a set of at most so many shingles.
+BLOCK = 128
+#: Classes of a long list in one task; longer lists are cut into blocks.
+LIST_BLOCK = 8192
+#: 64-bit words of the parity bitmap of a set of at most so many shingles; each size folds into the one before.
 BITMAPS = ((1_500, 16), (6_000, 64), (24_000, 256), (None, 1024))
 #: Classes in groups up to which their ids are broadcast to the scan of the texts.
 BROADCAST_CLASSES = 1_000_000
@@ -134,21 +137,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
 
 
 def scan_lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From (h, class, n) sorted by h: pairs of short lists that the sizes allow, stars of long ones."""
+    """From (h, class, n) sorted by h: pairs (u, v) of short lists that the sizes allow, and for long ones
+    the members as (u = class, v = h) with `long`."""
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
-    star: list[np.ndarray] = []
+    long: list[np.ndarray] = []
 
     def out() -> pa.RecordBatch:
-        u, v, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((us, np.int64), (vs, np.int64), (star, bool)))
-        for x in (us, vs, star):
+        u, v, s = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((us, np.int64), (vs, np.int64), (long, bool)))
+        for x in (us, vs, long):
             x.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["u", "v", "star"])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["u", "v", "long"])
 
-    def add(u: np.ndarray, v: np.ndarray, is_star: bool) -> None:
+    def add(u: np.ndarray, v: np.ndarray, is_long: bool) -> None:
         us.append(u)
         vs.append(v)
-        star.append(np.full(len(u), is_star))
+        long.append(np.full(len(u), is_long))
 
     def lists(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -160,49 +164,107 @@ def scan_lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             add(c[a[ok]], c[b[ok]], False)
         for x in np.flatnonzero(size > SHORT):
-            members = c[start[x] : start[x] + size[x]]
-            add(np.full(size[x] - 1, members[0]), members[1:], True)
+            own = slice(start[x], start[x] + size[x])
+            add(c[own], h[own], True)
 
     tail = [np.zeros(0, np.int64)] * 3
-    leader: tuple[int, int] | None = None  # of a list that is longer than what is held back
+    begun: int | None = None  # a long list of which members are out already
     for batch in batches:
         h, c, n = (np.concatenate([t, np.asarray(col)]) for t, col in zip(tail, batch.columns, strict=True))
-        if leader is not None:
-            own = int(np.searchsorted(h, leader[0], side="right"))
-            add(np.full(own, leader[1]), c[:own], True)
+        if begun is not None:
+            own = int(np.searchsorted(h, begun, side="right"))
+            add(c[:own], h[:own], True)
             h, c, n = h[own:], c[own:], n[own:]
-            if not len(h):
-                tail = [h, c, n]
-                yield out()
-                continue
-            leader = None
-        if not len(h):
-            continue
-        last = int(np.searchsorted(h, h[-1]))  # the last list may go on in the next batch
-        if len(h) - last > SHORT:
-            lists(h, c, n)
-            leader = (int(h[-1]), int(c[last]))
-            tail = [h[:0], c[:0], n[:0]]
-        else:
-            lists(h[:last], c[:last], n[:last]) if last else None
-            tail = [h[last:], c[last:], n[last:]]
+        tail = [h[:0], c[:0], n[:0]]
+        if len(h):
+            begun = None
+            last = int(np.searchsorted(h, h[-1]))  # the last list may go on in the next batch
+            if len(h) - last > SHORT:
+                lists(h, c, n)
+                begun = int(h[-1])
+            else:
+                if last:
+                    lists(h[:last], c[:last], n[:last])
+                tail = [h[last:], c[last:], n[last:]]
         yield out()
     if len(tail[0]):
         lists(*tail)
         yield out()
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) folded to fewer words."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def near_forest(n: np.ndarray, bits: list[np.ndarray], percent: int, first: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and bitmaps allow, grown from seeds over what is not reached yet.
+
+    With `first` (a mask), only pairs of a row inside it and one outside count.
+    """
+    words = np.array([len(b) for b in bits])
+    levels = {}
+    for w in np.unique(words):
+        rows = np.flatnonzero(words >= w)
+        table = np.zeros((len(n), w), np.int64)
+        for size in np.unique(words[rows]):
+            same = rows[words[rows] == size]
+            table[same] = fold(np.stack([bits[i] for i in same]), int(w))
+        levels[int(w)] = table
+    left, out = np.ones(len(n), bool), []
+    for seed in range(len(n)):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            rest = left & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            if first is not None:
+                rest &= first != first[x]
+            rest = np.flatnonzero(rest)
+            for w in np.unique(np.minimum(words[rest], words[x])):
+                some = rest[np.minimum(words[rest], words[x]) == w]
+                apart = np.bitwise_count(levels[int(w)][some] ^ levels[int(w)][x]).sum(axis=1, dtype=np.int64)
+                some = some[apart * (100 + percent) <= (n[some] + n[x]) * (100 - percent)]
+                left[some] = False
+                out += [(x, int(y)) for y in some]
+                queue += some.tolist()
+    return out
+
+
+def long_list_edges(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Forest edges (u, v) of the long lists, from their members (h, class)."""
+    sizes = members.groupBy("h").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
+    rows = members.join(classes.select("class", "n", "bits"), "class").join(sizes, "h")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "n", "bits")
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, n, block = (table.column(c).to_numpy() for c in ("class", "n", "block"))
+        held = table.column("bits").combine_chunks()
+        at, values = held.offsets.to_numpy(), held.values.to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found = near_forest(n, [values[at[x] : at[x + 1]] for x in range(len(n))], percent, None if i == j else block == i)
+        return pa.table({"u": pa.array([int(cls[x]) for x, _ in found], pa.int64()), "v": pa.array([int(cls[y]) for _, y in found], pa.int64())})
+
+    return rows.groupBy("h", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def candidate_graph(classes: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between classes such that linked classes lie in one component."""
     postings = classes.select(F.explode("prefix").alias("h"), "class", "n").repartition("h").sortWithinPartitions("h")
-    found = stored(postings.mapInArrow(lambda b: scan_lists(b, percent), "u long, v long, star boolean"), "candidates")
-    stars = found.where("star").select("u", "v")
-    pairs = found.where("not star").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    found = stored(postings.mapInArrow(lambda b: scan_lists(b, percent), "u long, v long, long boolean"), "candidates")
+    long = long_list_edges(found.where("long").select(F.col("v").alias("h"), F.col("u").alias("class")), classes, percent)
+    pairs = found.where("not long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    near = both.where((F.size("bits_u") != F.size("bits_v")) | (apart.cast("long") * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent)))
-    return near.select("u", "v").unionByName(stars)
+    u, v = F.col("bits_u"), F.col("bits_v")
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x).cast("long")
+    quarter = lambda a, w: F.transform(F.sequence(F.lit(1), w), lambda i: a[i - 1].bitwiseXOR(a[i + w - 1]).bitwiseXOR(a[i + w * 2 - 1]).bitwiseXOR(a[i + w * 3 - 1]))
+    least = F.when(F.size(u) == F.size(v), apart(u, v)).when(F.size(u) == F.size(v) * 4, apart(quarter(u, F.size(v)), v)).when(F.size(v) == F.size(u) * 4, apart(u, quarter(v, F.size(u)))).otherwise(0)
+    near = both.where(least * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))
+    return near.select("u", "v").unionByName(long)
 
 
 class Union:
