@@ -70,7 +70,7 @@ def test_quality_counts(odd):
 
 def test_compression_bands(spark):
     rng = random.Random(3)
-    noise = " ".join("".join(chr(rng.randint(33, 0x2FFF)) for _ in range(6)) for _ in range(2000))
+    noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(6)) for _ in range(2000))
     dull = " ".join(f"{prose(3, i % 40)} {i % 7}" for i in range(40 * 7 * 3))
     rows = spark.createDataFrame([(0, prose(300, 1)), (1, noise), (2, dull)], "doc_id long, text string")
     out = {r.doc_id: r.quality for r in quality_rules.quality_rules(rows).collect()}
@@ -282,8 +282,8 @@ def test_jaccard_components(spark, monkeypatch, k, percent, short, block):
 def test_jaccard_repeats_nulls_and_empty(spark, empty):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "z y x w v"), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
-    assert got == sorted([(False, 1, 2, 1), (False, 1, 2, 1), (True, 0, 2, 1), (True, 0, 2, None), (False, 5, 0, 5)], key=str) or got == [(False, 1, 2, 1), (False, 1, 2, 1), (False, 5, 0, 5), (True, 0, 2, 1), (True, 0, 2, None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == {(1, 2, 1): 2, (None, 2, 1): 1, (None, 2, None): 1, (5, 0, 5): 1}
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
