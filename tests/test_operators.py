@@ -205,6 +205,30 @@ def test_arma_recovers_an_autoregression(spark):
     assert all(len(v) == 1 for v in per_refit.values())
 
 
+def test_arma_two_stages_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    rv = np.exp(rng.normal(size=160) * 0.5 - 8)
+    train, test, every, long_ar = 100, 40, 15, 3
+    got = {(r.fold, r.refit): r.forecast for r in arma.arma_walk_forward(series(spark, rv), train=train, test=test, step=test, every=every, p=2, q=2, long_ar=long_ar).collect()}
+    y = np.log(rv)
+
+    def fit(x, t):
+        x = np.column_stack([np.ones(len(x)), x])
+        beta, ssr, *_ = np.linalg.lstsq(x, t, rcond=None)
+        return beta, float(((t - x @ beta) ** 2).sum()) / (len(t) - x.shape[1])
+
+    assert set(got) == {(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)}
+    for (fold, refit), value in got.items():
+        z = y[fold * test : fold * test + train + refit * every]
+        lags = np.column_stack([z[long_ar - k : len(z) - k] for k in range(1, long_ar + 1)])
+        a, _ = fit(lags, z[long_ar:])
+        e = z[long_ar:] - np.column_stack([np.ones(len(lags)), lags]) @ a
+        zz = z[long_ar:]
+        x = np.column_stack([zz[1:-1], zz[:-2], e[1:-1], e[:-2]])
+        b, s2 = fit(x, zz[2:])
+        assert math.isclose(value, math.exp(b @ [1, zz[-1], zz[-2], e[-1], e[-2]] + s2 / 2), rel_tol=1e-7)
+
+
 def test_names(spark):
     names = ["HAR_RS_C_h1", "HAR_C_h22", "HAR_C_h1_ctx128", "x", "roll_5_EURUSD_h5"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
