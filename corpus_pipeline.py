@@ -18,6 +18,8 @@ from volspan.llm import secret_scan as secrets_op
 from volspan.llm.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids up to which a list of them is broadcast to the scan of the documents; beyond, both are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +30,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays."""
-    groups = stored(jaccard_op.jaccard_components(docs, k=5, percent=80), "near_duplicates")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().withColumnRenamed("doc_id", "kept id")
-    same = docs["doc_id"].eqNullSafe(F.col("kept id"))
-    once = docs.join(kept.where("count = 1"), same, "left_semi")
-    again = docs.join(kept.where("count > 1"), same, "left_semi").dropDuplicates()
-    return once.select(*COLUMNS).unionByName(again.select(*COLUMNS))
+    groups = jaccard_op.jaccard_components(docs, k=5, percent=80)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
+    ids = stored(groups.groupBy("doc_id").agg(F.sum(stays).alias("kept_rows")), "near_duplicates")
+    gone = ids.where("kept_rows = 0 and doc_id is not null").select(F.col("doc_id").alias("gone id"))
+    again = ids.where("kept_rows > 1").select(F.col("doc_id").alias("again id"))
+    n_gone, n_again = gone.count(), again.count()
+    if n_gone <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs["doc_id"] == F.col("gone id"), "left_anti").select(*COLUMNS)
+    if n_again:  # rows of one id, or without any: equal ones are one
+        again = F.broadcast(again) if n_again <= BROADCAST_IDS else again
+        same = out["doc_id"].eqNullSafe(F.col("again id"))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates())
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
