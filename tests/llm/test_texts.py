@@ -279,6 +279,38 @@ def test_jaccard_components(spark, monkeypatch, k, percent, short, block):
     assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("block", [6, 16, 65])
+def test_search_counts_only_the_shingles_looked_up(block):
+    """Block pairs of variants just under the threshold, and some links: the same components at any block size."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    under = [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(57)]
+    over = [np.unique(np.concatenate([under[i][:-2], rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for i in (0, 9, 30)]
+    sets = under + over
+    rows = list(range(len(sets)))
+    both = [(i, j) for i in rows for j in rows if i < j]
+    n_shared = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in both}
+    links = {(i, j) for i, j in both if 100 * n_shared[i, j] >= 85 * (len(sets[i]) + len(sets[j]) - n_shared[i, j])}
+    assert 0 < len(links) < 10
+    parts = [rows[x : x + block] for x in range(0, len(rows), block)]
+    found = {(min(e), max(e)) for a in range(len(parts)) for b in range(a, len(parts)) for e in jaccard_join.search(sets, parts[a], parts[b], 85)}
+    assert found <= links
+    union = jaccard_join.Union(len(sets)), jaccard_join.Union(len(sets))
+    for u, edges in zip(union, (found, links), strict=True):
+        for e in edges:
+            u.join(*e)
+    assert [union[0].find(x) for x in rows] == [union[1].find(x) for x in rows]
+
+
+def test_jaccard_components_of_a_group_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    shared = prose(95, 900)
+    rows = [(i, f"{shared} {prose(10, 2000 + i)}") for i in range(60)] + [(60 + i, f"{shared} {prose(10, 2000 + i)} end") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_jaccard_repeats_nulls_and_empty(spark, empty):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "z y x w v"), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
