@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on planted and odd rows: nulls, empty and very long texts, repeats, empty tables, clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -352,6 +353,38 @@ def test_overlaps(spark, empty):
     assert decontaminate.decontaminate(df, bench.where("false")).count() == df.count()
 
 
+def test_masks_hit_all_patterns():
+    for size, masks in ((13, decontaminate.MASKS), (12, decontaminate.SHORT_MASKS), (11, decontaminate.SHORT_MASKS)):
+        places = [{at + o for o in m} for m in masks for at in range(size - max(m))]
+        patterns = [set(p) for n in range(4) for p in itertools.combinations(range(size), n)]
+        assert all(any(not p & place for place in places) for p in patterns)
+
+
+def test_overlaps_of_every_pattern(spark):
+    rng = random.Random(21)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    items = {n: words(f"item{n}x", n) for n in (1, 2, 5, 10, 11, 12, 13, 40)}
+    rows, expected = [], set()
+
+    def plant(item, passage):
+        doc = words(f"d{len(rows)}x", rng.randrange(6)) + passage + words(f"e{len(rows)}x", rng.randrange(6))
+        rows.append((len(rows), " ".join(doc)))
+        if item:
+            expected.add((len(rows) - 1, item))
+
+    for n, size in ((11, 11), (12, 12), (13, 13), (40, 13)):
+        for pattern in itertools.combinations(range(size), 3):
+            at = rng.randrange(n - size + 1)
+            plant(n, [f"other{i}" if i in pattern else w for i, w in enumerate(items[n][at : at + size])])
+        plant(None, [f"other{i}" if i in (1, 4, 7, 9) else w for i, w in enumerate(items[n][:size])])
+    for n in (1, 2, 5, 10):
+        plant(n, [w.upper() for w in items[n]])
+        plant(None, items[n][:-1] + ["other"])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()} == expected
+
+
 # ---- importance resampling
 
 
