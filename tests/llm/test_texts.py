@@ -427,6 +427,17 @@ def test_restoring_disguised_words():
     assert sorted(zip(tokens, rows.tolist(), strict=True)) == [("1d10t", 2), ("idiooot", 3), ("s t u p i d", 2)]
 
 
+def test_disguised_at_the_end_of_a_word():
+    import pyarrow as pa
+
+    text = " ".join(["idiot moron dumbass kill loser ass trash"] * 50 + [prose(2000, 1)])
+    r = toxicity.Restorer(toxicity.trigram_counts(pa.array([text])))
+    texts = ["you dumba$$ !", "plain! words, here) 100 (100) 5$ a-b", "idi07 k--i--l--l", None, "k---i---l---l"]
+    tokens, rows = toxicity.disguised_tokens(*toxicity.wordhash.text_bytes(pa.array(texts)))
+    assert sorted(zip(tokens, rows.tolist(), strict=True)) == [("dumba$$", 0), ("idi07", 2), ("k---i---l---l", 4), ("k--i--l--l", 2)]
+    assert [r.restore(t) for t in ("dumba$$", "idi07", "k--i--l--l")] == ["dumbass", "idiot", "kill"]
+
+
 def test_toxicity_held_out(spark, odd, tmp_path):
     rng = random.Random(4)
     insults = ["idiot", "moron", "loser", "trash"]

@@ -137,13 +137,17 @@ _ASCII_LETTER, _SIGN, _BETWEEN = np.zeros(256, bool), np.zeros(256, bool), np.ze
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
 _BETWEEN[[ord(c) for c in BETWEEN]] = True
+#: Signs that are no sentence punctuation at a token's end.
+_INNER = _SIGN.copy()
+_INNER[[ord(c) for c in EDGES]] = False
 
 
 def disguised_tokens(raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Tokens that look disguised, and the text of each.
 
-    Such are tokens with a sign before a letter, a letter three times in a row or
-    signs between single letters, and runs of three or more single-character tokens.
+    Such are tokens of letters with a sign before or after one, a letter three times in
+    a row or separators between single letters, and runs of three or more
+    single-character tokens.
     """
     if not len(raw):
         return [], np.zeros(0, np.int64)
@@ -153,9 +157,16 @@ def disguised_tokens(raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.nda
     n = len(raw)
     odd = _SIGN[raw] & letter[1 : n + 1]
     odd |= letter[:n] & (padded[:n] == padded[1 : n + 1]) & (padded[:n] == padded[2 : n + 2])
-    odd |= letter[:n] & between[1 : n + 1] & letter[2 : n + 2] & between[3 : n + 3]
+    inner = _INNER[padded]
+    odd |= (letter[:n] | _SIGN[raw] & ~inner[:n]) & inner[1 : n + 1]
+    # separators in a row count as one
+    once = np.flatnonzero(~between[:n] | ~np.concatenate([[False], between[: n - 1]]))
+    c = np.concatenate([raw[once], np.zeros(3, np.uint8)])
+    m = len(once)
+    odd[once[_ASCII_LETTER[c[:m]] & _BETWEEN[c[1 : m + 1]] & _ASCII_LETTER[c[2 : m + 2]] & _BETWEEN[c[3 : m + 3]]]] = True
     token = np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1)
-    token = token[ends[token] - starts[token] <= MOST_TOKEN]
+    letters = np.concatenate([[0], np.cumsum(letter[:n])])
+    token = token[(ends[token] - starts[token] <= MOST_TOKEN) & (letters[ends[token]] > letters[starts[token]])]
     held = raw.tobytes()
     words = [held[s:e].decode(errors="ignore") for s, e in zip(starts[token].tolist(), ends[token].tolist(), strict=True)]
     row = np.searchsorted(at, starts, side="right") - 1
