@@ -212,6 +212,16 @@ def test_pii_bases_stay(spark, odd, crf):
             assert {r.text[s:e] for k, s, e in spans} == {"jo.81 at mail7 dot example dot com", "(437) 555-0689"}
 
 
+def test_spelled_out_at_without_digits(spark, crf):
+    pairs = ["write to jane [at] example.com today", "write to jane (at) example.com today", "write to jane at example.com today"]
+    rows = [(i, t) for i, t in enumerate(pairs)] + [(10 + i, f"{t} and then wait for an answer of the office about year 7") for i, t in enumerate(pairs)]
+    out = {r.doc_id: r.pii for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), weights=crf).collect()}
+    for i, text in enumerate(pairs):
+        assert pii.TRIGGER.search(text)
+        assert [s.asDict() for s in out[i].spans] == [s.asDict() for s in out[10 + i].spans if s.end <= len(text)]
+    assert out[0].spans and out[1].spans
+
+
 def test_segmentation_is_the_best_one(crf):
     w = pii.windows("call (437) 555-0689 or 10 . 2 . 3 . 4 now")[0]
     scores = w.features @ crf.T

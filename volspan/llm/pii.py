@@ -49,7 +49,7 @@ FIT_WINDOWS = 1500
 
 TOKEN = re.compile(r"[^\s]+")
 SPELLED = re.compile(r"(?i)[\[({<]\s*(at|dot)\s*[\])}>]|(?<=\S)\s+(at|dot)\s+(?=\S)")
-TRIGGER = re.compile(r"[0-9@]|(?i:[\[({<](?:at|dot)[\])}>])|(?i:(?<!\S)dot(?!\S))")
+TRIGGER = re.compile(r"[0-9@]|(?i:[\[({<](?:at|dot)[\])}>])|(?i:(?<!\S)dot(?!\S))|(?i:(?<!\S)at(?=\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}))")
 
 
 def luhn(digits: str) -> bool:
@@ -365,7 +365,7 @@ def personal_data(
         counts, spans = [], []
         for text, worth in zip(texts.to_pylist(), with_triggers(texts).tolist(), strict=True):
             found: dict[str, list[tuple[int, int]]] = {k: [] for k in ALL_KINDS}
-            if text and (worth or "dot" in text.lower()):
+            if text and (worth or TRIGGER.search(text)):
                 found |= base_spans(text)
                 taken = [s for k in KINDS for s in found[k]]
                 for a, b, k in added_spans(text, weights, taken):
