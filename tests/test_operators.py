@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from volspan.functions import losses as L
-from volspan.functions.numeric import f2_tail, normal_cdf
+from volspan.functions.numeric import f2_tail, normal_cdf, t_two_sided_p
 from volspan.operators import arma, compare, context, features, mcs, reports, walk
 from volspan.sources import forecasts as io
 from volspan.sources import panel as panels
+from volspan.sources.ticks import realized_measures
 
 DAY = dt.date(2020, 1, 1)
 
@@ -253,6 +254,65 @@ def test_symbols_or_all_and_duplicates(spark):
     assert panels.panel_duplicates(df.unionByName(series(spark, [9], "A"))).count() == 1
 
 
-def test_persistence_t_tail():
-    assert math.isclose(reports._t_two_sided(2.0, 10), 0.07338803, rel_tol=1e-6)
-    assert reports._t_two_sided(0.0, 5) == 1.0
+def test_student_tail(spark):
+    def integrated(t, n):
+        """The density's mass between -|t| and |t|, by Simpson's rule."""
+        x = np.linspace(0, abs(t), 20_001)
+        f = (1 + x * x / n) ** (-(n + 1) / 2) * math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+        w = np.where(np.arange(len(x)) % 2, 4, 2)
+        w[[0, -1]] = 1
+        return 1 - 2 * float((f * w).sum()) * abs(t) / 20_000 / 3
+
+    known = [(t, n, integrated(t, n)) for t, n in ((1.0, 1), (2.0, 10), (0.0, 5), (-2.0, 2), (2.0, 3), (1.96, 1000), (12.706205, 1), (3.0, 77))]
+    assert math.isclose(known[0][2], 0.5, rel_tol=1e-9)
+    df = spark.createDataFrame([(t, n) for t, n, _ in known] + [(None, 3), (1.0, 0)], "t double, n long")
+    got = [r.p for r in df.select(t_two_sided_p(F.col("t"), F.col("n")).alias("p")).collect()]
+    for p, (*_, expected) in zip(got, known, strict=False):
+        assert math.isclose(p, expected, rel_tol=2e-6)
+    assert got[-2:] == [None, None]
+
+
+def test_arma_falls_back_to_ar1(spark):
+    # an exact AR(6): its first stage leaves no errors to lag, so that only the AR(1) can be fitted
+    y = list(np.random.default_rng(3).normal(size=3))
+    for _ in range(157):
+        y.append(0.3 * y[-1] - 0.5 * y[-2] + 0.6 * y[-3])
+    rv = np.exp(np.array(y) / 10 - 8)
+    got = {(r.fold, r.refit): r.forecast for r in arma.arma_walk_forward(series(spark, [rv[0]] * 160), train=100, test=40, step=40, every=20, p=1, q=1).collect()}
+    assert all(v is None for v in got.values())
+    got = {(r.fold, r.refit): r.forecast for r in arma.arma_walk_forward(series(spark, rv), train=100, test=40, step=40, every=20, p=1, q=1, long_ar=6).collect()}
+    for (fold, refit), value in got.items():
+        z = np.log(rv)[fold * 40 : fold * 40 + 100 + refit * 20]
+        x = np.column_stack([np.ones(len(z) - 1), z[:-1]])
+        b, ssr, *_ = np.linalg.lstsq(x, z[1:], rcond=None)
+        assert value is not None
+        if math.isclose(value, math.exp(b @ [1, z[-1]] + float(ssr[0]) / (len(z) - 3) / 2), rel_tol=1e-6):
+            break
+    else:
+        raise AssertionError("no refit fell back")
+
+
+def test_routes(spark, tmp_path):
+    f = forecasts(spark, [1, 2], {"A": [1, 1], "B": [2, 2]})
+    path = f"file://{tmp_path}/routed"
+    io.write_routed(f, path, F.when(F.col("model") == "A", 252).otherwise(512))
+    assert {r.route for r in spark.read.parquet(path).select("route").collect()} == {"default", "window_512"}
+    assert io.scan_forecasts(spark, f"{path}/route=window_512").select("model").distinct().collect()[0].model == "B"
+
+
+def test_measures_cross_the_night(spark):
+    """Measures by day against one pass over each symbol's ticks."""
+    rng = np.random.default_rng(8)
+    rows = [(s, DAY + dt.timedelta(days=int(d)), i, float(p)) for s in "AB" for i, (d, p) in enumerate(zip(np.sort(rng.integers(0, 12, 40)), rng.normal(size=40), strict=True))]
+    rows.append(("C", DAY, 0, 1.0))
+    got = {(r.symbol, r.date): r for r in realized_measures(spark.createDataFrame(rows, "symbol string, date date, i long, p double"), ["i"]).collect()}
+    days = {}
+    for s in "AB":
+        own = [r for r in rows if r[0] == s]
+        for before, now in zip(own, own[1:], strict=False):
+            days.setdefault((s, now[1]), []).append(now[3] - before[3])
+    assert set(got) == set(days)
+    for k, r in days.items():
+        r = np.array(r)
+        expected = [(r**2).sum(), math.pi / 2 * np.abs(r[1:] * r[:-1]).sum(), (r[r > 0] ** 2).sum(), (r[r < 0] ** 2).sum(), len(r) / 3 * (r**4).sum()]
+        assert np.allclose([got[k].rv, got[k].bv, got[k].good, got[k].bad, got[k].rq], expected)

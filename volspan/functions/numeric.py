@@ -23,7 +23,14 @@ def finite(x: Column) -> Column:
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function.
 
-    Rational approximation in double precision (Hart 1968, as given by West 2005): absolute
+    The argument is bound once, as the value of a lambda: the approximation names it some
+    thirty times, and generated code would repeat all that it is made of.
+    """
+    return F.element_at(F.transform(F.array(x), _normal_cdf), 1)
+
+
+def _normal_cdf(x: Column) -> Column:
+    """Rational approximation in double precision (Hart 1968, as given by West 2005): absolute
     error near 1e-16; a continued fraction beyond |x| = 7.07.
     """
     z = F.abs(x)
@@ -49,6 +56,28 @@ def two_sided_p(t: Column) -> Column:
     return 2 * (1 - normal_cdf(F.abs(t)))
 
 
+def t_two_sided_p(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) for whole degrees of freedom of at least 1: a finite sum in the angle arctan(t / sqrt df)."""
+
+    def tail(x: Column) -> Column:
+        angle = F.atan2(F.abs(x["t"]), F.sqrt(x["df"]))
+        c, s, odd = F.cos(angle), F.sin(angle), x["df"] % 2 == 1
+        steps = F.floor((x["df"] - F.when(odd, 3).otherwise(2)) / 2)
+        start = F.when(odd, c).otherwise(1.0)
+        ratio_ = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        ks = F.when(steps >= 1, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>"))
+        total = F.aggregate(
+            ks,
+            F.struct(start.alias("term"), start.alias("sum")),
+            lambda a, k: F.struct((a["term"] * ratio_(k) * c * c).alias("term"), (a["sum"] + a["term"] * ratio_(k) * c * c).alias("sum")),
+            lambda a: a["sum"],
+        )
+        whole = F.when(odd, (angle + F.when(x["df"] > 1, s * total).otherwise(0.0)) * (2 / 3.141592653589793)).otherwise(s * total)
+        return F.when(x["df"] >= 1, 1 - whole)
+
+    return F.element_at(F.transform(F.array(F.struct(t.alias("t"), df.cast("long").alias("df"))), tail), 1)
+
+
 def f2_tail(f: Column, df: Column) -> Column:
     """P(F(2, df) > f), in closed form."""
     return F.pow(1 + 2 * f / df, -df / 2)

@@ -56,7 +56,8 @@ def arma_walk_forward(df: DataFrame, horizon: int = 1, train: int = 252, test: i
 
     Refitted every `every` test rows on the fold's rows so far; the forecast is the first
     step after the last refit's origin, for every horizon, and so constant between refits.
-    The actual is complete means only.
+    The actual is complete means only. Where that fit fails (collinear or too few rows) an
+    AR(1) of the same rows takes its place.
     """
     rows = observed(df, "rv").withColumn("actual", target("rv", horizon)).withColumn("pos", position())
     rows = rows.withColumn("y", F.ln(clip_low(F.col("rv"), LOG_FLOOR)))
@@ -84,7 +85,10 @@ def arma_walk_forward(df: DataFrame, horizon: int = 1, train: int = 252, test: i
         value = value + F.col(f"b_y_{k}") * F.col("last.y" if k == 1 else f"last.y_{k - 1}")
     for k in range(1, q + 1):
         value = value + F.col(f"b_e_{k}") * F.col("last.e" if k == 1 else f"last.e_{k - 1}")
-    made = fit.join(last, keys).where(F.col("rows") >= least).select(*keys, F.exp(value + F.col("sigma2") / 2).alias("forecast"))
+    plain = ols_fit(x.dropna(subset=["y_1"]), keys, ["y_1"]).select(*keys, F.col("const").alias("plain_const"), F.col("b_y_1").alias("plain_b"), F.col("sigma2").alias("plain_sigma2"))
+    made = plain.join(fit, keys, "left").join(last, keys).where(F.col("rows") >= least)
+    instead = F.exp(F.col("plain_const") + F.col("plain_b") * F.col("last.y") + F.col("plain_sigma2") / 2)
+    made = made.select(*keys, F.coalesce(F.exp(value + F.col("sigma2") / 2), instead).alias("forecast"))
     tested = test_rows(rows, train, test, step).withColumn("refit", F.floor((F.col("pos") - F.col("fold") * step - train) / every)).where("actual is not null")
     return tested.join(made, keys).select(*keys[:1], "date", "fold", "refit", "actual", "forecast")
 

@@ -25,20 +25,23 @@ def context_target(horizon: int = 1, column: str = "rv") -> Column:
     return F.col(column) if horizon == 1 else F.avg(column).over(by_symbol().rowsBetween(0, horizon - 1))
 
 
+#: Scorers that are one window function over the values before a row: no array is made.
+WINDOW_SCORERS: dict[str, Callable[[str], Column]] = {"last": lambda c: F.last(c, ignorenulls=True), "mean": lambda c: F.avg(c)}
 #: Scorers that are column expressions: context array -> point forecast of every step.
 COLUMN_SCORERS: dict[str, Callable[[Column], Column]] = {
-    "last": lambda c: F.element_at(c, -1),
-    "mean": lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(c)),
     "median": lambda c: (F.element_at(F.sort_array(c), F.floor((F.size(c) + 1) / 2).cast("int")) + F.element_at(F.sort_array(c), F.floor((F.size(c) + 2) / 2).cast("int"))) / 2,
 }
 
 
 def zero_shot(df: DataFrame, scorer: str = "last", horizon: int = 1, length: int = 512, column: str = "rv") -> DataFrame:
-    """Forecasts of a column scorer: symbol, date, actual, forecast."""
-    made = contexts(df.withColumn("actual", context_target(horizon, column)), length, column)
-    point = F.array_repeat(COLUMN_SCORERS[scorer](F.col("context")), horizon)
-    mean = F.aggregate(point, F.lit(0.0), lambda a, x: a + x, lambda a: a / horizon)
-    return made.select("symbol", "date", "actual", mean.alias("forecast"))
+    """Forecasts of a column scorer, the same for every step: symbol, date, actual, forecast."""
+    rows = df.withColumn("actual", context_target(horizon, column))
+    if scorer in WINDOW_SCORERS:
+        w = by_symbol().rowsBetween(-length, -1)
+        made = rows.withColumns({"pos": position(), "forecast": WINDOW_SCORERS[scorer](column).over(w)}).where(F.col("pos") >= length)
+        return made.select("symbol", "date", "actual", "forecast")
+    made = contexts(rows, length, column)
+    return made.select("symbol", "date", "actual", COLUMN_SCORERS[scorer](F.col("context")).alias("forecast"))
 
 
 def score_contexts(made: DataFrame, load: Callable[[], Callable[[list[list[float]]], list[list[float]]]], horizon: int) -> DataFrame:

@@ -57,11 +57,13 @@ def mcs(loss: DataFrame, alpha: float = 0.10, replicates: int = 10_000, block: i
     means = loss.groupBy(*SERIES).agg(F.avg("loss").alias("mean"))
     means = means.withColumn("rank", F.row_number().over(group.orderBy(F.asc("mean"), F.desc("model")))).withColumn("M", F.count("*").over(group))
     boot = bootstrap_means(loss, block, replicates, seed, starts).join(means, SERIES)
-    side = lambda i: boot.select(*GROUP, "b", *[F.col(c).alias(f"{c}_{i}") for c in ("model", "boot_mean", "mean", "rank")])
-    pairs = side("i").join(side("j"), [*GROUP, "b"]).where("model_i < model_j")
-    pairs = pairs.select(*GROUP, "b", "model_i", "model_j", F.greatest("rank_i", "rank_j").alias("level"), (F.col("boot_mean_i") - F.col("boot_mean_j")).alias("d"), (F.col("mean_i") - F.col("mean_j")).alias("mean_d"))
-    spread = pairs.groupBy(*GROUP, "model_i", "model_j").agg(F.sqrt(F.greatest(F.var_pop("d"), F.lit(1e-30))).alias("sd"))
-    stats = pairs.join(spread, [*GROUP, "model_i", "model_j"])
+    # the models of a replicate by rank, as one short array; a pair competes up to the rank of its worse model
+    held = boot.groupBy(*GROUP, "b").agg(F.sort_array(F.collect_list(F.struct("rank", "boot_mean", "mean"))).alias("held"))
+    pair = lambda x, y: F.struct(x["rank"].alias("above"), y["rank"].alias("level"), (x["boot_mean"] - y["boot_mean"]).alias("d"), (x["mean"] - y["mean"]).alias("mean_d"))
+    made = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: pair(x, y))))
+    pairs = held.select(*GROUP, "b", F.explode(made).alias("pair")).select(*GROUP, "b", "pair.*")
+    spread = pairs.groupBy(*GROUP, "above", "level").agg(F.sqrt(F.greatest(F.var_pop("d"), F.lit(1e-30))).alias("sd"))
+    stats = pairs.join(spread, [*GROUP, "above", "level"])
     stats = stats.groupBy(*GROUP, "b", "level").agg(F.max(F.abs(F.col("d") - F.col("mean_d")) / F.col("sd")).alias("t_boot"), F.max(F.abs("mean_d") / F.col("sd")).alias("t_obs"))
     upto = Window.partitionBy(*GROUP, "b").orderBy("level")
     stats = stats.withColumns({"t_boot": F.max("t_boot").over(upto), "t_obs": F.max("t_obs").over(upto)})

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspan.functions.losses import all_losses, loss_series, mse, r2_oos
-from volspan.functions.numeric import ratio
+from volspan.functions.numeric import ratio, t_two_sided_p
 from volspan.operators.compare import GROUP, SERIES, align_forecasts, mz_recursive
 from volspan.operators.features import lag
 
@@ -121,7 +119,7 @@ def subsample_metrics(df: DataFrame, split: str = "2020-03-01", least: int = 10)
 def class_metrics(metrics: DataFrame, classes: DataFrame, how: str = "mean") -> DataFrame:
     """Mean or median over the assets of each class; `classes` is (symbol, asset_class)."""
     agg = (lambda m: F.avg(m)) if how == "mean" else (lambda m: F.percentile(m, F.lit(0.5)))
-    return metrics.join(F.broadcast(classes), "symbol").groupBy("asset_class", "model", "horizon").agg(*[agg(m).alias(m) for m in METRICS])
+    return metrics.join(classes, "symbol").groupBy("asset_class", "model", "horizon").agg(*[agg(m).alias(m) for m in METRICS])
 
 
 def flag_best(table: DataFrame, models: DataFrame, panel: Sequence[str] = ("horizon",), qlike_limit: float = 1.0) -> DataFrame:
@@ -129,7 +127,7 @@ def flag_best(table: DataFrame, models: DataFrame, panel: Sequence[str] = ("hori
 
     On ties the first model in the order of `models` (model, ord) wins. `dagger` marks a QLIKE above the limit.
     """
-    t = table.join(F.broadcast(models.select("model", "ord")), "model")
+    t = table.join(models.select("model", "ord"), "model")
 
     def best(value: Column) -> Column:
         first = F.row_number().over(Window.partitionBy(*panel).orderBy(value.asc_nulls_last(), "ord"))
@@ -172,8 +170,8 @@ def dm_win_rate(pairs: DataFrame, metrics: DataFrame, n_models: int = 15, level:
 
 
 def model_order(table: DataFrame, models: DataFrame) -> DataFrame:
-    """Known models only, with display name, in the fixed order."""
-    return table.join(F.broadcast(models.select("model", "display", "ord")), "model").orderBy("ord")
+    """Known models only, with display name and their place `ord` in the fixed order."""
+    return table.join(models.select("model", "display", "ord"), "model")
 
 
 def recent_common(df: DataFrame, models: Sequence[str], symbols: Sequence[str], n: int = 500) -> DataFrame:
@@ -187,10 +185,10 @@ def recent_common(df: DataFrame, models: Sequence[str], symbols: Sequence[str],
 
 
 def mcs_matrix(sets: DataFrame, classes: DataFrame, class_order: Sequence[str], models: Sequence[str], horizon: int = 1) -> DataFrame:
-    """Assets x models of set membership, by class, then name."""
+    """Assets x models of set membership; `class_ord` is the place of the asset's class."""
     wide = sets.where(F.col("horizon") == horizon).groupBy("symbol").pivot("model", list(models)).agg(F.max(F.col("in_mcs").cast("int"))).na.fill(0)
     place = F.coalesce(*[F.when(F.col("asset_class") == c, i) for i, c in enumerate(class_order)], F.lit(len(class_order)))
-    return wide.join(F.broadcast(classes), "symbol").withColumn("class_ord", place).orderBy("class_ord", "symbol")
+    return wide.join(classes, "symbol").withColumn("class_ord", place)
 
 
 def qlike_ratio(metrics: DataFrame, base: str = "HAR") -> DataFrame:
@@ -212,45 +210,12 @@ def autocorr1(panel: DataFrame, column: str = "rv", least: int = 100) -> DataFra
     return x.groupBy("symbol").agg(F.corr(column, "before").alias("rho1"), F.count("*").alias("n")).where(F.col("n") > least).select("symbol", "rho1")
 
 
-def _t_two_sided(t: float, df: float) -> float:
-    """P(|T| > |t|) by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    if x <= 0:
-        return 0.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-
-    def fraction(a: float, b: float, x: float) -> float:
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = 1 + num / (c if abs(c) > tiny else tiny)
-                h *= d * c
-            if abs(d * c - 1) < 1e-15:
-                break
-        return h
-
-    if x < (a + 1) / (a + b + 2):
-        return front * fraction(a, b, x) / a
-    return 1 - front * fraction(b, a, 1 - x) / b
-
-
 def persistence_regression(ratios: DataFrame, rho: DataFrame) -> DataFrame:
     """Per model: ratio ~ 1 + rho1 over the assets: slope, intercept, r, two-sided t p-value of the slope."""
     x = ratios.join(rho, "symbol").groupBy("model", "horizon").agg(F.regr_slope("ratio", "rho1").alias("slope"), F.regr_intercept("ratio", "rho1").alias("intercept"), F.corr("ratio", "rho1").alias("r"), F.count("*").alias("n"))
     t = F.when((F.col("n") > 2) & (F.abs("r") < 1), F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 
-    @F.pandas_udf("double")
-    def tail(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, n in parts:
-            yield pd.Series([None if pd.isna(v) else _t_two_sided(v, k - 2) for v, k in zip(t, n, strict=True)], dtype="float64")
-
-    return x.withColumn("p_value", tail(t, F.col("n")))
+    return x.withColumn("p_value", F.when(t.isNotNull(), t_two_sided_p(t, F.col("n") - 2)))
 
 
 def persistence_split(ratios: DataFrame, rho: DataFrame) -> DataFrame:

@@ -95,47 +95,39 @@ def ols_fit(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y")
 def ols_summary(df: DataFrame, keys: Sequence[str], x: Sequence[str], lags: int = 22, y: str = "y") -> DataFrame:
     """One row per coefficient: estimate, error, t and p, with Bartlett-weighted (HAC) errors, and the fit's R2.
 
-    The scores x u and their lagged products are summed per group; the sandwich is formed
-    from those sums on the few coefficient rows that remain.
+    A coefficient is a weighted sum of the residuals beside its true value: the weight of a row is what the
+    other regressors leave of this one, over the sum of its squares. The error is the
+    long-run variance of weight times residual, so each one is an aggregate of lag products.
     """
-    import numpy as np
-    import pandas as pd
-
-    w = Window.partitionBy(*keys).orderBy("date")
-    fitted = ols_predict(df, ols_fit(df, keys, x, y), keys, x, "fit").withColumn("u", F.col(y) - F.col("fit")).withColumn("one", F.lit(1.0))
-    names = ["one", *x]
-    means = {n: F.avg(n).over(Window.partitionBy(*keys)) if n != "one" else F.lit(0.0) for n in names}
-    z = fitted.withColumns({f"z_{n}": F.col(n) - m for n, m in means.items()} | {f"mean_{n}": m for n, m in means.items()})
-    z = z.withColumns({f"s_{n}": F.col(f"z_{n}") * F.col("u") for n in names})
-    z = z.withColumn("scores", F.array(*[F.col(f"s_{n}") for n in names]))
-    back = F.collect_list("scores").over(w.rowsBetween(-lags, -1))
-    weighted = F.aggregate(F.transform(F.reverse(back), lambda s, i: F.transform(s, lambda v: v * (1 - (i + 1) / (lags + 1)))), F.array(*[F.lit(0.0)] * len(names)), lambda a, s: F.zip_with(a, s, lambda p, v: p + v))
-    z = z.withColumn("past", weighted)
-    sums = [F.sum(F.col(f"s_{a}") * (F.col(f"s_{b}") + F.col("past")[j]) + F.col(f"s_{b}") * F.col("past")[i]).alias(f"m_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
-    cross = [F.sum(F.col(f"z_{a}") * F.col(f"z_{b}")).alias(f"x_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
-    firsts = [F.first(f"mean_{n}").alias(f"mean_{i}") for i, n in enumerate(names)] + [F.first("const").alias("e_0"), *[F.first(f"b_{n}").alias(f"e_{i + 1}") for i, n in enumerate(x)], F.first("r2").alias("R2"), F.count("*").alias("n")]
-    g = z.groupBy(*keys).agg(*sums, *cross, *firsts)
-    k = len(names)
-
-    def solve(parts):
-        for pdf in parts:
-            rows = []
-            for _, row in pdf.iterrows():
-                meat = np.array([[row[f"m_{i}_{j}"] for j in range(k)] for i in range(k)])
-                bread = np.linalg.pinv(np.array([[row[f"x_{i}_{j}"] for j in range(k)] for i in range(k)]))
-                cov = bread @ meat @ bread
-                # back from centred regressors: the constant is the level less the means times the slopes
-                move = np.eye(k)
-                move[0, 1:] = [-row[f"mean_{i}"] for i in range(1, k)]
-                cov = move @ cov @ move.T
-                for i, n in enumerate(["const", *x]):
-                    rows.append([*[row[c] for c in keys], n, row[f"e_{i}"], float(np.sqrt(max(cov[i, i], 0.0))), row["R2"], int(row["n"])])
-            yield pd.DataFrame(rows, columns=[*keys, "term", "estimate", "se", "R2", "n"])
-
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
-    out = g.mapInPandas(solve, f"{types}, term string, estimate double, se double, R2 double, n long")
+    keys = list(keys)
+    rows = ols_predict(df, ols_fit(df, keys, x, y), keys, x, "fit").withColumn("u", F.col(y) - F.col("fit"))
+    terms = []
+    for c in x:
+        others = [o for o in x if o != c]
+        own = ols_fit(df, keys, others, c).select(*keys, F.col("const").alias(f"c_{c}"), *[F.col(f"b_{o}").alias(f"c_{c}_{o}") for o in others])
+        left = F.col(c) - F.col(f"c_{c}")
+        for o in others:
+            left = left - F.col(f"c_{c}_{o}") * F.col(o)
+        rows = rows.join(own, keys).withColumn(f"left_{c}", left)
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumns({f"a_{c}": ratio(F.col(f"left_{c}"), F.sum(F.col(f"left_{c}") * F.col(f"left_{c}")).over(whole)) for c in x})
+    level = ratio(F.lit(1.0), F.count("*").over(whole).cast("double"))
+    for c in x:
+        level = level - F.avg(c).over(whole) * F.col(f"a_{c}")
+    rows = rows.withColumn("a_const", level)
+    for term in ("const", *x):
+        estimate = F.col("const" if term == "const" else f"b_{term}")
+        terms.append(F.struct(F.lit(term).alias("term"), estimate.alias("estimate"), (F.col(f"a_{term}") * F.col("u")).alias("s")))
+    long = rows.select(*keys, "date", "r2", F.explode(F.array(*terms)).alias("x")).select(*keys, "date", "r2", "x.*")
+    w = Window.partitionBy(*keys, "term").orderBy("date")
+    long = long.withColumns({f"q_{k}": F.col("s") * F.lag("s", k).over(w) for k in range(1, lags + 1)})
+    sums = {k: F.coalesce(F.sum(f"q_{k}"), F.lit(0.0)) for k in range(1, lags + 1)}
+    variance = F.sum(F.col("s") * F.col("s"))
+    for k, v in sums.items():
+        variance = variance + 2 * (1 - k / (lags + 1)) * v
+    out = long.groupBy(*keys, "term").agg(F.first("estimate").alias("estimate"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("se"), F.first("r2").alias("R2"), F.count("*").alias("n"))
     t = ratio(F.col("estimate"), F.col("se"))
-    return out.withColumn("t", t).withColumn("p_value", two_sided_p(t))
+    return out.withColumn("t", t).withColumn("p_value", two_sided_p(F.col("t")))
 
 
 def ols_predict(rows: DataFrame, fit: DataFrame, keys: Sequence[str], x: Sequence[str], name: str = "forecast") -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspan.functions import losses as L
-from volspan.functions.numeric import two_sided_p
+from volspan.functions.numeric import t_two_sided_p, two_sided_p
 from volspan.operators import arma, compare, context, features, reports, walk
 from volspan.operators import mcs as sets
 from volspan.plans import fixtures as fx
 from volspan.plans import sqltext as q
+from volspan.session import new_path
 from volspan.sources import forecasts as io
 from volspan.sources import panel as panels
 
@@ -61,7 +62,7 @@ def tidy_sql(columns: str, source: str, with_: str, where: str = "", **more: tup
 @register(tidy_sql("date symbol rv bv good bad rq", "panel", q.PANEL3))
 def scan_panel(spark, sf_dir):
     """The panel written as CSV with a foreign column, read back by schema."""
-    path = io.work_path(spark, "panel")
+    path = new_path(spark, "panel")
     p = fx.panel3(spark, sf_dir).select("date", "symbol", *[F.col(b).alias(a) for a, b in panels.MEASURES.items()], F.lit("x").alias("note"))
     p.write.option("header", True).csv(path)
     return tidy(panels.project_measures(panels.scan_panel(spark, path)))
@@ -70,7 +71,7 @@ def scan_panel(spark, sf_dir):
 @register(tidy_sql("date symbol rv asset_class", f"(SELECT *, CASE WHEN symbol IN ('AFRICA', 'AMERICA', 'ASIA') THEN 'stocks' WHEN symbol = 'EUROPE' THEN 'fx' ELSE 'futures' END AS asset_class FROM panel)", q.PANEL5, "WHERE asset_class <> 'futures'"))
 def scan_by_class(spark, sf_dir):
     """A Parquet file per class; two of them read, and put together."""
-    path = io.work_path(spark, "classes")
+    path = new_path(spark, "classes")
     raw = fx.panel5(spark, sf_dir).join(F.broadcast(fx.dim_asset(spark)), "symbol").select("date", "symbol", *[F.col(b).alias(a) for a, b in panels.MEASURES.items()], "asset_class")
     raw.write.partitionBy("asset_class").parquet(path)
     paths = {c: f"{path}/asset_class={c}" for c in ("stocks", "fx", "futures")}
@@ -91,7 +92,7 @@ def panel_pivot(spark, sf_dir):
 @register(tidy_sql("symbol horizon model date actual forecast", "fc", q.F3, "WHERE horizon = 1"))
 def write_forecasts(spark, sf_dir):
     """Written by model and horizon, read back with pruned folders."""
-    path = io.work_path(spark, "forecasts")
+    path = new_path(spark, "forecasts")
     io.write_forecasts(fx.rolling_forecasts(fx.panel3(spark, sf_dir)), path)
     return tidy(io.scan_forecasts(spark, path, horizons=[1]).select("symbol", "horizon", "model", "date", "actual", "forecast"))
 
@@ -107,35 +108,37 @@ MET = "symbol horizon model MSE MAE QLIKE R2OOS n_obs"
 
 @register(tidy_sql(MET, "met", q.F3 + ",\n" + q.METRICS))
 def write_metrics(spark, sf_dir):
-    path = io.work_path(spark, "metrics")
+    path = new_path(spark, "metrics")
     io.write_metrics(reports.metrics_by_asset(fx.rolling_forecasts(fx.panel3(spark, sf_dir))), path)
     return tidy(spark.read.parquet(path))
 
 
 @register(tidy_sql("symbol horizon model date actual forecast", "fc", q.F3, "WHERE model IN ('last', 'roll_5')"))
 def scan_forecasts(spark, sf_dir):
-    path = io.work_path(spark, "forecasts")
+    path = new_path(spark, "forecasts")
     io.write_forecasts(fx.rolling_forecasts(fx.panel3(spark, sf_dir)), path)
     return tidy(io.scan_forecasts(spark, path, models=["last", "roll_5"]).select("symbol", "horizon", "model", "date", "actual", "forecast"))
 
 
 def _csv_files(spark, sf_dir) -> str:
     """A folder per file stem, holding files of that name: model_SYMBOL_hN.csv."""
-    path = io.work_path(spark, "csv")
+    path = new_path(spark, "csv")
     f = fx.rolling_forecasts(fx.panel3(spark, sf_dir)).withColumn("context_length", F.when(F.col("model") == "roll_66", 128).otherwise(512))
     f.withColumn("name", io.forecast_names(f)).select("name", "date", "actual", "forecast").write.partitionBy("name").option("header", True).csv(path)
     return path
 
 
-def _scan_stems(spark, path) -> DataFrame:
-    raw = spark.read.option("header", True).schema("date date, actual double, forecast double").csv(path + "/*")
-    return raw.withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]*)/", 1))
+@register(tidy_sql("symbol horizon model date actual forecast", "fc", q.F3, "WHERE model <> 'roll_66'"))
+def scan_forecast_files(spark, sf_dir):
+    """CSV files identified by their folder's name; tagged contexts drop out."""
+    return tidy(io.scan_forecast_files(spark, _csv_files(spark, sf_dir), by_folder="name").select("symbol", "horizon", "model", "date", "actual", "forecast"))
 
 
 @register(f"WITH {q.F3} SELECT model || '_' || symbol || '_h' || horizon AS name, model, symbol, horizon, count(*) AS n FROM fc WHERE model <> 'roll_66' GROUP BY ALL")
 def parse_forecast_name(spark, sf_dir):
-    """Identity from the names of written CSV files; tagged contexts drop out."""
-    df = io.parse_forecast_name(_scan_stems(spark, _csv_files(spark, sf_dir)))
+    """Identity from file stems; tagged contexts drop out."""
+    f = fx.rolling_forecasts(fx.panel3(spark, sf_dir)).withColumn("context_length", F.when(F.col("model") == "roll_66", 128).otherwise(512))
+    df = io.parse_forecast_name(f.select(io.forecast_names(f).alias("name")))
     return df.groupBy("name", "model", "symbol", "horizon").agg(F.count("*").alias("n"))
 
 
@@ -147,12 +150,12 @@ def parse_forecast_suffix(spark, sf_dir):
     return io.parse_forecast_suffix(names, n.select(F.col("r_name").alias("symbol")))
 
 
-@register(f"WITH {q.F3} SELECT model, symbol, count(*) AS n FROM fc WHERE horizon = 1 AND symbol IN ('A', 'R') GROUP BY ALL")
+@register(f"WITH {q.F3} SELECT model, symbol, count(*) AS n FROM fc WHERE horizon = 1 AND symbol IN ('A', 'R') AND model <> 'roll_66' GROUP BY ALL")
 def scan_forecasts_h1(spark, sf_dir):
-    path = io.work_path(spark, "forecasts")
-    io.write_forecasts(fx.rolling_forecasts(fx.panel3(spark, sf_dir)), path)
+    """One-step files of two known symbols."""
     known = spark.createDataFrame([("A",), ("R",)], "symbol string")
-    return io.scan_forecasts(spark, path, horizons=[1]).join(F.broadcast(known), "symbol", "left_semi").groupBy("model", "symbol").agg(F.count("*").alias("n"))
+    found = io.scan_forecast_files(spark, _csv_files(spark, sf_dir), known, by_folder="name")
+    return found.groupBy("model", "symbol").agg(F.count("*").alias("n"))
 
 
 def _two_windows(spark, sf_dir) -> DataFrame:
@@ -168,7 +171,7 @@ TWO_WINDOWS = ", tw AS (SELECT symbol, horizon, CASE WHEN model IN ('last', 'rol
 @register(f'WITH {q.F3}{TWO_WINDOWS} SELECT model, symbol, horizon, "window", count(*) AS n FROM tw GROUP BY ALL HAVING count(*) >= 10')
 def scan_two_windows(spark, sf_dir):
     """Two forecast roots read with the window as a literal; short series go."""
-    a, b = io.work_path(spark, "w252"), io.work_path(spark, "w512")
+    a, b = new_path(spark, "w252"), new_path(spark, "w512")
     f = _two_windows(spark, sf_dir)
     io.write_forecasts(f.where("window = 252").drop("window"), a)
     io.write_forecasts(f.where("window = 512").drop("window"), b)
@@ -191,13 +194,14 @@ def run_grid(spark, sf_dir):
     return io.run_grid(fx.panel3(spark, sf_dir), [1, 5, 22], ["last", "roll_5", "HAR"])
 
 
-@register(f"WITH {q.F3} SELECT model, symbol, horizon, 252 AS train_window, count(*) AS n FROM fc WHERE horizon = 5 GROUP BY ALL")
+@register(f"WITH {q.F3} SELECT model, symbol, horizon, CASE WHEN horizon = 5 THEN 'default' ELSE 'window_512' END AS route, count(*) AS n FROM fc GROUP BY ALL")
 def train_window_routing(spark, sf_dir):
-    """The training window as a partition column; the default one read back."""
-    path = io.work_path(spark, "routing")
+    """Two training windows written to folders of their own, and read back route by route."""
+    path = new_path(spark, "routing")
     f = fx.rolling_forecasts(fx.panel3(spark, sf_dir))
-    f.withColumn("train_window", F.when(F.col("horizon") == 5, 252).otherwise(512)).write.partitionBy("train_window", "model").parquet(path)
-    return spark.read.parquet(path).where("train_window = 252").groupBy("model", "symbol", "horizon", "train_window").agg(F.count("*").alias("n"))
+    io.write_routed(f, path, F.when(F.col("horizon") == 5, 252).otherwise(512))
+    parts = [io.scan_forecasts(spark, f"{path}/route={r_}").withColumn("route", F.lit(r_)) for r_ in ("default", "window_512")]
+    return parts[0].unionByName(parts[1]).groupBy("model", "symbol", "horizon", "route").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {q.F3} SELECT DISTINCT model || '_' || symbol || '_h' || horizon || CASE WHEN model = 'roll_66' THEN '_ctx128' ELSE '' END AS name FROM fc")
@@ -348,10 +352,29 @@ def ols_predict(spark, sf_dir):
     return rounded(walk.ols_predict(df, walk.ols_fit(df, ["symbol"], x), ["symbol"], x).select("symbol", "date", "forecast"), forecast=(1e6, 2))
 
 
-@register()
+def _hac_sql(model: str, lags: int) -> str:
+    """The sandwich from what the other regressors leave of each one, by orthogonalisation."""
+    k, names = q.N_X[model], features.REGRESSORS[model]
+    sql = f"WITH {q.PANEL3}, {q.features(model, 1)}, j_ AS (SELECT *, TRUE AS tr FROM feat), {q.orthogonal(k, 'j_', 'symbol')}"
+    for j in range(k):
+        others = [i for i in range(k) if i != j]
+        sql += f", r{j}_ AS (SELECT symbol, date, tr, x{j} AS y, {', '.join(f'x{i} AS x{n}' for n, i in enumerate(others))} FROM j_), {q.orthogonal(k - 1, f'r{j}_', 'symbol', f'r{j}')}"
+    sql += f", left_ AS (SELECT o{k}.symbol, o{k}.date, o{k}.y, o{k}.fit, " + ", ".join(f"o{k}.x{j}, r{j}o{k - 1}.y - r{j}o{k - 1}.fit AS e{j}" for j in range(k)) + f" FROM o{k} " + " ".join(f"JOIN r{j}o{k - 1} ON r{j}o{k - 1}.symbol = o{k}.symbol AND r{j}o{k - 1}.date = o{k}.date" for j in range(k)) + ")"
+    w = "OVER (PARTITION BY symbol)"
+    sql += ", a_ AS (SELECT *, " + ", ".join(f"e{j} / sum(e{j} * e{j}) {w} AS a{j}" for j in range(k)) + " FROM left_)"
+    sql += f", c_ AS (SELECT *, 1.0::DOUBLE / count(*) {w} " + " ".join(f"- avg(x{j}) {w} * a{j}" for j in range(k)) + " AS ac FROM a_)"
+    terms = [("const", "ac")] + [(n, f"a{j}") for j, n in enumerate(names)]
+    sql += ", l_ AS (" + " UNION ALL ".join(f"SELECT symbol, date, y, fit, '{n}' AS term, {a} AS a, {a} * (y - fit) AS s FROM c_" for n, a in terms) + ")"
+    sql += ", g_ AS (SELECT *, " + ", ".join(f"s * lag(s, {i}) OVER w AS q{i}" for i in range(1, lags + 1)) + ", avg(y) OVER (PARTITION BY symbol, term) AS my FROM l_ WINDOW w AS (PARTITION BY symbol, term ORDER BY date))"
+    sql += ", v_ AS (SELECT symbol, term, sum(a * y) AS estimate, sqrt(sum(s * s)" + "".join(f" + 2 * (1 - {i} / {lags + 1}.0) * coalesce(sum(q{i}), 0)" for i in range(1, lags + 1)) + ") AS se, 1 - sum((y - fit) * (y - fit)) / sum((y - my) * (y - my)) AS R2, count(*) AS n FROM g_ GROUP BY ALL)"
+    return sql + f" SELECT symbol, term, n, {r('estimate', 1, 6)}, {r('se', 1, 6)}, {r('R2')}, round(estimate / se, 4) AS t, round(2 * (1 - {q.cdf('abs(estimate / se)')}), 5) AS p_value FROM v_"
+
+
+@register(_hac_sql("HAR", 22))
 def har_summary(spark, sf_dir):
     """Coefficients with heteroskedasticity- and autocorrelation-consistent errors (22 lags)."""
-    return walk.ols_summary(features.features_for_model(fx.panel3(spark, sf_dir), "HAR"), ["symbol"], features.REGRESSORS["HAR"], 22)
+    t = walk.ols_summary(features.features_for_model(fx.panel3(spark, sf_dir), "HAR"), ["symbol"], features.REGRESSORS["HAR"], 22)
+    return rounded(t, estimate=(1, 6), se=(1, 6), R2=(1, 6), t=(1, 4), p_value=(1, 5))
 
 
 _REFIT = f"""WITH {q.PANEL3}, {q.features('HAR', 1)},
@@ -382,15 +405,38 @@ def expanding_forecast(spark, sf_dir):
     return rounded(walk.expanding_forecast(fx.panel3(spark, sf_dir), "1997-01-01"), actual=(1e6, 2), forecast=(1e6, 2))
 
 
-@register()
+def _arma_sql(horizon: int, p: int, ma: int, ar: int = 6, train: int = 252, test: int = 126, every: int = 22, least: int = 50) -> str:
+    """Both least-squares stages by orthogonalisation; the row at a refit's origin carries the forecast."""
+    key, used = "symbol, fold, refit", [f"y{k}" for k in range(1, p + 1)] + [f"e{k}" for k in range(1, ma + 1)]
+    w = f"OVER (PARTITION BY {key} ORDER BY pos)"
+    sql = f"""WITH {q.PANEL3},
+ser_ AS (SELECT symbol, date, pos, {q.mean_ahead(horizon)} AS actual, ln(greatest(rv, 1e-10)) AS v FROM panel),
+tst_ AS (SELECT *, greatest(0, cast(floor((pos - {train + test}) / {test}) AS BIGINT) + 1) AS fold FROM ser_ WHERE pos >= {train}),
+ref_ AS (SELECT DISTINCT symbol, fold, (pos - fold * {test} - {train}) // {every} AS refit FROM tst_ WHERE pos >= fold * {test} + {train}),
+raw_ AS (SELECT s.symbol, fold, refit, s.pos, s.v, s.pos < fold * {test} + {train} + refit * {every} AS old FROM ser_ s JOIN ref_ USING (symbol) WHERE s.pos >= fold * {test} AND s.pos <= fold * {test} + {train} + refit * {every}),
+lag_ AS (SELECT *, {", ".join(f"lag(v, {k}) {w} AS y{k}" for k in range(1, ar + 1))}, count(*) FILTER (WHERE old) OVER (PARTITION BY {key}) AS held FROM raw_),
+j_ AS (SELECT {key}, pos, v AS y, held, old, {", ".join(f"y{k} AS x{k - 1}" for k in range(1, ar + 1))}, old AND y{ar} IS NOT NULL AS tr FROM lag_ WHERE y{ar} IS NOT NULL),
+{q.orthogonal(ar, "j_", key)},
+err_ AS (SELECT {key}, pos, y, held, old, {", ".join(f"x{k - 1} AS y{k}" for k in range(1, p + 1))}, y - fit AS e FROM o{ar}),
+two_ AS (SELECT *, {", ".join(f"lag(e, {k}) {w} AS e{k}" for k in range(1, ma + 1))} FROM err_),
+k_ AS (SELECT {key}, pos, y, held, {", ".join(f"{c} AS x{i}" for i, c in enumerate(used))}, old AS tr FROM two_ WHERE e{ma} IS NOT NULL),
+{q.orthogonal(len(used), "k_", key, "s")},
+f_ AS (SELECT *, sum((y - fit) * (y - fit)) FILTER (WHERE tr) OVER (PARTITION BY {key}) / (count(*) FILTER (WHERE tr) OVER (PARTITION BY {key}) - {len(used) + 1}) AS s2 FROM so{len(used)}),
+made_ AS (SELECT {key}, exp(fit + s2 / 2) AS forecast FROM f_ WHERE NOT tr AND held >= {least})
+SELECT symbol, date, fold, refit, {r("actual", 1e6, 2)}, round(forecast * 1e6, 2) AS forecast
+FROM (SELECT *, (pos - fold * {test} - {train}) // {every} AS refit FROM tst_ WHERE pos >= fold * {test} + {train} AND actual IS NOT NULL) JOIN made_ USING (symbol, fold, refit)"""
+    return sql
+
+
+@register(_arma_sql(1, 2, 2))
 def arma_walk_forward(spark, sf_dir):
-    return arma.arma_walk_forward(fx.panel3(spark, sf_dir))
+    return rounded(arma.arma_walk_forward(fx.panel3(spark, sf_dir)), actual=(1e6, 2), forecast=(1e6, 2))
 
 
-@register()
+@register(_arma_sql(22, 1, 1))
 def arma_fit(spark, sf_dir):
     """Monthly horizon, AR(1) with one moving-average term."""
-    return arma.arma_walk_forward(fx.panel3(spark, sf_dir), horizon=22, p=1, q=1)
+    return rounded(arma.arma_walk_forward(fx.panel3(spark, sf_dir), horizon=22, p=1, q=1), actual=(1e6, 2), forecast=(1e6, 2))
 
 
 @register(f"""WITH {q.PANEL3}, e AS (SELECT symbol, pos AS t, count(*) OVER w AS n, log_rv - avg(log_rv) OVER w AS e FROM panel WINDOW w AS (PARTITION BY symbol)),
@@ -401,12 +447,12 @@ def gph_d(spark, sf_dir):
     return rounded(arma.gph_d(fx.panel3(spark, sf_dir)), d=(1.0, 6))
 
 
-_W = arma.fracdiff_weights(0.4, 20)
+_W = arma.fracdiff_weights(0.4, 100)
 
 
-@register(f"WITH {q.PANEL3} SELECT symbol, date, round(" + " + ".join(f"{w!r} * lag(log_rv, {k}) OVER (PARTITION BY symbol ORDER BY date)" for k, w in enumerate(_W)) + ", 6) AS fracdiff FROM panel QUALIFY pos >= 20")
+@register(f"WITH {q.PANEL3} SELECT symbol, date, round(" + " + ".join(f"{w!r} * lag(log_rv, {k}) OVER (PARTITION BY symbol ORDER BY date)" for k, w in enumerate(_W)) + ", 6) AS fracdiff FROM panel QUALIFY pos >= 100")
 def fracdiff(spark, sf_dir):
-    return rounded(arma.fracdiff(fx.panel3(spark, sf_dir), 0.4, 20), fracdiff=(1.0, 6))
+    return rounded(arma.fracdiff(fx.panel3(spark, sf_dir), 0.4), fracdiff=(1.0, 6))
 
 
 # ---- contexts and scorers
@@ -414,11 +460,11 @@ def fracdiff(spark, sf_dir):
 
 def _zero_shot(scorer: str, value: str, horizon: int):
     ahead = "rv" if horizon == 1 else f"avg(rv) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND {horizon - 1} FOLLOWING)"
-    back = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)"
-    sql = f"WITH {q.PANEL3} SELECT symbol, date, round(({ahead}) * 1e6, 3) AS actual, round({value.format(w=back)} * 1e6, 3) AS forecast FROM panel QUALIFY pos >= 64"
+    back = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 512 PRECEDING AND 1 PRECEDING)"
+    sql = f"WITH {q.PANEL3} SELECT symbol, date, round(({ahead}) * 1e6, 3) AS actual, round({value.format(w=back)} * 1e6, 3) AS forecast FROM panel QUALIFY pos >= 512"
 
     def run(spark, sf_dir):
-        return tidy(context.zero_shot(fx.panel3(spark, sf_dir), scorer, horizon, 64))
+        return tidy(context.zero_shot(fx.panel3(spark, sf_dir), scorer, horizon))
 
     return run, sql
 
@@ -432,9 +478,9 @@ def _user_scorer():
     return lambda batch: [[sum(c[-5:]) / 5] * 5 for c in batch]
 
 
-@register(f"WITH {q.PANEL3} SELECT symbol, date, round(avg(rv) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) * 1e6, 3) AS forecast FROM panel QUALIFY pos >= 128")
+@register(f"WITH {q.PANEL3} SELECT symbol, date, round(avg(rv) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) * 1e6, 3) AS forecast FROM panel QUALIFY pos >= 512")
 def scorer_udf(spark, sf_dir):
-    made = context.contexts(fx.panel3(spark, sf_dir).select("symbol", "date", "rv"), 128).select("symbol", "date", "context")
+    made = context.contexts(fx.panel3(spark, sf_dir).select("symbol", "date", "rv")).select("symbol", "date", "context")
     return tidy(context.score_contexts(made, _user_scorer, 5).select("symbol", "date", "forecast"))
 
 
@@ -483,10 +529,10 @@ def scaled_interval(spark, sf_dir):
     return _arrays(made, lower=lower, upper=upper)
 
 
-@register(_arrays_sql(padded="list_concat(list_transform(range(0, 7), lambda x: 0.0::DOUBLE), c)", is_pad="list_transform(range(0, 16), lambda x: CASE WHEN x < 7 THEN 1 ELSE 0 END)", observed="list_transform(range(0, 16), lambda x: CASE WHEN x < 7 THEN 0 ELSE 1 END)"))
+@register(_arrays_sql(padded="list_concat(list_transform(range(0, 503), lambda x: 0.0::DOUBLE), c)", is_pad="list_transform(range(0, 512), lambda x: CASE WHEN x < 503 THEN 1 ELSE 0 END)", observed="list_transform(range(0, 512), lambda x: CASE WHEN x < 503 THEN 0 ELSE 1 END)"))
 def pad_context(spark, sf_dir):
     made = context.contexts(fx.panel3(spark, sf_dir).select("symbol", "date", "rv"), 9)
-    padded, is_pad, seen = context.pad_context(F.col("context"), 16)
+    padded, is_pad, seen = context.pad_context(F.col("context"))
     return _arrays(made, padded=padded, is_pad=is_pad, observed=seen)
 
 
@@ -496,11 +542,11 @@ def trim_context(spark, sf_dir):
     return _arrays(made, trimmed=context.trim_context(F.col("context"), 4))
 
 
-@register("""WITH n AS (SELECT l_returnflag AS symbol, least(count(DISTINCT cast(l_shipdate AS DATE)), 300) AS n FROM lineitem GROUP BY ALL),
-d AS (SELECT cast(d AS DATE) AS d, row_number() OVER (ORDER BY d DESC) AS back FROM (SELECT unnest(generate_series(DATE '2022-01-01', DATE '2025-01-01', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6)
+@register("""WITH n AS (SELECT l_returnflag AS symbol, count(DISTINCT cast(l_shipdate AS DATE)) AS n FROM lineitem GROUP BY ALL),
+d AS (SELECT cast(d AS DATE) AS d, row_number() OVER (ORDER BY d DESC) AS back FROM (SELECT unnest(generate_series(DATE '2025-01-01' - cast((SELECT 2 * max(n) + 7 FROM n) AS INTEGER), DATE '2025-01-01', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6)
 SELECT symbol, cast(n - back AS INTEGER) AS i, d AS business_date FROM n JOIN d ON back <= n""")
 def business_dates(spark, sf_dir):
-    n = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.least(F.count_distinct(F.col("l_shipdate").cast("date")), F.lit(300)).alias("n"))
+    n = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol")).agg(F.count_distinct(F.col("l_shipdate").cast("date")).alias("n"))
     return context.business_dates(n, F.col("n")).select("symbol", "i", "business_date")
 
 
@@ -584,18 +630,35 @@ def dm_test(spark, sf_dir):
     return rounded(t, mean_diff=(1, 6), statistic=(1, 5), p_value=(1, 6))
 
 
+def _one_sided(key: str, value: str):
+    @register(_DM + f" SELECT symbol, horizon, model_i, model_j, {r(value, 1, 6, 'p_value')} FROM dm")
+    def run(spark, sf_dir):
+        t = compare.dm_test(compare.losses(fx.rolling_forecasts(fx.panel5(spark, sf_dir))), alternative=key.removeprefix("dm_"))
+        return rounded(t.select("symbol", "horizon", "model_i", "model_j", "p_value"), p_value=(1, 6))
+
+    QUERIES[key], ORACLE_SQL[key] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
+
+
+_one_sided("dm_less", q.cdf("t"))
+_one_sided("dm_greater", f"1 - {q.cdf('t')}")
+
+
 @register(_DM + f" SELECT symbol, horizon, model_i, model_j, {r('p', 1, 6, 'p_value')} FROM dp UNION ALL SELECT symbol, horizon, model_j, model_i, round(p, 6) FROM dp UNION ALL SELECT DISTINCT symbol, horizon, model, model, 1.0::DOUBLE FROM loss")
 def dm_matrix(spark, sf_dir):
     return rounded(compare.dm_matrix(compare.losses(fx.rolling_forecasts(fx.panel5(spark, sf_dir)))), p_value=(1, 6))
 
 
-REPLICATES, BLOCK = 100, 22
+REPLICATES, BLOCK = 10_000, 22
 _X0 = "(b * 48271 + j * 69621 + 42 * 16807 + 12345) % 2147483648"
 _DRAWS = f"tt AS (SELECT DISTINCT n AS T FROM (SELECT count(*) AS n FROM loss GROUP BY symbol, horizon, model) WHERE n >= {BLOCK}), bj AS (SELECT T, b, unnest(range(0, cast(ceil(T / {BLOCK}) AS BIGINT))) AS j FROM tt, range(0, {REPLICATES}) r(b)), x0 AS (SELECT T, b, j, {_X0} AS x FROM bj)"
 for _i in range(3):
     _DRAWS += f", y{_i} AS (SELECT T, b, j, (x * 1103515245 + 12345) % 2147483648 AS x FROM x{_i}), x{_i + 1} AS (SELECT T, b, j, (x + x // 32768) % 2147483648 AS x FROM y{_i})"
 _DRAWS += f", starts AS (SELECT T, b, j, cast(x * (T - {BLOCK - 1}) // 2147483648 AS BIGINT) AS start, cast(least({BLOCK}, T - j * {BLOCK}) AS BIGINT) AS size FROM x3)"
-_BOOT = f"ln_ AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon, model ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY symbol, horizon, model) AS T FROM loss), boot AS (SELECT symbol, horizon, model, b, sum(loss) / any_value(ln_.T) AS m FROM starts s JOIN ln_ ON ln_.T = s.T AND ln_.pos >= s.start AND ln_.pos < s.start + s.size GROUP BY ALL)"
+_BOOT = (
+    "ln_ AS (SELECT symbol, horizon, model, count(*) OVER (PARTITION BY symbol, horizon, model) AS T, row_number() OVER w AS pos, sum(loss) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM loss WINDOW w AS (PARTITION BY symbol, horizon, model ORDER BY date)), "
+    "cum_ AS (SELECT * FROM ln_ UNION ALL SELECT DISTINCT symbol, horizon, model, T, 0, 0 FROM ln_), "
+    "boot AS (SELECT h.symbol, h.horizon, h.model, b, sum(h.upto - l.upto) / any_value(h.T) AS m FROM starts s JOIN cum_ l ON l.T = s.T AND l.pos = s.start JOIN cum_ h ON h.symbol = l.symbol AND h.horizon = l.horizon AND h.model = l.model AND h.T = l.T AND h.pos = s.start + s.size GROUP BY ALL)"
+)
 _H1 = f"WITH {q.F3}, {q.LOSS.replace('FROM fc', 'FROM fc WHERE horizon = 1')}"
 
 
@@ -706,10 +769,10 @@ def gr_fluctuation(spark, sf_dir):
     return rounded(_gr_path(spark, sf_dir).drop("pos"), statistic=(1, 4))
 
 
-@register("SELECT cast(i AS BIGINT) AS i, round(CASE WHEN mu <= 0.1 THEN 3.17 WHEN mu <= 0.2 THEN 3.17 - (mu - 0.1) * 3.5 WHEN mu <= 0.3 THEN 2.82 - (mu - 0.2) * 2.7 WHEN mu <= 0.4 THEN 2.55 - (mu - 0.3) * 2.3 WHEN mu <= 0.5 THEN 2.32 - (mu - 0.4) * 2.2 ELSE 2.10 END, 6) AS cv_10, round(CASE WHEN mu <= 0.1 THEN 3.39 WHEN mu <= 0.2 THEN 3.39 - (mu - 0.1) * 3.4 WHEN mu <= 0.3 THEN 3.05 - (mu - 0.2) * 2.5 WHEN mu <= 0.4 THEN 2.80 - (mu - 0.3) * 2.2 WHEN mu <= 0.5 THEN 2.58 - (mu - 0.4) * 2.0 ELSE 2.38 END, 6) AS cv_5 FROM (SELECT l_orderkey AS i, l_discount * 6 AS mu FROM lineitem WHERE l_linenumber = 1)")
+@register("SELECT l_orderkey, l_linenumber, round(CASE WHEN mu <= 0.1 THEN 3.17 WHEN mu <= 0.2 THEN 3.17 - (mu - 0.1) * 3.5 WHEN mu <= 0.3 THEN 2.82 - (mu - 0.2) * 2.7 WHEN mu <= 0.4 THEN 2.55 - (mu - 0.3) * 2.3 WHEN mu <= 0.5 THEN 2.32 - (mu - 0.4) * 2.2 ELSE 2.10 END, 6) AS cv_10, round(CASE WHEN mu <= 0.1 THEN 3.39 WHEN mu <= 0.2 THEN 3.39 - (mu - 0.1) * 3.4 WHEN mu <= 0.3 THEN 3.05 - (mu - 0.2) * 2.5 WHEN mu <= 0.4 THEN 2.80 - (mu - 0.3) * 2.2 WHEN mu <= 0.5 THEN 2.58 - (mu - 0.4) * 2.0 ELSE 2.38 END, 6) AS cv_5 FROM (SELECT l_orderkey, l_linenumber, l_discount * 6 AS mu FROM lineitem)")
 def gr_critical(spark, sf_dir):
-    x = fx.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("i"), (F.col("l_discount") * 6).alias("mu"))
-    return x.select("i", F.round(compare.gr_critical(F.col("mu"), 10), 6).alias("cv_10"), F.round(compare.gr_critical(F.col("mu"), 5), 6).alias("cv_5"))
+    x = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 6).alias("mu"))
+    return x.select("l_orderkey", "l_linenumber", F.round(compare.gr_critical(F.col("mu"), 10), 6).alias("cv_10"), F.round(compare.gr_critical(F.col("mu"), 5), 6).alias("cv_5"))
 
 
 @register(_GR + " SELECT symbol, horizon, model, T, m, round(sup_stat, 4) AS sup_stat, round(cv_10, 6) AS cv_10, round(cv_5, 6) AS cv_5, sup_stat > cv_10 AS reject_10, sup_stat > cv_5 AS reject_5 FROM gr")
@@ -777,9 +840,9 @@ def gr_mean_path(spark, sf_dir):
     return rounded(reports.gr_mean_path(_gr_path(spark, sf_dir)), statistic=(1, 4))
 
 
-@register(_GR + f", {_GRSUM} SELECT model, horizon, cast(row_number() OVER (PARTITION BY horizon ORDER BY avg_sup_stat DESC, model) AS INTEGER) AS place FROM grs QUALIFY place <= 2")
+@register(_GR + f", {_GRSUM} SELECT model, horizon, cast(row_number() OVER (PARTITION BY horizon ORDER BY avg_sup_stat DESC, model) AS INTEGER) AS place FROM grs QUALIFY place <= 8")
 def gr_top8(spark, sf_dir):
-    return reports.top_models(_gr_summary(spark, sf_dir), 2).select("model", "horizon", "place")
+    return reports.top_models(_gr_summary(spark, sf_dir)).select("model", "horizon", "place")
 
 
 _FLOORS = f"fl AS (SELECT floor, symbol, horizon, model, avg(greatest(actual / greatest(forecast, floor), floor) - ln(greatest(actual / greatest(forecast, floor), floor)) - 1) AS loss FROM fc, (VALUES (1e-4), (1e-6), (1e-8), (1e-10)) v(floor) GROUP BY ALL), fs AS (SELECT floor, horizon, model, round(avg(loss), 4) AS mean_QLIKE, round(quantile_cont(loss, 0.5), 4) AS median_QLIKE, count(*) AS n_assets FROM fl GROUP BY ALL)"
@@ -915,16 +978,25 @@ def autocorr1(spark, sf_dir):
     return rounded(reports.autocorr1(fx.panel5(spark, sf_dir)), rho1=(1, 6))
 
 
-@register(f"WITH {_MET5}, {_RATIO}, {_RHO} SELECT model, horizon, round(regr_slope(ratio, rho1), 4) AS slope, round(regr_intercept(ratio, rho1), 5) AS intercept, round(corr(ratio, rho1), 5) AS r, count(*) AS n FROM ra JOIN rho USING (symbol) GROUP BY ALL")
+_T_TAIL = "CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: cos(th) ** (2 * k + 1) * sqrt(pi()) / 2 * gamma(k + 1) / gamma(k + 1.5))) ELSE 0 END) ELSE 1 - sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: cos(th) ** (2 * k) * gamma(k + 0.5) / sqrt(pi()) / gamma(k + 1))) END"
+
+
+@register(f"""WITH {_MET5}, {_RATIO}, {_RHO}, g AS (SELECT model, horizon, regr_slope(ratio, rho1) AS slope, regr_intercept(ratio, rho1) AS intercept, corr(ratio, rho1) AS r, count(*) AS n FROM ra JOIN rho USING (symbol) GROUP BY ALL),
+a AS (SELECT *, n - 2 AS df, atan(abs(r) / sqrt(1 - r * r)) AS th FROM g)
+SELECT model, horizon, round(slope, 4) AS slope, round(intercept, 5) AS intercept, round(r, 5) AS r, n, round({_T_TAIL}, 5) AS p_value FROM a""")
 def persistence_regression(spark, sf_dir):
     t = reports.persistence_regression(_ratios(spark, sf_dir), reports.autocorr1(fx.panel5(spark, sf_dir)))
-    return rounded(t.drop("p_value"), slope=(1, 4), intercept=(1, 5), r=(1, 5))
+    return rounded(t, slope=(1, 4), intercept=(1, 5), r=(1, 5), p_value=(1, 5))
 
 
-@register()
-def persistence_p_values(spark, sf_dir):
-    """With the t-tail, which SQL here lacks."""
-    return reports.persistence_regression(_ratios(spark, sf_dir), reports.autocorr1(fx.panel5(spark, sf_dir)))
+@register(f"""WITH t AS (SELECT symbol, count(*) - 2 AS df, atan(abs(corr(v, u)) / sqrt(1 - corr(v, u) * corr(v, u))) AS th FROM (SELECT event_type || '-' || user_id % 40 AS symbol, value AS v, floor(epoch(ts)) AS u FROM events) GROUP BY symbol HAVING count(*) > 2)
+SELECT symbol, df, round({_T_TAIL}, 6) AS p FROM t WHERE df < 160""")
+def student_tail(spark, sf_dir):
+    """Student tails of correlations with few and with many degrees of freedom, odd and even."""
+    e = fx.table(spark, sf_dir, "events")
+    g = e.groupBy(F.concat_ws("-", "event_type", F.col("user_id") % 40).alias("symbol")).agg(F.corr("value", F.unix_seconds(F.col("ts").cast("timestamp"))).alias("r"), (F.count("*") - 2).alias("df")).where("df > 0 and df < 160")
+    t = F.col("r") * F.sqrt(F.col("df") / (1 - F.col("r") * F.col("r")))
+    return g.select("symbol", "df", F.round(t_two_sided_p(t, F.col("df")), 6).alias("p"))
 
 
 @register(f"WITH {_MET5}, {_RATIO}, {_RHO}, mid AS (SELECT quantile_cont(rho1, 0.5) AS m FROM rho) SELECT model, horizon, CASE WHEN rho1 > m THEN 'high' ELSE 'low' END AS half, round(quantile_cont(ratio, 0.5), 6) AS median_ratio, round(avg((ratio < 1)::INT), 6) AS frac_below_1, count(*) AS n FROM ra JOIN rho USING (symbol), mid GROUP BY ALL")

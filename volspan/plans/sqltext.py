@@ -83,14 +83,14 @@ def features(model: str, h: int) -> str:
 N_X = {"HAR": 3, "HAR_J": 4, "HAR_RS": 6, "HARQ": 4, "Log_HAR": 3}
 
 
-def orthogonal(k: int, rows: str, keys: str) -> str:
-    """CTEs o0..ok: fitted values by sequential orthogonalisation of x0.. on the rows marked `tr`."""
-    out = [f"o0 AS (SELECT *, avg(y) FILTER (WHERE tr) OVER (PARTITION BY {keys}) AS fit FROM {rows})"]
+def orthogonal(k: int, rows: str, keys: str, tag: str = "") -> str:
+    """CTEs o0..ok (their names after `tag`): fitted values by sequential orthogonalisation of x0.. on the rows marked `tr`."""
+    out = [f"{tag}o0 AS (SELECT *, avg(y) FILTER (WHERE tr) OVER (PARTITION BY {keys}) AS fit FROM {rows})"]
     for j in range(k):
         w = f"OVER (PARTITION BY {keys})"
         part = "".join(f" - sum(x{j} * z{i}) FILTER (WHERE tr) {w} / nullif(sum(z{i} * z{i}) FILTER (WHERE tr) {w}, 0) * z{i}" for i in range(j))
-        out.append(f"q{j} AS (SELECT *, x{j} - avg(x{j}) FILTER (WHERE tr) {w}{part} AS z{j} FROM o{j})")
-        out.append(f"o{j + 1} AS (SELECT * REPLACE (fit + sum(y * z{j}) FILTER (WHERE tr) {w} / nullif(sum(z{j} * z{j}) FILTER (WHERE tr) {w}, 0) * z{j} AS fit) FROM q{j})")
+        out.append(f"{tag}q{j} AS (SELECT *, x{j} - avg(x{j}) FILTER (WHERE tr) {w}{part} AS z{j} FROM {tag}o{j})")
+        out.append(f"{tag}o{j + 1} AS (SELECT * REPLACE (fit + sum(y * z{j}) FILTER (WHERE tr) {w} / nullif(sum(z{j} * z{j}) FILTER (WHERE tr) {w}, 0) * z{j} AS fit) FROM {tag}q{j})")
     return ",\n".join(out)
 
 

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (`spark.checkpoint.dir`; a temporary one where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def clean_name(model: Column) -> Column:
     """A model name as it stands in file names."""
     return F.regexp_replace(model, r"[-. ]", "_")
@@ -36,16 +28,18 @@ def scan_forecasts(spark: SparkSession, path: str, models: Sequence[str] | None
     return df.dropna(subset=["actual", "forecast"])
 
 
-def scan_forecast_files(spark: SparkSession, path: str, known: DataFrame | None = None, least: int = 0) -> DataFrame:
+def scan_forecast_files(spark: SparkSession, path: str, known: DataFrame | None = None, least: int = 0, by_folder: str | None = None) -> DataFrame:
     """CSV files named model_SYMBOL_hN.csv below a folder, identified by their names; other files are left out.
 
-    `known` (symbol, ...) keeps h = 1 files of those symbols only; `least` drops files with fewer rows.
+    With `by_folder` the name stands in a folder `<by_folder>=<name>` instead, as partitioned writes leave it.
+    `known` (symbol, ...; broadcast up to Spark's own threshold) keeps h = 1 files of those
+    symbols only; `least` drops files with fewer rows.
     """
     raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema("date date, actual double, forecast double").csv(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1) if by_folder is None else F.regexp_extract(F.col("_metadata.file_path"), f"{by_folder}=([^/]*)/", 1)
     df = parse_forecast_name(raw.withColumn("name", F.url_decode(stem))).dropna(subset=["actual", "forecast"])
     if known is not None:
-        df = df.where("horizon = 1").join(F.broadcast(known.select("symbol").distinct()), "symbol", "left_semi")
+        df = df.where("horizon = 1").join(known.select("symbol").distinct(), "symbol", "left_semi")
     if least:
         counted = df.groupBy("name").agg(F.count("*").alias("rows")).where(F.col("rows") >= least)
         df = df.join(counted.select("name"), "name", "left_semi")
@@ -66,7 +60,7 @@ def parse_forecast_suffix(df: DataFrame, assets: DataFrame, name: str = "name")
     n = F.col(name)
     at = F.length(n) - F.instr(F.reverse(n), "h_") - 1
     head = df.where(n.contains("_h")).withColumns({"head": F.substring(n, F.lit(1), at), "tail": F.substring(n, at + 3, F.length(n))}).where(F.col("tail").rlike(r"^\d+$"))
-    hit = head.join(F.broadcast(assets.select("symbol").distinct()), F.endswith("head", F.concat(F.lit("_"), "symbol")))
+    hit = head.join(assets.select("symbol").distinct(), F.endswith("head", F.concat(F.lit("_"), "symbol")))
     best = hit.groupBy(name, "head", "tail").agg(F.max_by("symbol", F.length("symbol")).alias("symbol"))
     model = F.substring(F.col("head"), F.lit(1), F.length("head") - F.length("symbol") - 1)
     return best.select(name, model.alias("model"), "symbol", F.col("tail").cast("int").alias("horizon"))
@@ -94,5 +88,16 @@ def pending_runs(grid: DataFrame, done: DataFrame) -> DataFrame:
     return grid.join(done.select("symbol", "horizon", "model").distinct(), ["symbol", "horizon", "model"], "left_anti")
 
 
+def route(df: DataFrame, window: Column, default: int = 252) -> DataFrame:
+    """Results of other training windows than the default one get a `route` of their own: the folder they belong to."""
+    return df.withColumn("route", F.when(window == default, "default").otherwise(F.concat(F.lit("window_"), window.cast("string"))))
+
+
+def write_routed(df: DataFrame, path: str, window: Column, default: int = 252, fmt: str = "parquet") -> None:
+    """A folder per route, model and horizon, so that a scan of one route reads no other."""
+    routed = route(df, window, default).withColumn("model", clean_name(F.col("model")))
+    routed.write.mode("append").partitionBy("route", "model", "horizon").format(fmt).option("header", True).save(path)
+
+
 def write_metrics(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).option("header", True).save(path)

@@ -1,4 +1,4 @@
-"""Panels from tick tables: returns within the symbol, measures per day."""
+"""Panels from tick tables: measures per symbol and day."""
 
 from __future__ import annotations
 
@@ -10,19 +10,35 @@ def realized_measures(ticks: DataFrame, order: list[str]) -> DataFrame:
     """Daily measures from ticks (symbol, date, log price `p`, order columns).
 
     A return is the difference to the symbol's previous tick; bipower variation pairs
-    neighbouring returns of a day.
+    neighbouring returns of a day. Ticks are sorted within symbol and day only: the return over
+    night comes from the daily last prices, which are few, and is added to the day's sums.
     """
-    by_symbol = Window.partitionBy("symbol").orderBy("date", *order)
     by_day = Window.partitionBy("symbol", "date").orderBy(*order)
-    r = ticks.withColumn("r", F.col("p") - F.lag("p").over(by_symbol)).where("r is not null")
+    r = ticks.withColumns({"r": F.col("p") - F.lag("p").over(by_day), "place": F.row_number().over(by_day)})
     r = r.withColumn("before", F.lag(F.abs("r")).over(by_day))
     square = F.col("r") * F.col("r")
-    return r.groupBy("date", "symbol").agg(
-        F.sum(square).alias("rv"),
-        F.coalesce(F.lit(3.141592653589793 / 2) * F.sum(F.abs("r") * F.col("before")), F.lit(0.0)).alias("bv"),
-        F.sum(F.when(F.col("r") > 0, square).otherwise(0.0)).alias("good"),
-        F.sum(F.when(F.col("r") < 0, square).otherwise(0.0)).alias("bad"),
-        (F.count("*") / F.lit(3.0) * F.sum(square * square)).alias("rq"),
+    day = r.groupBy("symbol", "date").agg(
+        F.min_by("p", "place").alias("first"),
+        F.max_by("p", "place").alias("last"),
+        F.max(F.when(F.col("place") == 2, F.abs("r"))).alias("second"),
+        F.count("r").alias("n"),
+        *[F.coalesce(e, F.lit(0.0)).alias(c) for c, e in {
+            "rv": F.sum(square), "bv": F.sum(F.abs("r") * F.col("before")), "good": F.sum(F.when(F.col("r") > 0, square)),
+            "bad": F.sum(F.when(F.col("r") < 0, square)), "fourth": F.sum(square * square),
+        }.items()],
+    )
+    night = F.col("first") - F.lag("last").over(Window.partitionBy("symbol").orderBy("date"))
+    day = day.withColumn("night", night)
+    known, night = F.col("night").isNotNull(), F.coalesce("night", F.lit(0.0))
+    day = day.withColumns({"n": F.col("n") + known.cast("long"), "square": night * night})
+    return day.where("n > 0").select(
+        "date",
+        "symbol",
+        (F.col("rv") + F.col("square")).alias("rv"),
+        (F.lit(3.141592653589793 / 2) * (F.col("bv") + F.abs(night) * F.coalesce("second", F.lit(0.0)))).alias("bv"),
+        (F.col("good") + F.when(night > 0, F.col("square")).otherwise(0.0)).alias("good"),
+        (F.col("bad") + F.when(night < 0, F.col("square")).otherwise(0.0)).alias("bad"),
+        (F.col("n") / F.lit(3.0) * (F.col("fourth") + F.col("square") * F.col("square"))).alias("rq"),
     )
 
 
