@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 #: A slice given to the function holds at most this many text bytes, or one row.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
 
 
 def quoted(name: str) -> str:
@@ -43,11 +43,13 @@ def append_struct(
     dtype: StructType,
     fn: Callable[[pa.Array], Sequence[pa.Array]],
     keep: Sequence[str] | None = None,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """`keep` columns of `df` (default: all) and a struct column `out` made from the texts.
 
     `fn` gets the texts of a slice and returns one Arrow array for each field of
-    `dtype`. As with `withColumn`, `out` replaces a column of the same name.
+    `dtype`. As with `withColumn`, `out` replaces a column of the same name. `finish` runs when
+    a task has seen its last text: workers are reused, so what it kept would stay.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     source = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text_col)).cast("string").alias("text to map"))
@@ -56,11 +58,16 @@ def append_struct(
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, n):
-                made = [pa.array(a, f.type) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a for a, f in zip(fn(part.column(n)), arrow_type, strict=True)]
-                struct = pa.StructArray.from_arrays(made, fields=list(arrow_type))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], struct], names=[*kept, out])
+        try:
+            for batch in batches:
+                for part in slices(batch, n):
+                    made = [pa.array(a, f.type) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a for a, f in zip(fn(part.column(n)), arrow_type, strict=True)]
+                    struct = pa.StructArray.from_arrays(made, fields=list(arrow_type))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], struct], names=[*kept, out])
+        finally:
+            if finish is not None:
+                finish()
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -29,8 +29,8 @@ NONE = np.int32(2**31 - 1)
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 #: Rows longer than this merge all places of their minimum pair in a round, where that is the same.
 LONG_ROW = 256
-#: Distinct pieces remembered by a worker.
-CACHE = 300_000
+#: Bytes of distinct pieces and their ids that a task remembers between slices.
+CACHE_BYTES = 8 << 20
 
 
 class PairTable:
@@ -92,6 +92,7 @@ class Encoder:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = {i: token for token, i in ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge_matrix(self, ids: np.ndarray) -> np.ndarray:
         """Final ids of the rows of a matrix, both padded with -1."""
@@ -172,10 +173,17 @@ class Encoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text. The new pieces of all given texts share the matrices."""
         cut = [self.split(text) for text in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.encode_pieces(list(set().union(*cut).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        new = list(set().union(*cut).difference(self.known))
+        self.encode_pieces(new)
+        self.held += sum(4 * len(x) + 150 for x in new)  # the piece, its ids and the entry, about
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        if self.held > CACHE_BYTES:
+            self.forget()
+        return out
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -187,9 +195,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One for each Python worker. Every machine has the file at the same path."""
+    """The tables, one copy for each Python worker. Every machine has the file at the same path."""
     return Encoder(read_ranks(path), pattern)
 
 
@@ -218,7 +226,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text",
         lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
         return [counts, lists, pa.array([tool.decode(x) == t.encode() for x, t in zip(ids, plain, strict=True)])]
 
-    return append_struct(df, text_col, out, DIGESTS if digests else ENCODED, run, keep)
+    return append_struct(df, text_col, out, DIGESTS if digests else ENCODED, run, keep, finish=lambda: encoder(path, pattern).forget())
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str, out: str = "decoded") -> DataFrame:

@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 from volspan.llm import wordhash
 from volspan.llm.arrowmap import quoted, slices
 from volspan.llm.components import connected_components
-from volspan.llm.shared import stored
+from volspan.llm.shared import WorkTables, stored
 
 #: Most frequent shingles that the order knows: 16 bytes each are sent to every worker.
 FREQUENT = 200_000
 #: Shingles counted at once in a task, and the count there from which one is reported.
-COUNT_CHUNK, COUNT_LEAST = 4_000_000, 4
+COUNT_CHUNK, COUNT_LEAST = 1_000_000, 4
+#: Texts that a task remembers so as to count equal ones once.
+SEEN = 100_000
 SHORT = 32
 BLOCK = 128
 #: Classes of a long list in one task; longer lists are cut into blocks.
@@ -84,7 +86,7 @@ def frequent_shingles(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray,
                         seen.add(d)
                         held.append(s)
                         size += len(s)
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 if size > COUNT_CHUNK:
                     yield flush()
@@ -251,10 +253,10 @@ def long_list_edges(members: DataFrame, classes: DataFrame, percent: int) -> Dat
     return rows.groupBy("h", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def candidate_graph(classes: DataFrame, percent: int) -> DataFrame:
+def candidate_graph(classes: DataFrame, percent: int, work: WorkTables) -> DataFrame:
     """Edges (u, v) between classes such that linked classes lie in one component."""
     postings = classes.select(F.explode("prefix").alias("h"), "class", "n").repartition("h").sortWithinPartitions("h")
-    found = stored(postings.mapInArrow(lambda b: scan_lists(b, percent), "u long, v long, long boolean"), "candidates")
+    found = work.stored(postings.mapInArrow(lambda b: scan_lists(b, percent), "u long, v long, long boolean"), "candidates")
     long = long_list_edges(found.where("long").select(F.col("v").alias("h"), F.col("u").alias("class")), classes, percent)
     pairs = found.where("not long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
@@ -339,9 +341,9 @@ def search(sets: list[np.ndarray], queries: list[int], targets: list[int], perce
     return out
 
 
-def block_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def block_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, work: WorkTables) -> DataFrame:
     """Links (u, v) inside the groups, found block pair by block pair."""
-    placed = stored(groups.join(classes.select(F.col("class").alias("node"), "rep"), "node"), "groups")
+    placed = work.stored(groups.join(classes.select(F.col("class").alias("node"), "rep"), "node"), "groups")
     # the texts of the groups' classes; a row counts only if its own set has the class
     text = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     few = placed.count() <= BROADCAST_CLASSES
@@ -380,14 +382,20 @@ def block_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, id_col:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
     """Per document: `id_col`, `n_shingles`, `component_id` (the smallest id reachable by links)."""
     text = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
-    docs_signed = stored(signatures(docs, id_col, text_col, k, percent, frequent_shingles(text, k, frequent)), "signatures")
-    per_class = docs_signed.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = stored(per_class, "classes")
-    groups = connected_components(candidate_graph(classes, percent))
-    links = connected_components(stored(block_links(classes, groups, docs, id_col, text_col, k, percent), "links"))
-    named = links.join(classes.select(F.col("class").alias("node"), "rep"), "node")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
-    to_component = named.join(smallest, "component").select(F.col("node").alias("class"), "smallest")
-    reps = classes.select("class", "rep").join(to_component, "class", "left").select("class", F.coalesce("smallest", "rep").alias("smallest"))
-    rows = docs_signed.select("id", "n", "class").join(reps, "class", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
+    with WorkTables(docs.sparkSession) as work:
+        docs_signed = work.stored(signatures(docs, id_col, text_col, k, percent, frequent_shingles(text, k, frequent)), "signatures")
+        per_class = docs_signed.where("n > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        classes = work.stored(per_class, "classes")
+        groups = connected_components(candidate_graph(classes, percent, work), work)
+        links = connected_components(work.stored(block_links(classes, groups, docs, id_col, text_col, k, percent, work), "links"), work)
+        named = links.join(classes.select(F.col("class").alias("node"), "rep"), "node")
+        smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
+        to_component = named.join(smallest, "component").select(F.col("node").alias("class"), "smallest")
+        # only rows of a class with copies or links need a look; the others are their own component
+        found = classes.select("class", "copies", "rep").join(to_component, "class", "left").where("copies > 1 or smallest is not null")
+        found = work.stored(found.select("class", F.coalesce("smallest", "rep").alias("smallest")), "named")
+        if found.count() <= BROADCAST_CLASSES:
+            found = F.broadcast(found)
+        rows = docs_signed.where("n > 0").select("id", "n", "class").join(found, "class", "left").select("id", "n", "smallest")
+        rows = rows.unionByName(docs_signed.where("n = 0").select("id", "n", F.lit(None).cast(rows.schema["smallest"].dataType).alias("smallest")))
+        return stored(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id")), "jaccard_components")

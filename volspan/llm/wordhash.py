@@ -60,23 +60,51 @@ def word_spans(raw: np.ndarray, at: np.ndarray, inside: np.ndarray | None = None
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+#: Bytes whose factors are laid out at once; each takes about 40 bytes of memory there.
+CHUNK = 256 << 10
+
+
+def _weighted(raw: np.ndarray, starts: np.ndarray, size: np.ndarray, fold: bool, passed: int = 0) -> np.ndarray:
+    """The sum of factors of each span; `passed` bytes of the word lie before it."""
+    # the words' bytes on end, without what lies between
+    begin = np.cumsum(size) - size
+    index = np.arange(int(size.sum()), dtype=np.int64)
+    offset = index - np.repeat(begin, size)
+    value = (_FOLDED if fold else _BYTE)[raw[offset + np.repeat(starts, size)]]
+    offset += passed
+    with np.errstate(over="ignore"):
+        value *= _POWER[offset & 255]
+        if passed or (size > 256).any():  # later rounds of 256 bytes get factors of their own
+            value *= np.uint64(2) * (offset >> 8).astype(np.uint64) + np.uint64(1)
+        return np.add.reduceat(value, begin)
+
+
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, most: int | None = None) -> np.ndarray:
-    """A hash per word; `fold` lower-cases A-Z, `most` takes the first bytes only."""
+    """A hash per word; `fold` lower-cases A-Z, `most` takes the first bytes only.
+
+    Words are taken in runs of at most `CHUNK` bytes, and a longer word piece by piece.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     if most is not None:
         ends = np.minimum(ends, starts + most)
     size = ends - starts
-    # the words' bytes on end, without what lies between
-    begin = np.cumsum(size) - size
-    index = np.arange(int(size.sum()), dtype=np.int64)
-    offset = index - np.repeat(begin, size)
-    value = (_FOLDED if fold else _BYTE)[raw[offset + np.repeat(starts, size)]]
+    upto = np.cumsum(size)
+    sums = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        if size[i] > CHUNK:
+            with np.errstate(over="ignore"):
+                for passed in range(0, int(size[i]), CHUNK):
+                    piece = np.array([min(CHUNK, int(size[i]) - passed)])
+                    sums[i : i + 1] += _weighted(raw, starts[i : i + 1] + passed, piece, fold, passed)
+            i += 1
+            continue
+        j = int(np.searchsorted(upto, upto[i] - size[i] + CHUNK, side="right"))
+        sums[i:j] = _weighted(raw, starts[i:j], size[i:j], fold)
+        i = j
     with np.errstate(over="ignore"):
-        value = value * _POWER[offset & 255]
-        if (size > 256).any():  # later rounds of 256 bytes get factors of their own
-            value = value * (np.uint64(2) * (offset >> 8).astype(np.uint64) + np.uint64(1))
-        return mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
+        return mix(sums + size.astype(np.uint64))
 
 
 def words_of(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
