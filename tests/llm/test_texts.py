@@ -70,15 +70,37 @@ def test_quality_counts(odd):
 
 
 def test_compression_bands(spark):
+    """Both sides of both bands, at several lengths, with the default bands and with fitted ones."""
+    import base64
+
     rng = random.Random(3)
-    noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(6)) for _ in range(2000))
-    dull = " ".join(f"{prose(3, i % 40)} {i % 7}" for i in range(40 * 7 * 3))
-    rows = spark.createDataFrame([(0, prose(300, 1)), (1, noise), (2, dull)], "doc_id long, text string")
-    out = {r.doc_id: r.quality for r in quality_rules.quality_rules(rows).collect()}
-    assert out[0].kept and not out[1].kept and out[1].reason in ("incompressible", "chunks outside")
-    for i, text in ((0, prose(300, 1)), (1, noise)):
-        raw = text.encode()
-        assert math.isclose(out[i].ratio, len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw))
+    common = "the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    english = lambda n, s: " ".join(random.Random(s).choices(common, k=n))
+    good = [(i, prose(n, 100 + i)) for i, n in enumerate([25, 60, 120, 250, 500, 1000, 2000, 4000, 8000] * 12)]
+    noise = lambda n: "\n".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(n // 61 + 1)).replace("+", " ")
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(3, 9))) for _ in range(n // 7))
+    template = lambda n: " ".join(f"The item number {rng.randint(1, 9999)} was sold for {rng.randint(1, 999)} euros on day {rng.randint(1, 365)}." for _ in range(n // 60))
+    half = lambda n: prose(n // 12, 5) + "\n" + template(n // 2)
+    bad = [(1000 + i, f(n)) for i, (f, n) in enumerate([(noise, 1_500), (noise, 10_000), (noise, 50_000), (letters, 10_000), (letters, 50_000), (template, 2_000), (template, 10_000), (template, 50_000), (half, 20_000), (half, 60_000)])]
+    fresh = [(2000 + i, prose(n, 900 + i)) for i, n in enumerate([40, 120, 250, 500, 1000, 2000, 4000])]
+    plain = [(3000 + i, english(n, i)) for i, n in enumerate([40, 120, 500, 2000])]
+    df = spark.createDataFrame([*good, *bad, *fresh, *plain], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad[:3]], "doc_id long, quality int")
+    whole, chunks = quality_rules.fit_bands(df, labels)
+    assert chunks != quality_rules.CHUNK_BANDS
+    press = zstandard.ZstdCompressor(level=3).compress
+    for fitted in (False, True):
+        bands = {"document_bands": whole, "chunk_bands": chunks} if fitted else {}
+        out = {r.doc_id: (r.text, r.quality) for r in quality_rules.quality_rules(df, **bands).collect()}
+        for i, (text, q) in out.items():
+            raw = text.encode()
+            assert math.isclose(q.ratio, len(press(raw)) / len(raw))
+            if i < 1000 or i >= 2000:
+                assert q.kept or (fitted and i >= 3000), (i, fitted, q)
+            elif not q.base_failed:
+                assert not q.kept, (i, fitted, q)
+        reasons = Counter(q.reason for i, (_, q) in out.items() if 1000 <= i < 2000)
+        assert reasons["incompressible"] >= 3 and reasons["repetitive"] >= 1 and reasons["chunks outside"] + reasons["repetitive"] >= 4, reasons
 
 
 # ---- byte-level BPE
@@ -144,15 +166,93 @@ def test_secret_bases_and_guesses(spark, odd):
             assert [r.text[s:e] for k, s, e in spans if k == "guess"] == ["x9$Kq2!vLp0Zw"]
 
 
+def exhaustive_guess(value, words):
+    """The cheapest of all segmentations, tried one by one."""
+    S = secret_scan
+    rank = {}
+    for i, w in enumerate(words):
+        rank.setdefault(w, math.log10(i + 2))
+    per_char = S.brute_log10(value) / len(value)
+    low = value.lower()
+    plain = low.translate(S.LEET)
+
+    def costs(i, j):
+        """Of value[i:j] as one segment."""
+        part = value[i:j]
+        if j - i == 1:
+            return  # single characters have no boundary: see search()
+        for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
+            if w in rank:
+                shape = 0.0 if part.islower() or part.isdigit() else 0.3 if part.istitle() or part.isupper() else 0.9
+                yield rank[w] + extra + shape
+                break
+        if (m := S.DATE.match(value, i)) and m.end() == j:
+            yield math.log10(36_500)
+        if j - i >= 3 and all(low[x + 1] in S.NEAR.get(low[x], ()) for x in range(i, j - 1)):
+            yield math.log10(94) + 0.25 * (j - i)
+        if j - i >= 3 and {ord(low[x + 1]) - ord(low[x]) for x in range(i, j - 1)} in ({1}, {-1}):
+            yield math.log10(8 * (j - i))
+        for unit in range(1, 9):
+            copies, rest = divmod(j - i, unit)
+            if not rest and copies >= 2 and j - i >= 3 and part == part[:unit] * copies:
+                yield unit * per_char + math.log10(copies)
+
+    best = math.inf
+
+    def search(at, sofar):
+        nonlocal best
+        if at == len(value):
+            best = min(best, sofar)
+            return
+        search(at + 1, sofar + per_char)
+        for j in range(at + 2, len(value) + 1):
+            for c in costs(at, j):
+                search(j, sofar + c + (0.3 if at else 0.0))
+
+    search(0, 0.0)
+    return best
+
+
+def test_guess_costs_are_the_least():
+    rng = random.Random(12)
+    words = ("pass", "word", "password", "love", "abc", "qwe", "ass", "2019", "monkey")
+    values = ["passsssss", "qwertyabc", "p4ssw0rd1", "abcabcab", "MonkeyLove", "31121999", "aaaa", "zyxwv9", "Passw0rd!!"]
+    values += ["".join(rng.choice("abcqwe12$P") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    values += ["".join(rng.choice(("ab", "abc", "qwe", "aa", "1999", "pass", "Z", "12")) for _ in range(rng.randint(1, 4)))[:10] for _ in range(60)]
+    for v in values:
+        assert math.isclose(secret_scan.guess_log10(v, words), exhaustive_guess(v, words), rel_tol=1e-9), v
+
+
 def test_guess_costs():
     g = secret_scan.guess_log10
     assert g("password1") < 4 and g("qwertyuiop") < 5 and g("aaaaaaaaaaaa") < 4 and g("1998-12-31") < 6 and g("Summer2021") < 8
     assert g("x9$Kq2!vLp") > 15 and g("b44e15e09fd311c3cf3163b66d5a9875b883d8ce") > 30 and g("") == 0
-    assert g("Zq8#" * 200) > 0
     for v in ("abcabcabc", "monkey2019!!", "p4ssw0rd"):
         assert g(v) <= secret_scan.brute_log10(v) + 1e-9
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "Zq8#", "qw", "0123456789", "\u0130x"])
+def test_long_values_cost_no_more_for_their_length(unit):
+    """One segmentation over the whole value: a repeat stays one guess, at any length and in linear time."""
+    g = secret_scan.guess_log10
+    short, long = g(unit * 60), g(unit * 6000)
+    assert (g(unit * 6000, enough=9.0) >= 9) == (long >= 9)
+    if len(unit) <= 8:
+        assert long <= short + 3 and long < 9 + 2 * len(unit)
+    rng = random.Random(2)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(3000))
+    assert g(noise) > 4000 and g(noise * 400, enough=9.0) >= 9
+
+
+def test_dictionary_of_the_corpus(spark):
+    rows = [(0, "the river the River, THE the"), (1, "x river ab secret=riverthe9"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_scan.corpus_words(df) == ("the", "river")
+    assert secret_scan.corpus_words(df.where("false")) == ()
+    assert secret_scan.guess_log10("riverthe9", ("the", "river")) < 4 < secret_scan.guess_log10("riverthe9", ())
+    assert secret_scan.secret_spans(df.where("false")).count() == 0
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(0, SECRETS[0]), (1, "clean text"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.redacted for r in secret_scan.redact_secrets(df).collect()}
@@ -222,25 +322,71 @@ def test_spelled_out_at_without_digits(spark, crf):
     assert out[0].spans and out[1].spans
 
 
-def test_segmentation_is_the_best_one(crf):
-    w = pii.windows("call (437) 555-0689 or 10 . 2 . 3 . 4 now")[0]
-    scores = w.features @ crf.T
-
-    def total(segments):
-        return sum(float(scores[w.segments.index((i, j)), k]) for i, j, k in segments)
-
-    best, found = 0.0, w.best(crf)
-    options = [(i, j, int(scores[n].argmax())) for n, (i, j) in enumerate(w.segments)]
-
-    def search(at, sofar):
-        nonlocal best
-        best = max(best, sofar)
-        for i, j, k in options:
-            if i >= at and scores[w.segments.index((i, j)), k] > 0:
-                search(j, sofar + float(scores[w.segments.index((i, j)), k]))
-
-    search(0, 0.0)
-    assert math.isclose(total(found), best, rel_tol=1e-6)
+def labellings(w, at=0):
+    """All ways to cut a window from token `at` on: lists of (begin, end, kind)."""
+    n = len(w.tokens)
+    if at == n:
+        yield []
+        return
+    for rest in labellings(w, at + 1):
+        yield [(at, at + 1, pii.OUTSIDE), *rest]
+    for j in range(at + 1, n + 1):
+        if at in w.ending(j)[0]:
+            for rest in labellings(w, j):
+                for k in range(pii.OUTSIDE):
+                    yield [(at, j, k), *rest]
+
+
+def labelling_score(w, field, segments):
+    total, before = 0.0, pii.OUTSIDE
+    for i, j, k in segments:
+        if k == pii.OUTSIDE:
+            own = pii.outside_features(w.word[i]) @ field.outside
+        else:
+            starts, features = w.ending(j)
+            own = features[starts.index(i)] @ field.spans[k]
+        total, before = total + field.moves[before, k] + own, k
+    return total
+
+
+def test_field_against_all_labellings(crf):
+    """The decoded labelling is the best of all; likelihood and gradient are those of the sum over all."""
+    w = pii.windows("or 10 . 2 a")[0]
+    rng = np.random.default_rng(4)
+    for field in (crf, pii.Field(rng.normal(size=crf.spans.shape), rng.normal(size=crf.outside.shape), rng.normal(size=crf.moves.shape))):
+        every = list(labellings(w))
+        scores = np.array([labelling_score(w, field, s) for s in every])
+        found = w.best(field)
+        best = every[int(scores.argmax())]
+        assert found == [s for s in best if s[2] < pii.OUTSIDE] or math.isclose(scores.max(), labelling_score(w, field, best))
+        gold = {(1, 4): 1}
+        own = [(0, 1, 4), (1, 4, 1), (4, 5, 4)]
+        value, slope = w.gradient(field, gold)
+        assert math.isclose(value, labelling_score(w, field, own) - np.logaddexp.reduce(scores), rel_tol=1e-9)
+        for part in range(3):
+            flat = field[part].ravel()
+            for x in rng.integers(0, flat.size, 6):
+                def moved(by):
+                    other = [p.copy() for p in field]
+                    other[part].ravel()[x] += by  # noqa: B023
+                    return w.gradient(pii.Field(*other), gold)[0]
+
+                assert math.isclose((moved(1e-5) - moved(-1e-5)) / 2e-5, slope[part].ravel()[x], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_base_patterns_are_linear():
+    import time
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rng.choice("a1.@-% \n") for _ in range(rng.randint(0, 30)))
+        assert pii.emails(t) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)], t
+        t = "".join(rng.choice("1234.. x") for _ in range(rng.randint(0, 30)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)], t
+    began = time.perf_counter()
+    for t in ("x" * 2_000_000 + " a@b.c", "7" * 2_000_000, "a@" * 300_000, "1." * 300_000, "+1" + "(" * 300_000):
+        pii.base_spans(t)
+    assert time.perf_counter() - began < 20
 
 
 # ---- n-gram Jaccard join
@@ -395,6 +541,19 @@ def test_overlaps_of_every_pattern(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()} == expected
 
 
+def test_overlaps_of_repeated_words(spark):
+    """Equal surroundings of hits count once, and names of the inner columns may be keys."""
+    rows = [(0, "same " * 3000), (1, " ".join(["a b c"] * 800)), (2, prose(40, 3)), (3, "same " * 12)]
+    df = spark.createDataFrame(rows, "item long, text string").withColumn("at", F.lit("x")).withColumn("seed", F.lit(1)).withColumn("words", F.lit(2.0)).withColumn("near", F.lit(3))
+    bench = spark.createDataFrame([(0, "same " * 30), (1, "b c a " * 20), (2, "c b a " * 20)], "item_id long, text string")
+    got = decontaminate.overlaps(df, bench, ["item", "at", "seed", "words", "near"])
+    assert {(r["item"], r["item_id"], r["n_aligned"], r["n_equal"]) for r in got.collect()} == {(0, 0, 13, 13), (1, 1, 13, 13)}
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(df, bench, ["item"], item_col="item", item_text_col="text")
+    kept = decontaminate.decontaminate(df, bench, "item")
+    assert sorted(r["item"] for r in kept.collect()) == [2, 3] and kept.columns == df.columns
+
+
 # ---- importance resampling
 
 
@@ -423,6 +582,36 @@ def test_importance_prefers_the_target(spark, empty):
     assert all(r.log_weight == 0 for r in importance.importance_resample(df, labels.where("false")).collect())
 
 
+def test_importance_against_brute_force(spark):
+    """Weights n-gram by n-gram, and the kept rows by sorting all keys; ties at the last place are all kept."""
+    buckets = 500
+    rows = [(i, prose(rngn, 7000 + i)) for i, rngn in enumerate([1, 2, 5, 30, 200] * 12)] + [(70, None), (71, "")] + [(80, "same text of two rows")] * 2 + [(None, "no id"), (None, "no id too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("log_weight", F.lit("clash")).withColumn("noise", F.lit(0))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int")
+    import pyarrow as pa
+
+    def grams(text):
+        h, _ = importance.wordhash.words_of(pa.array([text], pa.string()))
+        with np.errstate(over="ignore"):
+            pairs = [importance.wordhash.mix(h[i : i + 1] * np.uint64(3) + h[i + 1 : i + 2])[0] for i in range(len(h) - 1)]
+        return [int(x % np.uint64(buckets)) for x in [*h, *pairs]]
+
+    counts = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows if i is not None and i < 60 and i % 3 == 0 for g in grams(t))
+    total = [sum(c.values()) for c in counts]
+    ratio = [math.log((counts[1][g] + 1) / (total[1] + buckets)) - math.log((counts[0][g] + 1) / (total[0] + buckets)) for g in range(buckets)]
+    for power in (0.0, 1.0):
+        out = importance.importance_resample(df, labels, buckets=buckets, keep_share=0.6, length_power=power).collect()
+        assert len(out) == len(rows)
+        left = Counter((i, len(grams(t)), round(sum(ratio[g] for g in grams(t)) / max(1, len(grams(t))) ** power, 9)) for i, t in rows)
+        assert left == Counter((r.doc_id, r.n_grams, round(r.log_weight, 9)) for r in out)
+        keys = sorted((r.gumbel_key for r in out), reverse=True)
+        least = keys[round(0.6 * len(rows)) - 1]
+        assert all(r.kept == (r.gumbel_key >= least) or abs(r.gumbel_key - least) < 1e-6 for r in out)
+        assert len({r.gumbel_key - r.log_weight for r in out if r.doc_id is None}) == 2
+    same = [r.gumbel_key for r in out if r.doc_id == 80]
+    assert same[0] == same[1]
+
+
 # ---- toxicity
 
 
@@ -437,6 +626,119 @@ def test_restoring_disguised_words():
     assert sorted(zip(tokens, rows.tolist(), strict=True)) == [("1d10t", 2), ("idiooot", 3), ("s t u p i d", 2)]
 
 
+def lattice_best(r, token):
+    """The best path of the lattice, all paths tried: log probability and letters."""
+    paths = [(0.0, "", 0, 0)]
+    before = ""
+    for c in token:
+        step = []
+        for p, letters, a, b in paths:
+            for x, cost in r.options(c, before):
+                code = 0 if x == " " else ord(x) - 96 if x else 0
+                step.append((p + cost + r.logp[a][b][code], letters + x, b, code) if x else (p + cost, letters, a, b))
+        paths, before = step, (before + c.lower())[-2:]
+    return max((p + r.logp[a][b][0], letters) for p, letters, a, b in paths)
+
+
+def test_viterbi_finds_the_best_path():
+    import pyarrow as pa
+
+    r = toxicity.Restorer(toxicity.trigram_counts(pa.array([" ".join(["idiot moron stupid you are a loser"] * 30 + [prose(1000, 1)])])))
+    rng = random.Random(8)
+    tokens = ["1d10t", "m-o-r-0-n", "y o u", "a $ s", "l00ser", "iii|", "a-1-b"] + ["".join(rng.choice("ai1o0s$ -|t7") for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    for t in tokens:
+        p, letters = r.viterbi(t)
+        q, expected = lattice_best(r, t)
+        assert math.isclose(p, q, rel_tol=1e-12, abs_tol=1e-12), t
+        assert letters == expected or math.isclose(p, q), t
+
+
+def test_long_runs_and_tokens_are_restored_whole():
+    import pyarrow as pa
+
+    words = "you are a stupid idiot and your moron friends think that this is the worst trash of all".split()
+    r = toxicity.Restorer(toxicity.trigram_counts(pa.array([" ".join(words * 60)])))
+    run = " ".join("".join(words))
+    assert len(run) > 2 * 64
+    tokens, rows = toxicity.disguised_tokens(*toxicity.wordhash.text_bytes(pa.array([run, "i" * 3 + "d10t" + "o" * 5000 + "t"])))
+    assert tokens[1:] == [run] or run in tokens
+    restored = r.restore(run)
+    assert restored.replace(" ", "") == "".join(words)
+    assert {"stupid", "idiot", "moron", "trash"} <= set(restored.split())
+    assert r.restore("a s t u p i d").split() == ["a", "stupid"]
+    assert r.restore("id" + "i" * 3000 + "10t") == "idiot"
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces give the features of the whole, and take memory of a small multiple of the text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = toxicity.Restorer(toxicity.trigram_counts(pa.array([prose(3000, 1)])))
+    rng = random.Random(5)
+    text = " ".join(w if rng.random() < 0.97 else "s t u p i d" if rng.random() < 0.5 else "1d10t" for w in prose(6000, 2).split()) + " " + "a1" * 900 + " end"
+    whole = set(toxicity.features(pa.array([text]), r, 1 << 20)[0].tolist())
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    assert set(toxicity.features(pa.array([text]), r, 1 << 20)[0].tolist()) == whole
+    monkeypatch.undo()
+    assert toxicity.trigram_counts(pa.array([text, "ab", "", "abc"])).sum() == len(text) - 2 + 1
+    long = pa.array([prose(2_000_000, 3)])
+    size = len(long[0].as_py())
+    for f in (lambda: toxicity.features(long, r, 1 << 20), lambda: list(jaccard_join.sets_of(long, 5)), lambda: importance.features(long, 10_000), lambda: quality_rules.repeat_words(quality_rules.wordhash.words_of(long)[0])):
+        tracemalloc.start()
+        f()
+        assert tracemalloc.get_traced_memory()[1] < 15 * size
+        tracemalloc.stop()
+
+
+def test_word_hashes_in_runs(monkeypatch):
+    """A hash does not depend on the runs that words are taken in; long words are hashed piece by piece."""
+    import pyarrow as pa
+
+    W = toxicity.wordhash
+    texts = pa.array(["a bb ccc " * 50, "x" * 3000 + " y", None, "", "z" * 700, "Ab aB"])
+    raw, at = W.text_bytes(texts)
+    starts, ends = W.word_spans(raw, at)
+    whole = W.hash_words(raw, starts, ends)
+    for chunk in (1, 7, 64, 1000):
+        monkeypatch.setattr(W, "CHUNK", chunk)
+        assert (W.hash_words(raw, starts, ends) == whole).all()
+    assert len(set(whole.tolist())) == 7
+
+
+def test_scores_are_sums_of_weights(spark):
+    """Evidence against features taken word by word."""
+    rng = random.Random(14)
+    rows = [(i, prose(15, 4000 + i) + (" schwachköpfig" if i % 3 == 0 else " freundlich")) for i in range(300)] + [(900, None), (901, "schwachk\u00f6pfen 1d10t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxicity", F.lit(rng.random())).withColumn("evidence", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(250)], "doc_id long, toxic int")
+    out = {r.doc_id: r.toxicity for r in toxicity.toxicity_scores(df.select("doc_id", "text", "evidence"), labels).collect()}
+    toxic, clean = [{*feature_names(t)} for i, t in rows[:250] if i % 3 == 0], [{*feature_names(t)} for i, t in rows[:250] if i % 3]
+    weights = {}
+    for f in set().union(*toxic):
+        a, b = sum(f in t for t in toxic), sum(f in t for t in clean)
+        p, q = (a + 0.05) / (len(toxic) + 0.1), (b + 0.05) / (len(clean) + 0.1)
+        pooled = (a + b + 0.1) / 250
+        z = (p - q) / math.sqrt(pooled * (1 - min(pooled, 0.999)) * (1 / len(clean) + 1 / len(toxic)))
+        if a > 2 and z > 5 and math.log(p / q) > 1:
+            weights[f] = math.log(p / q)
+    assert set(weights) == {("schwachköpfig", 0), ("schw", 4), ("schwa", 5)}
+    for i, t in rows:
+        if i != 901:
+            assert math.isclose(out[i].evidence, sum(weights.get(f, 0) for f in set(feature_names(t))), rel_tol=1e-5, abs_tol=1e-9)
+    assert out[901].evidence > 2 and out[900].evidence == 0
+
+
+def feature_names(text):
+    for w in re.findall(r"[A-Za-z\u0080-\U0010ffff]+", text or ""):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+        yield (w, 0)
+        for k in (4, 5):
+            if len(w) > k:
+                yield (w[:k], k)
+
+
 def test_disguised_at_the_end_of_a_word():
     import pyarrow as pa
 
@@ -480,7 +782,44 @@ def test_toxicity_without_labels(spark, odd):
     assert all(r.toxicity.score == 0 for r in toxicity.toxicity_scores(odd, none).collect())
 
 
-# ---- all on empty tables
+# ---- all with clashing names, repeated rows and empty tables
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """A table with nulls and repeats, and the same with columns named like the operators' own."""
+    texts = [None, "", prose(40, 1), prose(40, 1), prose(30, 2) + " jo.1@mail.example.com", prose(25, 3) + ' secret = "Zx81kQ90vv"', prose(60, 4)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[6]), (None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["text to map", "text to weigh", "noise", "id", "label id", "good id", "h", "n", "class", "rep", "copies", "smallest", "node", "component", "bits", "prefix", "word", "words", "item", "seed", "at", "need", "key 0", "near", "kept", "score", "evidence", "ids", "spans", "component_id", "n_shingles", "log_weight", "gumbel_key", "document id", "bad id"]
+    return plain, plain.withColumns({n: F.lit(f"clash {n}") for n in names})
+
+
+def outcome(name, df, spark):
+    labels = spark.createDataFrame([(2, 1, 0), (4, 1, 1), (6, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").withColumn("good id", F.lit("x")).withColumn("label id", F.lit(1)).withColumn("text", F.lit("clash"))
+    bench = spark.createDataFrame([(0, prose(40, 1))], "item_id long, text string").withColumn("doc_id", F.lit(77)).withColumn("seed", F.lit("x")).withColumn("need", F.lit(1))
+    path = P.path("byte_bpe_50k.tiktoken")
+    made = {
+        "pii": lambda: pii.personal_data(df, keep=["doc_id"]),
+        "jaccard": lambda: jaccard_join.jaccard_components(df),
+        "importance": lambda: importance.importance_resample(df, labels),
+        "quality": lambda: quality_rules.quality_rules(df, out="found", keep=["doc_id"], document_bands=quality_rules.fit_bands(df, labels)[0]),
+        "bpe": lambda: bpe.encode_texts(df, path, P.PATTERN, keep=["doc_id"]),
+        "toxicity": lambda: toxicity.toxicity_scores(df, labels),
+        "secrets": lambda: secret_scan.secret_spans(df, keep=["doc_id"]),
+        "redaction": lambda: secret_scan.redact_secrets(df, keep=["doc_id"]),
+        "overlaps": lambda: decontaminate.overlaps(df, bench),
+        "decontaminate": lambda: decontaminate.decontaminate(df, bench).select("doc_id", "text"),
+    }[name]()
+    return made.columns, Counter(map(str, made.collect()))
+
+
+@pytest.mark.parametrize("name", ["pii", "jaccard", "importance", "quality", "bpe", "toxicity", "secrets", "redaction", "overlaps", "decontaminate"])
+def test_clashing_names_change_nothing(spark, clashing, name):
+    plain, more = (outcome(name, df, spark) for df in clashing)
+    assert plain == more
+    rows = sum(plain[1].values())
+    assert rows == {"overlaps": 2, "decontaminate": 7}.get(name, 10)
 
 
 def test_empty_tables(empty):

@@ -162,7 +162,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """
     mark = F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
     keyed = docs.select(F.col(quoted(id_col)).alias("document id"), mark.alias("document mark"), quoted(text_col))
-    bad = stored(overlaps(keyed, bench, ["document id", "document mark"], text_col, **options).select(F.col("document id").alias("bad id"), F.col("document mark").alias("bad mark")).distinct(), "overlapping")
+    taken, bad_id, bad_mark = {c.lower() for c in docs.columns}, "bad id", "bad mark"
+    while bad_id in taken or bad_mark in taken:
+        bad_id, bad_mark = bad_id + "_", bad_mark + "_"
+    found = overlaps(keyed, bench, ["document id", "document mark"], text_col, **options)
+    bad = stored(found.select(F.col("document id").alias(bad_id), F.col("document mark").alias(bad_mark)).distinct(), "overlapping")
     if bad.count() <= BROADCAST_KEYS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(quoted(id_col)).eqNullSafe(F.col("bad id")) & (mark == F.col("bad mark")), "left_anti")
+    return docs.join(bad, F.col(quoted(id_col)).eqNullSafe(F.col(bad_id)) & (mark == F.col(bad_mark)), "left_anti")

@@ -11,7 +11,7 @@ rule that fits a url decides it.
 Defined results: a null url or one without "://" has an empty host and path, fits no
 rule, and is judged by the posterior of the empty host; pages without a label count
 for no outcome; several labels of a page count as its worst; repeated pages each
-count and each get a row; without any label the prior is Beta(1, 1) at every level and
+count and each get a row; an IP address is its own domain and suffix; without any label the prior is Beta(1, 1) at every level and
 nothing is blocked.
 """
 
@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volspan.llm.shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "ne.jp", "co.nz", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr", "com.ar")
@@ -44,14 +46,21 @@ def bare_host(host: Column) -> Column:
     return F.regexp_extract(host, r"^(?:[^@]*@)?([^:]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    last, two = F.substring_index(bare_host(host), ".", -1), F.substring_index(bare_host(host), ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(last)
+def is_address(bare: Column) -> Column:
+    """Numbers and dots only: an IP address, which is its own domain and suffix."""
+    return bare.rlike(r"^[0-9.]+$")
+
 
+def suffix_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    bare = bare_host(host)
+    last, two = F.substring_index(bare, ".", -1), F.substring_index(bare, ".", -2)
+    return F.when(is_address(bare), bare).when(two.isin(*two_labels), two).otherwise(last)
 
-def domain_of(host: Column) -> Column:
-    bare, two = bare_host(host), F.substring_index(bare_host(host), ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+
+def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    bare = bare_host(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(is_address(bare), bare).when(two.isin(*two_labels), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -80,9 +89,9 @@ def prior_strength(groups: DataFrame) -> float:
     return min(1000.0, max(1.0, 1.0 / rho - 1.0)) if rho > 0 else 1000.0
 
 
-def host_posteriors(counts: DataFrame) -> DataFrame:
+def host_posteriors(counts: DataFrame, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Posterior `a` and `b` of each host from its row (host, n, k)."""
-    hosts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = counts.withColumn("domain", domain_of(F.col("host"), two_labels)).withColumn("suffix", suffix_of(F.col("host"), two_labels))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -111,13 +120,18 @@ def judge_urls(
     outcome_col: str = "quality",
     min_good: float = 0.5,
     z: float = 1.645,
+    two_label_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
-    """Per page: `id_col`, `host`, `path`, `rule`, `verdict` and the posterior bound `good_bound`."""
+    """Per page: `id_col`, `host`, `path`, `rule`, `verdict` and the posterior bound `good_bound`.
+
+    The host counts, one row per host, are written once; all levels are made of them.
+    `two_label_suffixes` names the suffixes of two labels; any other suffix is the last label.
+    """
     url = F.col(f"`{url_col}`")
     found = pages.select(F.col(f"`{id_col}`"), url_host(url).alias("host"), url_path(url).alias("path"))
     known = outcomes.where(F.col(f"`{outcome_col}`").isin(0, 1) & F.col(f"`{outcome_id}`").isNotNull()).groupBy(F.col(f"`{outcome_id}`").alias("labelled id")).agg(F.min(outcome_col).cast("long").alias("good"))
     counts = found.join(known, F.col(f"`{id_col}`") == F.col("labelled id"), "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    posterior = host_posteriors(counts).select("host", upper_bound(F.col("a"), F.col("b"), z).alias("good_bound"))
+    posterior = host_posteriors(stored(counts, "host_counts"), two_label_suffixes).select("host", upper_bound(F.col("a"), F.col("b"), z).alias("good_bound"))
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     judged = found.join(posterior, "host").withColumn("picked", rule) if rules else found.join(posterior, "host").withColumn("picked", F.lit(None).cast("struct<rule:string,action:string>"))
     own = F.when(F.col("good_bound") < min_good, "block").otherwise("allow")

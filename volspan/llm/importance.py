@@ -2,17 +2,20 @@
 
 Words and word pairs are hashed into `buckets`. Two generative models count them:
 the raw model over all documents, the target model over documents labelled good. A
-document's log weight is the sum over its n-grams of log(target / raw), divided by
-their number and multiplied by `scale`, so that long texts don't drown the noise.
-Documents are sampled without replacement by Gumbel top-k: the `keep_share` of all
-documents with the largest log weight + Gumbel noise. The noise comes from a hash
-of the id, so that a task that runs again draws the same.
+document's log weight is the sum over its n-grams of log(target / raw): the log of the
+ratio of its probabilities under both. Documents are sampled without replacement by
+Gumbel top-k: the `keep_share` of all documents with the largest log weight + Gumbel
+noise. The noise comes from a hash of the id (of the text where the id is null), so that a
+task that runs again draws the same.
+
+Weights of long texts are far apart, so noise decides among short and borderline ones
+only; `length_power` p divides the sum by n ** p for a softer draw (1: the mean).
 
 The k-th largest key is found exactly by counting the keys by 16 of their bits in
 three rounds, narrowed each time; nothing is sorted or collected whole.
 
 Defined results: null and empty texts have no n-grams and log weight 0 (neither
-model prefers them); repeated rows get equal keys; rows tied at the k-th key are all
+model prefers them); keys beyond 2 ** 23 count as that; repeated rows get equal keys; rows tied at the k-th key are all
 kept; an empty table gives an empty result; without a labelled good document every
 log weight is 0.
 """
@@ -83,9 +86,10 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     return np.log(smooth[1] / smooth[0])
 
 
-def gumbel(id_col: str, seed: int):
-    """Standard Gumbel noise from a hash of the id."""
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(quoted(id_col)).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+def gumbel(id_col: str, text_col: str, seed: int):
+    """Standard Gumbel noise from a hash of the id, or else of the text."""
+    own = F.coalesce(F.col(quoted(id_col)).cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(quoted(text_col)).cast("string"))))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), own), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     return -F.log(-F.log(uniform))
 
 
@@ -121,8 +125,8 @@ def importance_resample(
     text_col: str = "text",
     label_id: str = "doc_id",
     good_col: str = "quality",
-    keep_share: float = 0.88,
-    scale: float = 40.0,
+    keep_share: float = 0.9,
+    length_power: float = 0.0,
     buckets: int = BUCKETS,
     target_rows: int = TARGET_ROWS,
     seed: int = 7,
@@ -134,11 +138,13 @@ def importance_resample(
         bucket, row = features(texts, buckets)
         n = np.bincount(row, minlength=len(texts))
         total = np.bincount(row, weights[bucket], minlength=len(texts))
-        return [n.astype(np.int64), scale * total / np.maximum(n, 1)]
+        return [n.astype(np.int64), total / np.maximum(n, 1) ** length_power]
 
     dtype = StructType([StructField("n_grams", LongType()), StructField("log_weight", DoubleType())])
-    scored = append_struct(docs, text_col, "importance result", dtype, score, keep=[id_col]).select(quoted(id_col), "`importance result`.*")
-    scored = stored(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(id_col, seed)), "importance")
+    noisy = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("text to weigh"), gumbel(id_col, text_col, seed).alias("noise"))
+    scored = append_struct(noisy, "text to weigh", "importance result", dtype, score, keep=[id_col, "noise"])
+    key = F.col("`importance result`.log_weight") + F.col("noise")
+    scored = stored(scored.select(quoted(id_col), "`importance result`.*", key.alias("gumbel_key")), "importance")
     half = float(1 << (KEY_BITS - STEP_BITS - 1))
     step = F.floor((F.greatest(F.least(F.col("gumbel_key"), F.lit(half - 1)), F.lit(-half)) + half) * float(1 << STEP_BITS)).cast("long")
     least = kth_largest(scored.select(step.alias("step")), "step", round(keep_share * scored.count()))

@@ -4,12 +4,13 @@ Base kinds (email, ip, card, phone) are found by pattern, leftmost and
 non-overlapping per kind; a match that fails its test is dropped without a retry.
 
 The random field segments the tokens around every trigger (a digit, an at sign, or a
-spelled-out "at"/"dot" sign) into entities of at most `MOST_TOKENS` tokens and single
-outside tokens. Features describe whole spans: how many digits, which separators,
-which tests (octets, Luhn, digit counts) the span passes once spelled-out signs are
-undone, and the token before. Dynamic programming over segment ends picks boundaries
-and types together, so its cost is tokens x MOST_TOKENS x types. Entities that overlap
-no base span are added, with the kinds `crf_email` and so on.
+spelled-out "at"/"dot" sign) into entities of at most `MOST_TOKENS` tokens and
+`MOST_CHARS` characters, and single outside tokens. Features describe whole spans: how
+many digits, which separators, which tests (octets, Luhn, digit counts) the span passes
+once spelled-out signs are undone, and the tokens beside it; outside tokens and
+neighbouring labels have weights of their own. Dynamic programming over segment ends and
+labels picks boundaries and types together, so its cost is tokens x MOST_TOKENS x labels
+squared. Entities that overlap no base span are added, with the kinds `crf_email` and so on.
 
 The weights are fitted here, by gradient steps on the segmentation likelihood, on
 windows around base matches of a bounded sample of rows, each also in disguised
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +35,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from volspan.llm import wordhash
 from volspan.llm.arrowmap import append_struct, quoted
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: An email is searched from its at sign: the longest run of LOCAL before it, then HOST. Searched from
+#: its beginning, a long run without an at sign would be read again from each of its characters.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: A match can begin only where a run of digits does: what follows the run is the same for all of its digits.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Longest entity in tokens, and tokens of context on both sides of a trigger.
-MOST_TOKENS = 8
+#: Longest entity in tokens and in characters, and tokens of context on both sides of a trigger.
+MOST_TOKENS, MOST_CHARS = 12, 120
 CONTEXT = 3
 #: Windows that fit the weights: at most so many.
-FIT_WINDOWS = 1500
+FIT_WINDOWS = 800
 
 TOKEN = re.compile(r"[^\s]+")
-SPELLED = re.compile(r"(?i)[\[({<]\s*(at|dot)\s*[\])}>]|(?<=\S)\s+(at|dot)\s+(?=\S)")
 TRIGGER = re.compile(r"[0-9@]|(?i:[\[({<](?:at|dot)[\])}>])|(?i:(?<!\S)dot(?!\S))|(?i:(?<!\S)at(?=\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}))")
 
 
@@ -66,10 +71,25 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of LOCAL+@HOST, in time linear in the text."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        free = at  # a local part holds no at sign
+        if start < at and (m := HOST.match(text, at + 1)):
+            out.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", max(free, at + 1))
+    return out
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if "@" in text:
-        out["email"] = [m.span() for m in EMAIL.finditer(text)]
+        out["email"] = emails(text)
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out["ip"].append(m.span())
@@ -87,7 +107,7 @@ _PUNCT = ".,;:!?\"'#*%&$|<>"
 FEATURES = (
     "one", "tokens", "email_shape", "email_spelled", "at_count1", "host_tail", "local_ok", "ip_shape", "ip_spelled", "octets",
     "digits16", "luhn", "digits8_15", "digits_only", "plus", "paren", "grouped3", "grouped4", "letters", "other_sign", "no_digit",
-    "edge_plain", "edge_letter", "before_digit", "after_digit", "short_digits", "long_digits",
+    "edge_plain", "edge_letter", "before_digit", "after_digit", "short_digits", "long_digits", "sign_edge",
 )
 NF = len(FEATURES)
 _AT_WORD = re.compile(r"(?i)\s*(?:[\[({<]\s*at\s*[\])}>]|\bat\b)\s*")
@@ -113,75 +133,137 @@ def span_features(s: str, tokens: int, before: str, after: str) -> np.ndarray:
             16 <= n <= 19, 16 <= n <= 19 and luhn(d), 8 <= n <= 15, bool(n) and not rest, signs.startswith("+"), "(" in signs and ")" in signs,
             len(groups) >= 3 and len(groups[-1]) == 4 and len(groups[-2]) == 3, len(groups) == 4 and all(len(g) == 4 for g in groups),
             any(c.isalpha() for c in rest), any(c in "=/\\_#*$|<>" for c in rest), n == 0, core == s, core[:1].isalpha() and core[-1:].isalpha(),
-            any("0" <= c <= "9" for c in before), any("0" <= c <= "9" for c in after), 0 < n < 7, n > 19,
+            any("0" <= c <= "9" for c in before), any("0" <= c <= "9" for c in after), 0 < n < 7, n > 19, signs[:1] in (".", "@") or signs[-1:] in (".", "@"),
         ],
         np.float32,
     )
 
 
+OUTSIDE = len(KINDS)
+OUTSIDE_FEATURES = ("digit", "at sign", "plus", "spelled-out sign", "four digits")
+_SIGN_WORD = re.compile(r"(?i)[\[({<]?(?:at|dot)[\])}>]?")
+
+
+class Field(NamedTuple):
+    """Weights: of whole spans (kinds x features), of single outside tokens, and of neighbours (from, to)."""
+
+    spans: np.ndarray
+    outside: np.ndarray
+    moves: np.ndarray
+
+    @staticmethod
+    def zeros() -> Field:
+        return Field(np.zeros((len(KINDS), NF)), np.zeros(len(OUTSIDE_FEATURES)), np.zeros((OUTSIDE + 1, OUTSIDE + 1)))
+
+
+def outside_features(word: str) -> np.ndarray:
+    n = len(digits_of(word))
+    return np.array([n > 0, "@" in word, word.startswith("+"), _SIGN_WORD.fullmatch(word) is not None, n >= 4], np.float32)
+
+
+def logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
 class Window:
-    """The tokens around triggers, and the features of the candidate segments (start, end)."""
+    """The tokens around triggers. A labelling cuts them into entities and single outside tokens."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]], triggers: Sequence[bool]):
-        self.tokens = tokens
-        n = len(tokens)
-        word = [text[a:b] for a, b in tokens]
-        hot = np.concatenate([[0], np.cumsum(triggers)])
-        self.segments = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + MOST_TOKENS) + 1) if hot[j] > hot[i]]
-        if self.segments:
-            self.features = np.stack([span_features(text[tokens[i][0] : tokens[j - 1][1]], j - i, word[i - 1] if i else "", word[j] if j < n else "") for i, j in self.segments])
-        else:
-            self.features = np.zeros((0, NF), np.float32)
-
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities: start, end, kind. An outside token scores 0."""
-        if not self.segments:
-            return []
-        scores = self.features @ weights.T
-        kind, top = scores.argmax(axis=1), scores.max(axis=1)
-        n = len(self.tokens)
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        by_end: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(self.segments):
-            if top[k] > 0:
-                by_end.setdefault(j, []).append(k)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for k in by_end.get(j, ()):
-                if (v := value[self.segments[k][0]] + float(top[k])) > value[j]:
-                    value[j], back[j] = v, k
-        out, j = [], n
+        self.text, self.tokens = text, tokens
+        self.word = [text[a:b] if b - a <= MOST_CHARS else text[a : a + MOST_CHARS] for a, b in tokens]
+        self.hot = np.concatenate([[0], np.cumsum(triggers)])
+
+    def ending(self, j: int) -> tuple[list[int], np.ndarray]:
+        """Where the candidate entities that end before token `j` begin, and their features."""
+        last = self.tokens[j - 1][1]
+        starts = [i for i in range(max(0, j - MOST_TOKENS), j) if self.hot[j] > self.hot[i] and last - self.tokens[i][0] <= MOST_CHARS]
+        after = self.word[j] if j < len(self.tokens) else ""
+        made = [span_features(self.text[self.tokens[i][0] : last], j - i, self.word[i - 1] if i else "", after) for i in starts]
+        return starts, np.stack(made) if made else np.zeros((0, NF), np.float32)
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and features of all candidates, and the features of all tokens: for fitting."""
+        begins, ends, made = [], [], []
+        for j in range(1, len(self.tokens) + 1):
+            starts, features = self.ending(j)
+            begins += starts
+            ends += [j] * len(starts)
+            made.append(features)
+        return np.array(begins, int), np.array(ends, int), np.concatenate(made), np.stack([outside_features(w) for w in self.word])
+
+    def best(self, field: Field) -> list[tuple[int, int, int]]:
+        """The best labelling's entities: start, end, kind. Only the features of one end are held at a time."""
+        n, k = len(self.tokens), OUTSIDE
+        value = np.full((n + 1, k + 1), -np.inf)
+        value[0, k] = 0.0  # before the window is outside
+        back = np.zeros((n + 1, k + 1, 2), np.int32)  # where the segment begins, and the label before it
+        enter = np.empty((n + 1, k + 1))  # best way to begin a label here
+        source = np.empty((n + 1, k + 1), np.int32)
+        for j in range(n + 1):
+            if j:
+                value[j, k] = enter[j - 1, k] + float(outside_features(self.word[j - 1]) @ field.outside)
+                back[j, k] = j - 1, source[j - 1, k]
+                starts, features = self.ending(j)
+                if starts:
+                    scores = features @ field.spans.T + enter[starts, :k]
+                    top = scores.argmax(axis=0)
+                    value[j, :k] = scores[top, np.arange(k)]
+                    back[j, :k, 0] = np.array(starts)[top]
+                    back[j, :k, 1] = source[back[j, :k, 0], np.arange(k)]
+            ways = value[j][:, None] + field.moves
+            source[j], enter[j] = ways.argmax(axis=0), ways.max(axis=0)
+        out, j, label = [], n, int(value[n].argmax())
         while j:
-            k = back[j]
-            if k is None:
-                j -= 1
-            else:
-                i = self.segments[k][0]
-                out.append((i, j, int(kind[k])))
-                j = i
+            i, before = back[j, label]
+            if label < k:
+                out.append((int(i), j, label))
+            j, label = int(i), int(before)
         return out[::-1]
 
-    def gradient(self, weights: np.ndarray, gold: dict[tuple[int, int], int]) -> np.ndarray:
-        """Gradient of the log likelihood of the gold segmentation."""
-        n = len(self.tokens)
-        if not self.segments:
-            return np.zeros_like(weights)
-        scores = self.features @ weights.T
-        ends = np.array([j for _, j in self.segments])
-        begins = np.array([i for i, _ in self.segments])
-        mass = np.logaddexp.reduce(scores, axis=1)
-        forward, backward = np.zeros(n + 1), np.zeros(n + 1)
+    def gradient(self, field: Field, gold: dict[tuple[int, int], int]) -> tuple[float, Field]:
+        """Log likelihood of the gold labelling, and its gradient: its own counts less the expected ones."""
+        begins, ends, features, tokens = self.table
+        n, k = len(self.tokens), OUTSIDE
+        scores, outside = features @ field.spans.T, tokens @ field.outside
+        ending, beginning = ([np.flatnonzero(x == j) for j in range(n + 1)] for x in (ends, begins))
+        # forward[j]: all ways to label the tokens before j, by the last label; enter[j]: and to go on with a label
+        forward, backward = np.full((n + 1, k + 1), -np.inf), np.zeros((n + 1, k + 1))
+        enter, leave = np.empty((n + 1, k + 1)), np.full((n + 1, k + 1), -np.inf)
+        forward[0, k] = 0.0
+        enter[0] = logsum(forward[0][:, None] + field.moves, 0)
         for j in range(1, n + 1):
-            k = ends == j
-            forward[j] = np.logaddexp.reduce(np.concatenate([[forward[j - 1]], forward[begins[k]] + mass[k]]))
+            forward[j, k] = enter[j - 1, k] + outside[j - 1]
+            if len(at := ending[j]):
+                forward[j, :k] = logsum(scores[at] + enter[begins[at], :k], 0)
+            enter[j] = logsum(forward[j][:, None] + field.moves, 0)
+        whole = float(logsum(forward[n], 0))
         for i in range(n - 1, -1, -1):
-            k = begins == i
-            backward[i] = np.logaddexp.reduce(np.concatenate([[backward[i + 1]], backward[ends[k]] + mass[k]]))
-        p = np.exp(scores + (forward[begins] + backward[ends] - forward[n])[:, None])
-        for k, s in enumerate(self.segments):
-            if s in gold:
-                p[k, gold[s]] -= 1.0
-        return -(p.T @ self.features)
+            leave[i, k] = outside[i] + backward[i + 1, k]
+            if len(at := beginning[i]):
+                leave[i, :k] = logsum(scores[at] + backward[ends[at], :k], 0)
+            backward[i] = logsum(field.moves + leave[i], 1)
+        spans = np.exp(scores + enter[begins, :k] + backward[ends, :k] - whole) if len(begins) else np.zeros((0, k))
+        singles = np.exp(enter[:n, k] + outside + backward[1:, k] - whole)
+        moves = np.exp(forward[:n, :, None] + field.moves + leave[:n, None, :] - whole).sum(axis=0)
+        # the gold labelling
+        total, label, at = 0.0, k, 0
+        own = {(b, e): x for x, (b, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True))}
+        entity = {b: (e, kind) for (b, e), kind in gold.items()}
+        spans, singles, moves = -spans, -singles, -moves
+        while at < n:
+            e, kind = entity.get(at, (at + 1, k))
+            total += field.moves[label, kind] + (scores[own[at, e], kind] if kind < k else outside[at])
+            moves[label, kind] += 1
+            if kind < k:
+                spans[own[at, e], kind] += 1
+            else:
+                singles[at] += 1
+            label, at = kind, e
+        return total - whole, Field(spans.T @ features, singles @ tokens, moves)
 
 
 def windows(text: str) -> list[Window]:
@@ -275,10 +357,10 @@ def training_windows(texts: Sequence[str], most: int) -> list[tuple[str, list[tu
     return out[:most]
 
 
-def fit_weights(texts: Sequence[str], most: int = FIT_WINDOWS, rounds: int = 12) -> np.ndarray:
-    """Weights (kinds x features) by averaged Adagrad steps on the segmentation likelihood."""
-    weights = np.zeros((len(KINDS), NF), np.float64)
-    weights[:, 0] = -4.0
+def fit_weights(texts: Sequence[str], most: int = FIT_WINDOWS, rounds: int = 4) -> Field:
+    """Weights by averaged Adagrad steps on the likelihood of whole labellings."""
+    field = Field.zeros()
+    field.spans[:, 0] = -4.0
     examples = []
     for text, gold in training_windows(texts, most):
         for w in windows(text):
@@ -286,25 +368,29 @@ def fit_weights(texts: Sequence[str], most: int = FIT_WINDOWS, rounds: int = 12)
             for a, b, k in gold:
                 i = next((i for i, t in enumerate(w.tokens) if t[0] <= a < t[1]), None)
                 j = next((j for j, t in enumerate(w.tokens) if t[0] < b <= t[1]), None)
-                if i is not None and j is not None:
+                if i is not None and j is not None and i in w.ending(j + 1)[0]:
                     found[(i, j + 1)] = k
-            if not gold or any(s in found for s in w.segments):
+            if not gold or found:
                 examples.append((w, found))
-    if not any(found for _, found in examples):
-        return weights * 0 - 1.0
-    squares, total, steps = np.full_like(weights, 0.1), np.zeros_like(weights), 0
+    if not any(found for _, found in examples):  # nothing to learn from: everything is outside
+        field.spans[:, 0] = -100.0
+        return field
+    squares, total, steps = Field(*(np.full_like(x, 0.1) for x in field)), Field.zeros(), 0
     order = np.random.Generator(np.random.PCG64(3))
     for _ in range(rounds):
         for k in order.permutation(len(examples)):
             w, gold = examples[k]
-            g = w.gradient(weights, gold) - 1e-4 * weights
-            squares += g * g
-            weights = weights + 0.5 * g / np.sqrt(squares)
-            total, steps = total + weights, steps + 1
-    return total / steps
+            _, step = w.gradient(field, gold)
+            for x, g, s, t in zip(field, step, squares, total, strict=True):
+                g = g - 1e-4 * x
+                s += g * g
+                x += 0.5 * g / np.sqrt(s)
+                t += x
+            steps += 1
+    return Field(*(t / steps for t in total))
 
 
-def added_spans(text: str, weights: np.ndarray, taken: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def added_spans(text: str, weights: Field, taken: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Entities of the random field that overlap no base span: start, end, kind."""
     out = []
     for w in windows(text):
@@ -319,17 +405,6 @@ def added_spans(text: str, weights: np.ndarray, taken: Sequence[tuple[int, int]]
     return out
 
 
-_TRIGGER_BYTE = np.isin(np.arange(256), np.frombuffer(b"0123456789@", np.uint8))
-
-
-def with_triggers(texts: pa.Array) -> np.ndarray:
-    """Which texts may hold anything: a digit, an at sign or a spelled-out dot."""
-    raw, at = wordhash.text_bytes(texts)
-    out = np.zeros(len(texts), bool)
-    out[np.searchsorted(at, np.flatnonzero(_TRIGGER_BYTE[raw]), side="right") - 1] = True
-    return out
-
-
 ALL_KINDS = (*KINDS, *(f"crf_{k}" for k in KINDS))
 FOUND = StructType(
     [StructField(f"n_{k}", LongType()) for k in ALL_KINDS]
@@ -338,11 +413,14 @@ FOUND = StructType(
 
 
 def sample_texts(docs: DataFrame, text_col: str, rows: int) -> list[str]:
-    """Texts with a trigger, of at most `rows` rows, cut to the part around it before they travel."""
+    """Texts with a trigger, of at most `rows` rows, cut to the part around it before they travel.
+
+    The rows with the smallest hashes of their text are taken, so that each run takes the same.
+    """
     text = F.col(quoted(text_col)).cast("string")
     at = F.regexp_instr(text, F.lit(r"@|\+[0-9]|[0-9]{4}[ -]?[0-9]{4}|[0-9]\.[0-9]"))
     near = F.when(at > 0, F.substring(text, F.greatest(at - 300, F.lit(1)), F.lit(700)))
-    picked = docs.select(near.alias("near")).where("near is not null").limit(rows)
+    picked = docs.select(near.alias("near"), F.xxhash64(text).alias("order")).where("near is not null").orderBy("order", "near").limit(rows)
     return [r.near for r in picked.collect()]
 
 
@@ -351,7 +429,7 @@ def personal_data(
     text_col: str = "text",
     out: str = "pii",
     keep: Sequence[str] | None = None,
-    weights: np.ndarray | None = None,
+    weights: Field | None = None,
     fit_rows: int = 600,
 ) -> DataFrame:
     """Append a struct with the number of spans of each kind and all spans, by kind as listed, then start.
@@ -363,9 +441,9 @@ def personal_data(
 
     def run(texts: pa.Array) -> list[pa.Array]:
         counts, spans = [], []
-        for text, worth in zip(texts.to_pylist(), with_triggers(texts).tolist(), strict=True):
+        for text in texts.to_pylist():
             found: dict[str, list[tuple[int, int]]] = {k: [] for k in ALL_KINDS}
-            if text and (worth or TRIGGER.search(text)):
+            if text and TRIGGER.search(text):
                 found |= base_spans(text)
                 taken = [s for k in KINDS for s in found[k]]
                 for a, b, k in added_spans(text, weights, taken):

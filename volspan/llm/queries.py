@@ -34,8 +34,8 @@ def base_digest(spans, kinds):
 
 def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_op.personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    counts = [F.col(f"pii.n_{k}").alias(f"n_{k}") for k in pii_op.ALL_KINDS]
-    return found.select("doc_id", *counts, base_digest(F.col("pii.spans"), pii_op.KINDS).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
+    base, more = ([F.col(f"pii.n_{k}").alias(f"n_{k}") for k in kinds] for kinds in (pii_op.KINDS, pii_op.ALL_KINDS[len(pii_op.KINDS) :]))
+    return found.select("doc_id", *base, base_digest(F.col("pii.spans"), pii_op.KINDS).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"), *more)
 
 
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,16 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+#: Equal payloads by their text; the digest in base 32, four characters for every five hex digits.
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(html), 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
+
 #: (host, path start, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -55,7 +65,8 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-OP3_SQL = """
+_TWO = ", ".join(f"'{x}'" for x in hosts_op.TWO_LABEL_SUFFIXES)
+OP3_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 found AS (
@@ -64,11 +75,13 @@ found AS (
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM cut),
 known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+own AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k FROM found LEFT JOIN known ON page_id = doc_id GROUP BY host),
+labels_of AS (SELECT *, string_split(bare, '.') AS l FROM (SELECT *, regexp_extract(host, '^(?:[^@]*@)?([^:]*)', 1) AS bare FROM own)),
 h AS (
-  SELECT host, split_part(host, '.', -1) AS suffix,
-         CASE WHEN strpos(host, '.') > 0 THEN split_part(host, '.', -2) || '.' ELSE '' END || split_part(host, '.', -1) AS domain,
-         count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
-  FROM found LEFT JOIN known ON page_id = doc_id GROUP BY ALL),
+  SELECT host, n, k,
+         CASE WHEN regexp_full_match(bare, '[0-9.]+') THEN bare WHEN array_to_string(l[-2:], '.') IN ({_TWO}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
+         CASE WHEN regexp_full_match(bare, '[0-9.]+') THEN bare WHEN array_to_string(l[-2:], '.') IN ({_TWO}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain
+  FROM labels_of),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 g AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean, sum(n) AS n FROM s),
@@ -125,8 +138,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands fitted on the texts labelled good."""
     docs = table(spark, sf_dir, "documents")
-    return quality_op.quality_rules(docs, keep=["doc_id"]).select("doc_id", "quality.*")
+    whole, chunks = quality_op.fit_bands(docs, table(spark, sf_dir, "labels"))
+    return quality_op.quality_rules(docs, keep=["doc_id"], document_bands=whole, chunk_bands=chunks).select("doc_id", "quality.*")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +162,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_op.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    counts = [F.col(f"secrets.n_{k}").alias(f"n_{k}") for k in secrets_op.ALL_KINDS]
-    return found.select("doc_id", *counts, base_digest(F.col("secrets.spans"), secrets_op.KINDS).alias("base_sha256"), span_list(F.col("secrets.spans")).alias("spans"))
+    base, more = ([F.col(f"secrets.n_{k}").alias(f"n_{k}") for k in kinds] for kinds in (secrets_op.KINDS, secrets_op.ALL_KINDS[len(secrets_op.KINDS) :]))
+    return found.select("doc_id", *base, base_digest(F.col("secrets.spans"), secrets_op.KINDS).alias("base_sha256"), span_list(F.col("secrets.spans")).alias("spans"), *more)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_op.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Side by side at every shift at which document and item share a run of words. Three substitutions leave a run
+#: of 3 equal words in 12 and more, of 2 in 11; shorter items must be equal.
+OP10_SQL = r"""
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS d FROM documents),
+item AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 13) AS need, CASE WHEN len(w) < 11 THEN 0 ELSE 3 END AS allowed, CASE WHEN len(w) >= 12 THEN 3 ELSE least(len(w), 2) END AS g FROM item WHERE len(w) > 0),
+ig AS (SELECT item_id, g, i, array_to_string(w[i + 1 : i + g], ' ') AS gram FROM (SELECT *, unnest(range(0, len(w) - g + 1)) AS i FROM sized)),
+dg AS (SELECT doc_id, g, i, array_to_string(d[i + 1 : i + g], ' ') AS gram FROM (SELECT *, unnest(range(0, len(d) - g + 1)) AS i FROM cut, (SELECT DISTINCT g FROM sized) WHERE len(d) >= g)),
+met AS (SELECT DISTINCT doc_id, item_id, dg.i - ig.i AS shift FROM dg JOIN ig USING (g, gram)),
+laid AS (SELECT doc_id, item_id, need, allowed,
+  list_max(list_transform(range(greatest(0, -shift), least(len(w), len(d) - shift) - need + 1), lambda s: list_sum(list_transform(range(0, need), lambda k: (d[shift + s + k + 1] = w[s + k + 1])::INT)))) AS equal
+  FROM met JOIN cut USING (doc_id) JOIN sized USING (item_id))
+SELECT doc_id, item_id, max(need)::BIGINT AS n_aligned, max(equal)::BIGINT AS n_equal FROM laid WHERE equal >= need - allowed GROUP BY ALL
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -170,4 +201,4 @@ QUERIES = {
         op10_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_host_reputation": OP3_SQL, "op4_jaccard_join": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_dictionary": OP2_SQL, "op3_host_reputation": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}

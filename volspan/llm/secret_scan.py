@@ -7,9 +7,12 @@ attacker needs: the cheapest segmentation of the value into known words, dates,
 repeats, keyboard walks and brute-force spans, found by dynamic programming over
 its positions. Values that cost at least `min_log10_guesses` become `guess` spans.
 
+The dictionary holds common passwords and, by rank, the words that make up at least
+`WORD_SHARE` of all words of the table's texts (so at most 1 / `WORD_SHARE` of them,
+whatever the table's size); a word's place in it is what its guess costs.
+
 Defined results: null and empty texts have no spans; repeated rows get equal results;
-texts are scanned whole; values over `MOST_VALUE` characters are costed in
-consecutive pieces whose costs add up; other columns pass through.
+texts are scanned whole and values costed whole; other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from volspan.llm import wordhash
-from volspan.llm.arrowmap import append_struct
+from volspan.llm.arrowmap import append_struct, quoted
+from volspan.llm.shared import WorkTables
 
 KINDS = ("assign", "access", "hex")
 ALL_KINDS = (*KINDS, "guess")
@@ -39,6 +44,8 @@ CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)["']?\s{0,3}(?::=|=>|[:=]|\bis\b)\s{0,3}["']?([^\s"'<>]{6,})"""
 )
 
+#: A corpus word is in the dictionary from this share of all words on.
+WORD_SHARE = 1 / 200_000
 #: Common passwords and the words they are made of, most frequent first.
 WORDS = (
     "password 123456 12345678 qwerty 12345 letmein dragon baseball football monkey abc123 mustang access shadow master "
@@ -53,7 +60,6 @@ WORDS = (
 ).split()
 KEYBOARD_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("013457@$!", "oleastasi")
-MOST_VALUE = 256
 
 FOUND = StructType(
     [StructField(f"n_{k}", LongType()) for k in ALL_KINDS]
@@ -90,7 +96,20 @@ def brute_log10(value: str) -> float:
     return len(value) * math.log10(alphabet)
 
 
-@lru_cache(maxsize=4)
+def corpus_words(df: DataFrame, text_col: str = "text", least_share: float = WORD_SHARE) -> tuple[str, ...]:
+    """Words of 3 ASCII letters or more that make up at least `least_share` of all such words, most frequent first.
+
+    Counted over all texts, before the shuffle within each task; at most 1 / `least_share` words come to the driver.
+    """
+    with WorkTables(df.sparkSession) as work:
+        words = df.select(F.explode(F.split(F.lower(F.col(quoted(text_col)).cast("string")), "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
+        counted = work.stored(words.groupBy("word").agg(F.count("*").alias("n")), "corpus_words")
+        total = counted.agg(F.sum("n").alias("n")).first().n or 0
+        often = counted.where(F.col("n") >= max(2.0, least_share * total)).select("word", "n").collect()
+    return tuple(r.word for r in sorted(often, key=lambda r: (-r.n, r.word)))
+
+
+@lru_cache(maxsize=1)
 def word_ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
     ranks: dict[str, float] = {}
     for i, w in enumerate(words):
@@ -98,55 +117,76 @@ def word_ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
     return ranks, max(map(len, ranks), default=0)
 
 
-def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
-    """log10 of the guesses of the cheapest segmentation of `value`.
+#: Copies of a repeat that may begin within its stretch; a longer one begins where the stretch does.
+NEAR_COPIES = 64
+LONGEST_UNIT = 8
+BOUNDARY = 0.3
+
+
+def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS), enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation of `value`, whatever its length.
 
     best[j] is the least cost of value[:j]. Every segment but the first costs the
-    attacker a factor of two more for not knowing where it begins.
+    attacker a factor of two more for not knowing where it begins. Segments are words (in
+    any case, or with signs for letters), dates, walks over neighbouring keys, runs of
+    consecutive characters, repeats of a unit of at most `LONGEST_UNIT` characters, and single
+    characters of the value's alphabet. Runs and repeats begin where their stretch does, or
+    at most `NEAR_COPIES` steps before they end, so that the work grows with the length.
+
+    As soon as no segmentation can stay below `enough`, some cost of at least that is returned.
     """
-    if len(value) > MOST_VALUE:
-        return sum(guess_log10(value[i : i + MOST_VALUE], words) for i in range(0, len(value), MOST_VALUE))
     ranks, longest = word_ranks(words)
     n, low = len(value), value.lower()
+    if len(low) != n:  # a few capitals become two characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     per_char = brute_log10(value) / n if n else 0.0
-    best = [0.0] + [math.inf] * n
-    dates = {m.start(): m.end() for i in range(n) if (m := DATE.match(value, i)) and m.start() == i}
-    # walk[j]: start of the keyboard walk or alphabetic run that ends at j; same[j]: of the repeat
-    for i in range(n):
-        if best[i] == math.inf:
-            continue
-        base = best[i] + (0.3 if i else 0.0)
-        # brute force, one character at a time: a longer span is a chain of these without a new boundary
-        if (cost := best[i] + per_char) < best[i + 1]:
-            best[i + 1] = cost
-        for j in range(i + 2, min(n, i + longest) + 1):
-            rank = ranks.get(low[i:j])
-            extra = 0.0
+    best = [0.0] * (n + 1)
+    after = [0.0] * (n + 1)  # the cost of a segment that begins here, before its own
+    date_ends: dict[int, list[int]] = {}
+    for m in (DATE.match(value, i) for i in range(n) if value[i] in "0123456789"):
+        if m:
+            date_ends.setdefault(m.end(), []).append(m.start())
+    walk_start, walk_least = 0, math.inf  # least of after[i] - i / 4 over the places where this walk may begin
+    run_start, step = 0, 0
+    same = [0] * (LONGEST_UNIT + 1)  # characters before j that equal the one a unit earlier
+    for j in range(1, n + 1):
+        cost = best[j - 1] + per_char
+        for i in range(max(0, j - longest), j - 1):
+            rank, extra = ranks.get(low[i:j]), 0.0
             if rank is None and (rank := ranks.get(plain[i:j])) is not None:
                 extra = 0.6
             if rank is not None:
-                shape = 0.0 if value[i:j].islower() or value[i:j].isdigit() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.9
-                best[j] = min(best[j], base + rank + extra + shape)
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], base + math.log10(36_500))
-        j = i + 1
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], base + math.log10(47 * 2) + 0.25 * (j - i))
-        j = i + 1
-        step = ord(low[i + 1]) - ord(low[i]) if i + 1 < n else 0
-        while step in (1, -1) and j < n and ord(low[j]) - ord(low[j - 1]) == step:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], base + math.log10(8 * (j - i)))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while j + unit <= n and value[j : j + unit] == value[i : i + unit]:
-                j += unit
-                if j - i >= 3:
-                    best[j] = min(best[j], base + unit * per_char + math.log10((j - i) // unit))
+                part = value[i:j]
+                shape = 0.0 if part.islower() or part.isdigit() else 0.3 if part.istitle() or part.isupper() else 0.9
+                cost = min(cost, after[i] + rank + extra + shape)
+        for i in date_ends.get(j, ()):
+            cost = min(cost, after[i] + math.log10(36_500))
+        if j >= 2:
+            if low[j - 1] not in NEAR.get(low[j - 2], ()):
+                walk_start, walk_least = j - 1, math.inf
+            elif j - 3 >= walk_start:
+                walk_least = min(walk_least, after[j - 3] - 0.25 * (j - 3))
+                cost = min(cost, walk_least + math.log10(47 * 2) + 0.25 * j)
+            now = ord(low[j - 1]) - ord(low[j - 2])
+            if now not in (1, -1) or now != step:
+                run_start, step = j - 2 if now in (1, -1) else j - 1, now
+            if j - run_start >= 3:
+                for i in {run_start, *range(max(run_start, j - NEAR_COPIES), j - 2)}:
+                    cost = min(cost, after[i] + math.log10(8 * (j - i)))
+        for unit in range(1, min(LONGEST_UNIT, j - 1) + 1):
+            same[unit] = same[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
+            if same[unit] >= unit and same[unit] + unit >= 3:
+                most = (same[unit] + unit) // unit
+                for copies in {most, *range(2, min(most, NEAR_COPIES) + 1)}:
+                    if copies * unit >= 3:
+                        cost = min(cost, after[j - copies * unit] + unit * per_char + math.log10(copies))
+        best[j], after[j] = cost, cost + BOUNDARY
+        if cost >= enough and j % 64 == 0:
+            # a segment that goes on past j begins at one of these places, if not after j
+            first = min(j - longest, j - NEAR_COPIES * LONGEST_UNIT, walk_start, run_start, *(j - same[u] - u for u in range(1, LONGEST_UNIT + 1)))
+            if min(best[max(0, first - LONGEST_UNIT) : j + 1]) >= enough:
+                return cost
     return best[n]
 
 
@@ -183,7 +223,7 @@ def guess_spans(text: str, min_log10_guesses: float, words: tuple[str, ...]) ->
         start, end = m.span(1)
         while end > start and text[end - 1] in ".,;:!?)]}*#%&$|":
             end -= 1
-        if end - start >= 6 and guess_log10(text[start:end], words) >= min_log10_guesses:
+        if end - start >= 6 and guess_log10(text[start:end], words, min_log10_guesses) >= min_log10_guesses:
             found.append((start, end))
     return found
 
@@ -205,17 +245,20 @@ def secret_spans(
     out: str = "secrets",
     keep: Sequence[str] | None = None,
     min_log10_guesses: float = 9.0,
-    words: Sequence[str] = tuple(WORDS),
+    words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Append a struct with the number of spans of each kind and all spans, by start, then kind as listed."""
-    words = tuple(words)
+    """Append a struct with the number of spans of each kind and all spans, by start, then kind as listed.
+
+    `words`, most frequent first, is the dictionary behind the common passwords; by default that of the table itself.
+    """
+    words = (*WORDS, *(corpus_words(df, text_col) if words is None else words))
 
     def run(texts: pa.Array) -> list[pa.Array]:
         found = all_spans(texts, min_log10_guesses, words)
         counts = ([sum(k == kind for _, k, _ in spans) for spans in found] for kind in range(len(ALL_KINDS)))
         return [*counts, [[{"kind": ALL_KINDS[k], "start": s, "end": e} for s, k, e in spans] for spans in found]]
 
-    return append_struct(df, text_col, out, FOUND, run, keep)
+    return append_struct(df, text_col, out, FOUND, run, keep, finish=word_ranks.cache_clear)
 
 
 REDACTED = StructType([StructField("text", StringType()), StructField("n_spans", LongType())])
@@ -228,13 +271,13 @@ def redact_secrets(
     keep: Sequence[str] | None = None,
     replacement: str = "[secret]",
     min_log10_guesses: float = 9.0,
-    words: Sequence[str] = tuple(WORDS),
+    words: Sequence[str] | None = None,
 ) -> DataFrame:
     """Append a struct with the text whose spans (overlapping ones together) are replaced, and their number.
 
-    A null text stays null.
+    A null text stays null. `words` as in `secret_spans`.
     """
-    words = tuple(words)
+    words = (*WORDS, *(corpus_words(df, text_col) if words is None else words))
 
     def run(texts: pa.Array) -> list[pa.Array]:
         clean, counts = [], []
@@ -250,4 +293,4 @@ def redact_secrets(
             clean.append(text)
         return [pa.array(clean, pa.string()), counts]
 
-    return append_struct(df, text_col, out, REDACTED, run, keep)
+    return append_struct(df, text_col, out, REDACTED, run, keep, finish=word_ranks.cache_clear)

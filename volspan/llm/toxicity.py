@@ -4,7 +4,7 @@ Noisy channel: a token that looks disguised (leetspeak, signs between letters, d
 out letters, letters set apart by spaces) becomes a lattice in which each
 character offers the letters that it may stand for, or nothing. A Viterbi search
 picks the most likely letters under a character trigram model counted over all
-texts. The restored words join the text's own words, and the features of both
+texts; a blank between letters set apart may also end a word. The restored words join the text's own words, and the features of both
 (whole words, and word beginnings of 4 and 5 letters) are scored.
 
 Score: features that labelled texts show to be tied to toxicity have weights (log odds,
@@ -20,7 +20,8 @@ without labelled rows of both kinds every score is 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+import os.path
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from volspan.llm import wordhash
 from volspan.llm.arrowmap import append_struct, quoted, slices
+from volspan.llm.shared import WorkTables
 
 #: Bound on the expected number of labelled rows that fit the weights and the curve.
 FIT_ROWS = 60_000
@@ -39,8 +41,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 BETWEEN = ".-_*~'`^,/\\"
 #: Taken off both ends of a token before decoding.
 EDGES = ".,;:!?()[]{}\"'*#%&|<>-_"
-#: Longer tokens are no words and stay as they are.
-MOST_TOKEN = 64
+#: Tokens up to this length are remembered within a task, and so many of them.
+KNOWN_TOKEN, KNOWN = 64, 20_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 _CODE = np.full(256, 27, np.uint8)
@@ -54,13 +56,16 @@ def trigram_counts(texts: pa.Array) -> np.ndarray:
     raw, at = wordhash.text_bytes(texts)
     if len(raw) < 3:
         return np.zeros(28**3, np.int64)
-    code = _CODE[raw].astype(np.int32)
-    key = (code[:-2] * 28 + code[1:-1]) * 28 + code[2:]
-    inside = np.ones(len(key), bool)
-    for back in (1, 2):
-        cut = at[1:-1] - back
-        inside[cut[(cut >= 0) & (cut < len(key))]] = False
-    return np.bincount(key[inside], minlength=28**3)
+    total, n = np.zeros(28**3, np.int64), len(raw) - 2
+    for start in range(0, n, wordhash.CHUNK):
+        code = _CODE[raw[start : start + wordhash.CHUNK + 2]].astype(np.int32)
+        key = (code[:-2] * 28 + code[1:-1]) * 28 + code[2:]
+        inside = np.ones(len(key), bool)
+        for back in (1, 2):
+            cut = at[1:-1] - back - start
+            inside[cut[(cut >= 0) & (cut < len(key))]] = False
+        total += np.bincount(key[inside], minlength=28**3)
+    return total
 
 
 def corpus_trigrams(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -81,6 +86,25 @@ def corpus_trigrams(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
+#: Characters between two looks for letters that no longer depend on what follows.
+SETTLE = 512
+
+
+def chained(letters: str) -> tuple | None:
+    out = None
+    for x in letters:
+        out = (out, x)
+    return out
+
+
+def unchained(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
+
+
 class Restorer:
     """Viterbi decoding of disguised tokens under smoothed trigram log probabilities."""
 
@@ -91,8 +115,13 @@ class Restorer:
 
     def options(self, c: str, before: str) -> list[tuple[str, float]]:
         """Letters that a character may stand for, with the channel's log costs; "" is nothing.
-        `before`: the two characters to its left."""
+
+        A blank between single letters is nothing or ends a word. `before`: the two characters
+        to its left.
+        """
         low = c.lower()
+        if low == " ":
+            return [("", -0.3), (" ", -1.2)]
         out = []
         if low in LETTERS:
             out.append((low, -0.05))
@@ -101,36 +130,48 @@ class Restorer:
         for x in LEET.get(low, ""):
             out.append((x, -0.7))
         if low not in LETTERS:
-            out.append(("", -0.5 if low in BETWEEN or low == " " else -6.0 if low in LEET else -2.5))
+            out.append(("", -0.5 if low in BETWEEN else -6.0 if low in LEET else -2.5))
         return out
 
     def restore(self, token: str) -> str:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[token] = self.viterbi(token)
+            got = self.viterbi(token)[1]
+            if len(token) <= KNOWN_TOKEN:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
-    def viterbi(self, token: str) -> str:
-        # a state is the last two codes; its value is (log probability, letters so far)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for c in token:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+    def viterbi(self, token: str) -> tuple[float, str]:
+        """The best log probability, and its letters.
+
+        A state is the last two codes; it holds its log probability and a chain of its letters. Every
+        `SETTLE` characters the letters that all states share are settled, and the chains go on without them.
+        """
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        before, settled = "", []
+        for at, c in enumerate(token):
+            if at and at % SETTLE == 0:
+                paths = {key: unchained(chain) for key, (_, chain) in states.items()}
+                shared = os.path.commonprefix([*paths.values()])
+                settled.append(shared)
+                states = {key: (states[key][0], chained(path[len(shared) :])) for key, path in paths.items()}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             choices = self.options(c, before)
             for (a, b), (p, letters) in states.items():
                 for x, cost in choices:
                     if x:
-                        code = ord(x) - 96
-                        key, value = (b, code), (p + cost + self.logp[a][b][code], letters + x)
+                        code = 0 if x == " " else ord(x) - 96
+                        key, q, chain = (b, code), p + cost + self.logp[a][b][code], (letters, x)
                     else:
-                        key, value = (a, b), (p + cost, letters)
-                    if key not in step or value > step[key]:
-                        step[key] = value
+                        key, q, chain = (a, b), p + cost, letters
+                    if key not in step or q > step[key][0]:
+                        step[key] = (q, chain)
             states, before = step, (before + c.lower())[-2:]
         # the word ends with a blank
-        return max((p + self.logp[a][b][0], letters) for (a, b), (p, letters) in states.items())[1]
+        p, chain = max(((p + self.logp[a][b][0], chain) for (a, b), (p, chain) in states.items()), key=lambda s: s[0])
+        return p, "".join(settled) + unchained(chain)
 
 
 _ASCII_LETTER, _SIGN, _BETWEEN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -165,8 +206,8 @@ def disguised_tokens(raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.nda
     m = len(once)
     odd[once[_ASCII_LETTER[c[:m]] & _BETWEEN[c[1 : m + 1]] & _ASCII_LETTER[c[2 : m + 2]] & _BETWEEN[c[3 : m + 3]]]] = True
     token = np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1)
-    letters = np.concatenate([[0], np.cumsum(letter[:n])])
-    token = token[(ends[token] - starts[token] <= MOST_TOKEN) & (letters[ends[token]] > letters[starts[token]])]
+    letters = np.concatenate([[0], np.cumsum(letter[:n], dtype=np.int32)])
+    token = token[letters[ends[token]] > letters[starts[token]]]
     held = raw.tobytes()
     words = [held[s:e].decode(errors="ignore") for s, e in zip(starts[token].tolist(), ends[token].tolist(), strict=True)]
     row = np.searchsorted(at, starts, side="right") - 1
@@ -177,16 +218,50 @@ def disguised_tokens(raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.nda
         joined = (np.diff(single) == 1) & (starts[single[1:]] - ends[single[:-1]] == 1) & (row[single[1:]] == row[single[:-1]])
         edge = np.flatnonzero(~joined)
         first, last = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(single) - 1]])
-        long = (last - first >= 2) & (last - first < MOST_TOKEN)
+        long = last - first >= 2
         first, last = single[first[long]], single[last[long]]
         words += [held[starts[i] : ends[j]].decode() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
         rows = np.concatenate([rows, row[first]])
     return words, rows
 
 
+#: A longer text is read in pieces of about so many bytes.
+PIECE = 512 << 10
+
+
+def pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A text cut between words, and not within a run of single characters where that can be avoided."""
+    space = wordhash._SPACE
+    start = 0
+    while len(raw) - start > 2 * PIECE:
+        near = raw[start + PIECE : start + 2 * PIECE]
+        blank = space[near]
+        ends = np.flatnonzero(blank[:-2] & ~blank[1:-1] & ~blank[2:])  # before a word of two characters or more
+        ends = ends if len(ends) else np.flatnonzero(blank)
+        if not len(ends):
+            # no blank for long: to the next one, wherever it is
+            rest = np.flatnonzero(space[raw[start + 2 * PIECE :]][: len(raw)])
+            if not len(rest):
+                break
+            cut = start + 2 * PIECE + int(rest[0])
+        else:
+            cut = start + PIECE + int(ends[0])
+        yield raw[start:cut]
+        start = cut
+    yield raw[start:]
+
+
 def features(texts: pa.Array, restorer: Restorer, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of the words, restored words and word beginnings; and the text of each."""
     raw, at = wordhash.text_bytes(texts)
+    if len(texts) == 1 and len(raw) > 2 * PIECE:
+        # equal features of a piece count once, as those of a text do
+        found = np.unique(np.concatenate([np.unique(piece_features(x, np.array([0, len(x)]), restorer, buckets)[0]) for x in pieces(raw)]))
+        return found, np.zeros(len(found), np.int64)
+    return piece_features(raw, at, restorer, buckets)
+
+
+def piece_features(raw: np.ndarray, at: np.ndarray, restorer: Restorer, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     tokens, owner = disguised_tokens(raw, at)
     restored = pa.array([restorer.restore(t.strip(EDGES)) for t in tokens], pa.string())
     found, rows = [], []
@@ -194,11 +269,14 @@ def features(texts: pa.Array, restorer: Restorer, buckets: int) -> tuple[np.ndar
         starts, ends = wordhash.word_spans(raw, at, wordhash._LETTER[raw])
         row = np.searchsorted(at, starts, side="right") - 1
         row = row if of is None else of[row]
-        size = ends - starts
-        for k in (None, 4, 5):
-            take = size > (k or 0)
-            h = wordhash.hash_words(raw, starts[take], ends[take], most=k)
-            found.append(wordhash.mix(h + np.uint64(k or 0)) % np.uint64(buckets))
+        # where characters begin, so that beginnings of words are cut between characters
+        heads = np.flatnonzero((raw & 0xC0) != 0x80)
+        first, size = np.searchsorted(heads, starts), np.searchsorted(heads, ends) - np.searchsorted(heads, starts)
+        for k in (0, 4, 5):
+            take = size > k
+            upto = ends[take] if not k else heads[first[take] + k]
+            h = wordhash.hash_words(raw, starts[take], upto)
+            found.append(wordhash.mix(h + np.uint64(k)) % np.uint64(buckets))
             rows.append(row[take])
     return np.concatenate(found).astype(np.int64), np.concatenate(rows)
 
@@ -233,21 +311,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trigrams
         out = [np.append(at, -1), *(np.append(total[k][at], n[k]).astype(np.int64) for k in (0, 1))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["bucket", "clean", "toxic"])
 
-    sums = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sums = sums.where("toxic > 2 or bucket < 0").toPandas()  # at most `buckets` rows
-    head = sums[sums.bucket < 0]
-    clean, toxic = (float(head.clean.sum()), float(head.toxic.sum())) if len(head) else (0.0, 0.0)
+    counted = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weights = np.zeros(buckets, np.float32)
-    if not clean or not toxic:
-        return weights, 0.0, -math.inf
-    sums = sums[sums.bucket >= 0]
-    p, q = (sums.toxic.to_numpy() + 0.05) / (toxic + 0.1), (sums.clean.to_numpy() + 0.05) / (clean + 0.1)
-    odds = np.log(p / q)
-    # how sure the difference is: a z-test of two shares
-    pooled = (sums.toxic.to_numpy() + sums.clean.to_numpy() + 0.1) / (clean + toxic)
-    z = (p - q) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / clean + 1 / toxic))
-    sure = (z > 5) & (odds > 1.0)
-    weights[sums.bucket.to_numpy()[sure]] = odds[sure]
+    with WorkTables(docs.sparkSession) as work:
+        sums = work.stored(counted, "toxicity_counts")
+        head = sums.where("bucket < 0").first()
+        if head is None or not head.clean or not head.toxic:
+            return weights, 0.0, -math.inf
+        clean, toxic = float(head.clean), float(head.toxic)
+        p, q = (F.col("toxic") + 0.05) / (toxic + 0.1), (F.col("clean") + 0.05) / (clean + 0.1)
+        # how sure the difference is: a z-test of two shares
+        pooled = (F.col("toxic") + F.col("clean") + 0.1) / (clean + toxic)
+        z = (p - q) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(0.999))) * (1 / clean + 1 / toxic))
+        sure = sums.where("bucket >= 0").where((F.col("toxic") > 2) & (z > 5)).select("bucket", F.ln(p / q).alias("odds")).where("odds > 1.0")
+        found = sure.toPandas()  # the few features tied to toxicity
+    weights[found.bucket.to_numpy(np.int64)] = found.odds.to_numpy()
 
     def weigh(batches):
         restorer = Restorer(trigrams)
@@ -306,4 +384,4 @@ def toxicity_scores(
         return [e.astype(float), s]
 
     dtype = StructType([StructField("evidence", DoubleType()), StructField("score", DoubleType())])
-    return append_struct(docs, text_col, "toxicity", dtype, score, keep=list(keep or [id_col]))
+    return append_struct(docs, text_col, "toxicity", dtype, score, keep=list(keep or [id_col]), finish=lambda: score.__dict__.clear())

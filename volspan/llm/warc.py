@@ -13,8 +13,8 @@ what a lost or repeated task left behind is never read.
 
 Defined results: a null payload counts as empty; a null id or url stays null and is
 told from an empty one; control characters of a url are percent-encoded; of equal payloads whose ids are all null every record is a response;
-rows that repeat the largest id are all responses; ids that repeat elsewhere are
-revisits each; an empty table gives an empty manifest and no record; very large payloads
+rows that repeat the largest id are all responses (and share a record id); ids that
+repeat elsewhere are revisits each; an empty table gives an empty manifest and no record; very large payloads
 are one frame each.
 """
 
@@ -46,6 +46,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 LEVEL = 6
+#: Hashes of repeated payloads that are broadcast; beyond, they are joined by shuffle.
+BROADCAST_HASHES = 1_000_000
 #: A task starts a new archive beyond this.
 ARCHIVE_BYTES = 256 << 20
 
@@ -162,8 +164,10 @@ def with_responses(pages: DataFrame, id_col: str, url_col: str, payload_col: str
     payload = F.coalesce(F.col(quoted(payload_col)).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("same", F.sha2("payload", 256))
-    last = rows.groupBy("same").agg(F.max("id").alias("last"))
-    joined = rows.join(last, "same")
+    # only hashes that repeat matter; payloads stay where they are read as long as these are few
+    last = rows.groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
+    last = stored(last.select("same", "last"), "repeated-payloads")
+    joined = rows.join(F.broadcast(last) if last.count() <= BROADCAST_HASHES else last, "same", "left")
     revisits = (F.octet_length("payload") >= least_bytes) & F.coalesce(F.col("id") != F.col("last"), F.col("last").isNotNull())
     return joined.select("id", "url", "payload", F.when(revisits, F.col("last")).alias("refers_to"), revisits.alias("revisit"))
 
@@ -212,9 +216,10 @@ RECORDS = "page_id string, url string, record_type string, payload_bytes long, p
 def read_archives(spark: SparkSession, manifest: DataFrame, path: str, with_payload: bool = True) -> DataFrame:
     """The records of the archives that the manifest names; `payload` is null for revisits.
 
-    Each archive is read by one task, as a stream; digest and length of every response are
-    checked against its payload.
+    Archives are dealt out to as many tasks, and each is read as a stream; digest and length of
+    every response are checked against its payload.
     """
+    n_archives = manifest.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(path)
@@ -247,4 +252,4 @@ def read_archives(spark: SparkSession, manifest: DataFrame, path: str, with_payl
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(run, RECORDS)
+    return manifest.select("archive").repartition(max(1, n_archives)).mapInArrow(run, RECORDS)
