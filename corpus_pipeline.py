@@ -23,8 +23,9 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    judged = quality_op.quality_rules(docs, out="quality verdict", keep=COLUMNS)
+    """Documents that the quality rules reject go; null and empty texts are among them. Bands are fitted on texts labelled good."""
+    whole, chunks = quality_op.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality_op.quality_rules(docs, out="quality verdict", keep=COLUMNS, document_bands=whole, chunk_bands=chunks)
     return judged.where(F.col("`quality verdict`.kept")).select(*COLUMNS)
 
 
@@ -47,13 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; null and empty texts overlap none and stay."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return leaks_op.decontaminate(docs, bench).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced, and `n_chars` follows."""
+    """Secrets in the texts are replaced, and `n_chars` follows; null texts stay null."""
     clean = secrets_op.redact_secrets(docs, out="redacted text", keep=COLUMNS)
     changed = F.col("`redacted text`.n_spans") > 0
     text = F.col("`redacted text`.text")
@@ -62,7 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text; a null text has none."""
     import public_tokenizers
 
     coded = bpe_op.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out="coded", keep=["doc_id", "lang", "source"])
