@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspan.operators.compare import GROUP, SERIES
+from volspan.session import new_path
 
 MODULUS = 1 << 31
+#: Rows of all series, about 100 bytes each, that are broadcast to the draws.
+BROADCAST_ROWS = 500_000
 
 
 def hashed_start(b: Column, j: Column, t: Column, block: int, seed: int) -> Column:
@@ -36,12 +39,21 @@ def block_bootstrap(lengths: DataFrame, block: int = 22, replicates: int = 10_00
 
 
 def bootstrap_means(loss: DataFrame, block: int = 22, replicates: int = 10_000, seed: int = 42, starts: DataFrame | None = None) -> DataFrame:
-    """Mean loss of every series in every replicate. `starts` takes the place of the hashed draws."""
+    """Mean loss of every series in every replicate. `starts` takes the place of the hashed draws.
+
+    The series are written once. Up to `BROADCAST_ROWS` of their rows go to where the draws are
+    made: a replicate's blocks are then summed before anything is shuffled.
+    """
     whole = Window.partitionBy(*SERIES)
     w = whole.orderBy("date")
     x = loss.withColumns({"pos": (F.row_number().over(w) - 1).cast("long"), "T": F.count("*").over(whole), "sum": F.sum("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     x = x.select(*SERIES, "T", "pos", F.coalesce("sum", F.lit(0.0)).alias("before"), F.sum("loss").over(w.rowsBetween(0, block - 1)).alias("full"), "loss")
+    path = new_path(loss.sparkSession, "series")
+    x.write.parquet(path)
+    x = loss.sparkSession.read.parquet(path)
     starts = block_bootstrap(x, block, replicates, seed) if starts is None else starts
+    if x.count() <= BROADCAST_ROWS:
+        x = F.broadcast(x)
     starts = starts.select("T", "b", F.col("start").alias("pos"), "size")
     sums = x.join(starts.where(F.col("size") == block), ["T", "pos"]).select(*SERIES, "T", "b", F.col("full").alias("part"))
     # the cut blocks: running sums at both ends
