@@ -721,7 +721,7 @@ def test_scores_are_sums_of_weights(spark):
         p, q = (a + 0.05) / (len(toxic) + 0.1), (b + 0.05) / (len(clean) + 0.1)
         pooled = (a + b + 0.1) / 250
         z = (p - q) / math.sqrt(pooled * (1 - min(pooled, 0.999)) * (1 / len(clean) + 1 / len(toxic)))
-        if a > 2 and z > 5 and math.log(p / q) > 1:
+        if a > 2 and z > 5 and math.log(p / q) > toxicity.LEAST_ODDS:
             weights[f] = math.log(p / q)
     assert set(weights) == {("schwachköpfig", 0), ("schw", 4), ("schwa", 5)}
     for i, t in rows:

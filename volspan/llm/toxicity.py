@@ -36,6 +36,9 @@ from volspan.llm.shared import WorkTables
 #: Bound on the expected number of labelled rows that fit the weights and the curve.
 FIT_ROWS = 60_000
 BUCKETS = 1 << 20
+#: Log odds from which a feature counts. Copies of a text are no independent rows, and so the z-test alone
+#: lets words pass that only a group of copies made look toxic.
+LEAST_ODDS = 3.0
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 BETWEEN = ".-_*~'`^,/\\"
@@ -323,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trigrams
         # how sure the difference is: a z-test of two shares
         pooled = (F.col("toxic") + F.col("clean") + 0.1) / (clean + toxic)
         z = (p - q) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(0.999))) * (1 / clean + 1 / toxic))
-        sure = sums.where("bucket >= 0").where((F.col("toxic") > 2) & (z > 5)).select("bucket", F.ln(p / q).alias("odds")).where("odds > 1.0")
+        sure = sums.where("bucket >= 0").where((F.col("toxic") > 2) & (z > 5)).select("bucket", F.ln(p / q).alias("odds")).where(F.col("odds") > LEAST_ODDS)
         found = sure.toPandas()  # the few features tied to toxicity
     weights[found.bucket.to_numpy(np.int64)] = found.odds.to_numpy()
 
