@@ -15,7 +15,7 @@ from volspan.llm import decontaminate as leaks_op
 from volspan.llm import jaccard_join as jaccard_op
 from volspan.llm import quality_rules as quality_op
 from volspan.llm import secret_scan as secrets_op
-from volspan.llm.shared import stored
+from volspan.llm.shared import WorkTables, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids up to which a list of them is broadcast to the scan of the documents; beyond, both are shuffled.
@@ -84,6 +84,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return docs
+    with WorkTables(spark) as work:  # what a stage read goes when its own table is written
+        for name, stage in STAGES[:-1]:
+            read, docs = list(work.paths), work.stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+            work.drop(read)
+        name, stage = STAGES[-1]
+        return stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
