@@ -666,10 +666,12 @@ def _h1_losses(spark, sf_dir) -> DataFrame:
     return compare.losses(fx.rolling_forecasts(fx.panel3(spark, sf_dir), (1,)))
 
 
-@register(f"{_H1}, {_DRAWS} SELECT * FROM starts")
+@register(f"{_H1}, {_DRAWS} SELECT T, b, count(*) AS blocks, cast(sum(size) AS BIGINT) AS rows, cast(sum(start) AS BIGINT) AS starts, cast(sum(start * (j + 1)) AS BIGINT) AS placed FROM starts GROUP BY T, b")
 def block_bootstrap(spark, sf_dir):
+    """The draws of every replicate: how many blocks and rows, and sums of the starts, plain and by place."""
     lengths = _h1_losses(spark, sf_dir).groupBy(*compare.SERIES).agg(F.count("*").alias("T"))
-    return sets.block_bootstrap(lengths, BLOCK, REPLICATES)
+    drawn = sets.block_bootstrap(lengths, BLOCK, REPLICATES)
+    return drawn.groupBy("T", "b").agg(F.count("*").alias("blocks"), F.sum("size").alias("rows"), F.sum("start").alias("starts"), F.sum(F.col("start") * (F.col("j") + 1)).alias("placed"))
 
 
 @register(f"{_H1}, {_DRAWS}, {_BOOT} SELECT symbol, horizon, model, b, round(m, 6) AS boot_mean FROM boot")
