@@ -312,6 +312,15 @@ def test_pii_bases_stay(spark, odd, crf):
             assert {r.text[s:e] for k, s, e in spans} == {"jo.81 at mail7 dot example dot com", "(437) 555-0689"}
 
 
+def test_sample_is_bounded_and_the_same_each_time(spark):
+    """Copies count once, and partitions make no difference."""
+    rows = [(i, f"{prose(5, i)} a{i}@b.com") for i in range(400)] + [(1000 + i, "copy c@d.org") for i in range(3000)] + [(9000, None), (9001, ""), (9002, "no mark")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = pii.sample_texts(df.repartition(3), "text", 100), pii.sample_texts(df.repartition(5, "doc_id"), "text", 100)
+    assert one == two and 0 < len(one) < 60
+    assert len(pii.sample_texts(df, "text", 10_000)) == 401 and pii.sample_texts(df.where("false"), "text", 10) == []
+
+
 def test_spelled_out_at_without_digits(spark, crf):
     pairs = ["write to jane [at] example.com today", "write to jane (at) example.com today", "write to jane at example.com today"]
     rows = [(i, t) for i, t in enumerate(pairs)] + [(10 + i, f"{t} and then wait for an answer of the office about year 7") for i, t in enumerate(pairs)]
