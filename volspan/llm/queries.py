@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspan.llm import bpe as bpe_op
+from volspan.llm import chat as chat_op
 from volspan.llm import decontaminate as leaks_op
+from volspan.llm import fim as fim_op
+from volspan.llm import fptree as search_op
 from volspan.llm import hosts as hosts_op
 from volspan.llm import importance as importance_op
 from volspan.llm import jaccard_join as jaccard_op
@@ -186,6 +189,75 @@ SELECT doc_id, item_id, max(need)::BIGINT AS n_aligned, max(equal)::BIGINT AS n_
 """
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_op.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Every pair of an item and a document that share a term, scored and ranked.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts FROM benchmark),
+g AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_all FROM d WHERE len(ts) > 0),
+asked AS (SELECT q, term, count(*) AS repeats FROM (SELECT q, unnest(ts) AS term FROM i) GROUP BY ALL),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), g),
+size AS (SELECT r, doc_id, 100 - 25 + ((25 * len(ts)::BIGINT * n_docs) // n_all) AS m FROM d, g WHERE len(ts) > 0),
+scored AS (SELECT q, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN size USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 20
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim_op.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    back = fim_op.restore(made)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", sha("fim.output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS e FROM t),
+f AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, lo) AS prefix, substr(text, lo + 1, hi - lo) AS middle, substr(text, hi + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+#: Two turns of control strings, formatted with the conversations.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    read = chat_op.read_back(chat_op.format_chats(turns.unionByName(more)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("learned", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: Lengths of the marks: "### " role ":\n" opens a block of one role, "</turn>\n" ends it, "<more/>" parts its texts.
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+        length(replace(replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '<more/>', '\m'), '### ', '\h')) AS n,
+        length(replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\e'), '<more/>', '\m'), '### ', '\h'), chr(10), '\n')) AS n_role FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(n + CASE WHEN before = role THEN 7 ELSE n_role + 14 END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -199,6 +271,9 @@ QUERIES = {
         op8_toxicity,
         op9_secrets,
         op10_decontamination,
+        op11_lexical_search,
+        op12_fill_in_middle,
+        op13_chat_formatting,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc_dictionary": OP2_SQL, "op3_host_reputation": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_dictionary": OP2_SQL, "op3_host_reputation": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_chat_formatting": OP13_SQL}
