@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = c.execute(Q.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
