@@ -1,13 +1,16 @@
 """Forecast comparison: alignment, Diebold-Mariano, Mincer-Zarnowitz, Giacomini-Rossi.
 
-Forecasts are long: symbol, horizon, model, date, actual, forecast. Every test is a
-grouped aggregate over lags and running sums, with one sort per series.
+Forecasts are long: symbol, horizon, model, date, actual, forecast. Tests of one series are
+grouped aggregates over lags and running sums, with one sort per series; tests of pairs are
+worked out side by side within a symbol and horizon.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,29 +60,78 @@ def nw_variance(df: DataFrame, keys: Sequence[str], d: str, lags: Column, most:
     return out.select(*keys, "n", "mean", "gamma0", (v / F.col("n")).alias("variance"))
 
 
-def dm_pairs(loss: DataFrame) -> DataFrame:
-    """Loss differences of each pair of models, the smaller name first: an equi-join on symbol, horizon and date."""
-    a, b = loss.withColumnsRenamed({"model": "model_i", "loss": "loss_i"}), loss.withColumnsRenamed({"model": "model_j", "loss": "loss_j"})
-    pairs = a.join(b, [*GROUP, "date"]).where("model_i < model_j")
-    return pairs.select(*GROUP, "model_i", "model_j", "date", (F.col("loss_i") - F.col("loss_j")).alias("d"))
+#: Cells (date times pair) whose differences are held at once.
+PAIR_CELLS = 1_000_000
 
 
-def dm_test(loss: DataFrame, alternative: str = "two-sided", lags: int | None = None, most_lags: int = 21) -> DataFrame:
+def pair_moments(losses: np.ndarray, lags: int) -> Iterator[tuple[int, int, int, float, float, float]]:
+    """(i, j, n, mean, gamma0, variance of the mean) of the differences of each pair of columns of (date, model), in
+    order of date; a NaN is no loss, and a pair has the dates at which both have one. Bartlett weights up to `lags`."""
+    first, second = np.triu_indices(losses.shape[1], 1)
+    holes = np.isnan(losses).any(axis=0)
+
+    def moments(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(d)
+        e = d - d.mean(axis=0)
+        gamma0 = (e * e).mean(axis=0)
+        v = gamma0.copy()
+        for k in range(1, min(lags, n - 1) + 1):
+            v += 2 * (1 - k / (lags + 1)) * (e[k:] * e[:-k]).mean(axis=0)
+        return d.mean(axis=0), gamma0, v / n
+
+    whole = np.flatnonzero(~holes[first] & ~holes[second])
+    for part in np.array_split(whole, max(1, -(-len(losses) * len(whole) // PAIR_CELLS))):
+        if len(part):
+            for p, *m in zip(part, *moments(losses[:, first[part]] - losses[:, second[part]]), strict=True):
+                yield int(first[p]), int(second[p]), len(losses), *map(float, m)
+    for p in np.flatnonzero(holes[first] | holes[second]):
+        d = losses[:, first[p]] - losses[:, second[p]]
+        d = d[~np.isnan(d)][:, None]
+        if len(d):
+            yield int(first[p]), int(second[p]), len(d), *(float(m[0]) for m in moments(d))
+
+
+def dm_moments(loss: DataFrame, lags: int | None = None) -> DataFrame:
+    """Per pair of models of a symbol and horizon, the smaller name first: `n`, `mean`, `gamma0`, `variance`.
+
+    The losses are shuffled once, by symbol and horizon; a task lays those of a group side by side, a column for each model, and
+    works out all pairs in bounded parts: pairs of rows never meet in a join. Lags default to max(1, h - 1).
+    A model has one loss a date; null and NaN losses are left out.
+    """
+    rows = loss.where("loss is not null and not isnan(loss)").select(*SERIES, "date", F.col("loss").cast("double").alias("loss"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in SERIES}
+    schema = f"symbol {kinds['symbol']}, horizon {kinds['horizon']}, model_i {kinds['model']}, model_j {kinds['model']}, n long, mean double, gamma0 double, variance double"
+
+    def run(group: pa.Table) -> pa.Table:
+        names = sorted(group.column("model").unique().to_pylist())
+        _, date = np.unique(group.column("date").to_numpy(), return_inverse=True)
+        column = np.searchsorted(names, group.column("model").to_numpy(zero_copy_only=False).astype(str))
+        wide = np.full((date.max() + 1, len(names)), np.nan)
+        wide[date, column] = group.column("loss").to_numpy()
+        symbol, horizon = group.column("symbol")[0], group.column("horizon")[0]
+        made = list(pair_moments(wide, max(1, horizon.as_py() - 1) if lags is None else lags))
+        model = group.schema.field("model").type
+        columns = [pa.array([x.as_py()] * len(made), x.type) for x in (symbol, horizon)]
+        columns += [pa.array([names[m[k]] for m in made], model) for k in (0, 1)] + [pa.array([m[k] for m in made], pa.int64() if k == 2 else pa.float64()) for k in range(2, 6)]
+        return pa.Table.from_arrays(columns, names=[*GROUP, "model_i", "model_j", "n", "mean", "gamma0", "variance"])
+
+    return rows.groupBy(*GROUP).applyInArrow(run, schema)
+
+
+def dm_test(loss: DataFrame, alternative: str = "two-sided", lags: int | None = None) -> DataFrame:
     """Diebold-Mariano test of each pair: `statistic`, `p_value`, `mean_diff`, `n`.
 
-    Lags default to max(1, h - 1). A variance that is not positive falls back to gamma0 / T;
-    a zero there gives nulls (identical losses).
+    Lags default to max(1, h - 1), whatever the horizon. A variance that is not positive falls back to
+    gamma0 / T; a zero there gives nulls (identical losses).
     """
     if alternative not in ("two-sided", "less", "greater"):
         raise ValueError(f"unknown alternative: {alternative}")
-    keys = [*GROUP, "model_i", "model_j"]
-    k = F.greatest(F.lit(1), F.col("horizon") - 1) if lags is None else F.lit(lags)
-    v = nw_variance(dm_pairs(loss), keys, "d", k, most_lags if lags is None else max(lags, 1))
+    v = dm_moments(loss, lags)
     variance = F.when(F.col("variance") > 0, F.col("variance")).otherwise(F.col("gamma0") / F.col("n"))
     v = v.withColumn("statistic", F.when(variance > 0, F.col("mean") / F.sqrt(variance)))
     t = F.col("statistic")
     p = {"two-sided": two_sided_p(t), "less": normal_cdf(t), "greater": 1 - normal_cdf(t)}[alternative]
-    return v.select(*keys, "n", F.col("mean").alias("mean_diff"), "statistic", p.alias("p_value"))
+    return v.select(*GROUP, "model_i", "model_j", "n", F.col("mean").alias("mean_diff"), "statistic", p.alias("p_value"))
 
 
 def dm_matrix(loss: DataFrame, **options) -> DataFrame:
@@ -94,9 +146,12 @@ def mz_regression(df: DataFrame, lags: Column | int = 22, most_lags: int = 22) -
     """Mincer-Zarnowitz regression actual ~ 1 + forecast per series, with Bartlett-weighted (HAC) errors.
 
     `alpha`, `beta`, their errors and p-values against 0 and 1, `r2`, and the joint test as F(2, n - 2).
-    A constant forecast gives nulls.
+    A constant forecast gives nulls. Lags that are a column must be bounded by `most_lags`: more raise an error.
     """
-    lags = F.lit(lags) if isinstance(lags, int) else lags
+    if isinstance(lags, int):
+        lags, most_lags = F.lit(lags), max(lags, 1)
+    else:
+        lags = F.when(lags > most_lags, F.raise_error(F.lit(f"more than {most_lags} lags: give most_lags"))).otherwise(lags)
     df = finite_pairs(df)
     whole = Window.partitionBy(*SERIES)
     w = whole.orderBy("date")

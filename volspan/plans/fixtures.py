@@ -39,11 +39,15 @@ def panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("ticks"), F.avg(F.ln(1 + F.col("value"))).alias("value"))
 
 
-def rolling_forecasts(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+#: Fifteen of them.
+MODELS15 = {f"m_{n}": n for n in (4 * k + 2 for k in range(15))}
+
+
+def rolling_forecasts(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS, models: dict[str, int] = MODELS) -> DataFrame:
     """Long forecasts of the rolling means: symbol, horizon, model, date, actual, forecast."""
-    x = panel.withColumn("pos", position()).withColumns({m: rolling_mean("rv", n, 1) for m, n in MODELS.items()} | {f"actual_{h}": target("rv", h) for h in horizons})
+    x = panel.withColumn("pos", position()).withColumns({m: rolling_mean("rv", n, 1) for m, n in models.items()} | {f"actual_{h}": target("rv", h) for h in horizons})
     x = x.where(F.col("pos") >= WARM_UP)
-    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model"), F.col(f"actual_{h}").alias("actual"), F.col(m).alias("forecast")) for h in horizons for m in MODELS])
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model"), F.col(f"actual_{h}").alias("actual"), F.col(m).alias("forecast")) for h in horizons for m in models])
     return x.select("symbol", "date", F.explode(rows).alias("r")).select("symbol", "r.horizon", "r.model", "date", "r.actual", "r.forecast").where("actual is not null and forecast is not null")
 
 

@@ -33,6 +33,11 @@ FORECASTS = (
     "wide_ AS (SELECT symbol, date, pos, " + ", ".join(f"{mean_back(n)} AS {m}" for m, n in _MODELS.items()) + f", {mean_ahead(1)} AS a1, {mean_ahead(5)} AS a5 FROM panel),\n"
     "fc AS (" + " UNION ALL ".join(f"SELECT symbol, {h} AS horizon, '{m}' AS model, date, a{h} AS actual, {m} AS forecast FROM wide_ WHERE pos >= 66 AND a{h} IS NOT NULL AND {m} IS NOT NULL" for h in (1, 5) for m in _MODELS) + ")"
 )
+_WIDE = tuple(4 * k + 2 for k in range(15))
+FORECASTS15 = (
+    "wide_ AS (SELECT symbol, date, pos, " + ", ".join(f"{mean_back(n)} AS m_{n}" for n in _WIDE) + f", {mean_ahead(22)} AS actual FROM panel),\n"
+    "fc AS (" + " UNION ALL ".join(f"SELECT symbol, 22 AS horizon, 'm_{n}' AS model, date, actual, m_{n} AS forecast FROM wide_ WHERE pos >= 66 AND actual IS NOT NULL AND m_{n} IS NOT NULL" for n in _WIDE) + ")"
+)
 F3, F5 = PANEL3 + ",\n" + FORECASTS, PANEL5 + ",\n" + FORECASTS
 
 QL = "CASE WHEN actual > 0 AND forecast > 0 THEN actual / forecast - ln(actual / forecast) - 1 END"
