@@ -223,6 +223,51 @@ def test_guess_costs_are_the_least():
         assert math.isclose(secret_scan.guess_log10(v, words), exhaustive_guess(v, words), rel_tol=1e-9), v
 
 
+def quadratic_guess(value, words=tuple(secret_scan.WORDS)):
+    """The same costs with every segment tried."""
+    ranks, low = secret_scan.word_ranks(words)[0], value.lower()
+    plain, n = low.translate(secret_scan.LEET), len(value)
+    per_char = secret_scan.brute_log10(value) / n
+    best, dates = [0.0] * (n + 1), {}
+    for i in range(n):
+        if m := secret_scan.DATE.match(value, i):
+            dates.setdefault(m.end(), []).append(i)
+    for j in range(1, n + 1):
+        found = [best[j - 1] + per_char]
+        for i in range(j - 1):
+            part, p, before = value[i:j], low[i:j], best[i] + (secret_scan.BOUNDARY if i else 0.0)
+            rank, extra = ranks.get(p), 0.0
+            if rank is None and (rank := ranks.get(plain[i:j])) is not None:
+                extra = 0.6
+            if rank is not None:
+                found.append(before + rank + extra + (0.0 if part.islower() or part.isdigit() else 0.3 if part.istitle() or part.isupper() else 0.9))
+            if j - i >= 3:
+                if all(b in secret_scan.NEAR.get(a, ()) for a, b in itertools.pairwise(p)):
+                    found.append(before + math.log10(94) + 0.25 * (j - i))
+                if {ord(b) - ord(a) for a, b in itertools.pairwise(p)} in ({1}, {-1}):
+                    found.append(before + math.log10(8 * (j - i)))
+                found += [before + u * per_char + math.log10((j - i) // u) for u in range(1, 9) if (j - i) % u == 0 and (j - i) // u >= 2 and part == part[:u] * ((j - i) // u)]
+        found += [best[i] + (secret_scan.BOUNDARY if i else 0.0) + math.log10(36_500) for i in dates.get(j, ())]
+        best[j] = min(found)
+    return best[n]
+
+
+def test_guess_costs_of_long_repeats():
+    """Any number of copies behind a word that ends like them: exact, and growing with the logarithm of their number."""
+    g = secret_scan.guess_log10
+    for word, unit in (("password", "ord"), ("dragon", "gon"), ("secret", "ret"), ("2019password", "d"), ("", "0123456789")):
+        costs = {k: g(word + unit * k) for k in (40, 63, 64, 65, 66, 70, 200)}
+        if word:
+            assert all(math.isclose(costs[k], costs[40] + math.log10(k / 40), abs_tol=0.01) for k in costs), (word, costs)
+        for k in (64, 70):
+            value = word + unit * k if len(unit) < 4 else unit * 20
+            assert math.isclose(g(value), quadratic_guess(value), rel_tol=1e-9), (word, k)
+    rng = random.Random(13)
+    for _ in range(60):
+        value = "".join(rng.choice(("password", "dragon", "ab", "abc", "1999", "xq", "qwe")) + rng.choice(("ord", "gon", "a", "ab", "d", "cba", "0123", "abcdefgh")) * rng.choice((1, 3, 20, 66)) for _ in range(rng.randint(1, 3)))[:230]
+        assert math.isclose(g(value), quadratic_guess(value), rel_tol=1e-9), value
+
+
 def test_guess_costs():
     g = secret_scan.guess_log10
     assert g("password1") < 4 and g("qwertyuiop") < 5 and g("aaaaaaaaaaaa") < 4 and g("1998-12-31") < 6 and g("Summer2021") < 8

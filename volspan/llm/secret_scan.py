@@ -117,12 +117,48 @@ def word_ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
     return ranks, max(map(len, ranks), default=0)
 
 
-#: Copies of a repeat that may begin within its stretch; a longer one begins where the stretch does.
-NEAR_COPIES = 64
-LONGEST_UNIT = 8
+LONGEST_UNIT, LONGEST_DATE = 8, 10
 BOUNDARY = 0.3
 
 
+class Starts:
+    """The cheapest start of a segment that goes on growing: least of base[i] + log10(j - i) over the starts so far.
+
+    Of two starts the earlier one gains on the later one as j grows, and once ahead stays ahead. So starts form a stack, the
+    latest on top, each with the place from which on the one below it is cheaper: those places fall towards the
+    top, or the start between is never the cheapest. Every start is pushed and popped once at most.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, float]] = []
+        self.until: list[float] = []  # from there on, the start below is cheaper
+
+    @staticmethod
+    def overtakes(early: tuple[int, float], late: tuple[int, float]) -> float:
+        if late[1] <= early[1]:
+            return math.inf
+        gap = 10 ** min(300.0, late[1] - early[1])
+        return (gap * late[0] - early[0]) / (gap - 1) if gap > 1 else math.inf
+
+    def push(self, i: int, base: float) -> None:
+        new = (i, base)
+        while self.starts:
+            place = self.overtakes(self.starts[-1], new)
+            if self.until[-1] > place:
+                break
+            self.starts.pop()
+            self.until.pop()
+        self.until.append(self.overtakes(self.starts[-1], new) if self.starts else math.inf)
+        self.starts.append(new)
+
+    def least(self, j: int) -> float:
+        while len(self.starts) > 1 and self.until[-1] <= j:
+            self.starts.pop()
+            self.until.pop()
+        i, base = self.starts[-1]
+        return base + math.log10(j - i)
+
+
 def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS), enough: float = math.inf) -> float:
     """log10 of the guesses of the cheapest segmentation of `value`, whatever its length.
 
@@ -130,8 +166,8 @@ def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS), enough: float
     attacker a factor of two more for not knowing where it begins. Segments are words (in
     any case, or with signs for letters), dates, walks over neighbouring keys, runs of
     consecutive characters, repeats of a unit of at most `LONGEST_UNIT` characters, and single
-    characters of the value's alphabet. Runs and repeats begin where their stretch does, or
-    at most `NEAR_COPIES` steps before they end, so that the work grows with the length.
+    characters of the value's alphabet. A run or repeat may begin anywhere within its stretch: `Starts` holds the
+    cheapest place, so that the work grows with the length.
 
     As soon as no segmentation can stay below `enough`, some cost of at least that is returned.
     """
@@ -148,8 +184,9 @@ def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS), enough: float
         if m:
             date_ends.setdefault(m.end(), []).append(m.start())
     walk_start, walk_least = 0, math.inf  # least of after[i] - i / 4 over the places where this walk may begin
-    run_start, step = 0, 0
+    run_start, step, run = 0, 0, Starts()
     same = [0] * (LONGEST_UNIT + 1)  # characters before j that equal the one a unit earlier
+    repeats: list[dict[int, Starts]] = [{} for _ in same]  # of each unit, by the place of the start modulo the unit
     for j in range(1, n + 1):
         cost = best[j - 1] + per_char
         for i in range(max(0, j - longest), j - 1):
@@ -170,21 +207,26 @@ def guess_log10(value: str, words: tuple[str, ...] = tuple(WORDS), enough: float
                 cost = min(cost, walk_least + math.log10(47 * 2) + 0.25 * j)
             now = ord(low[j - 1]) - ord(low[j - 2])
             if now not in (1, -1) or now != step:
-                run_start, step = j - 2 if now in (1, -1) else j - 1, now
+                run_start, step, run = j - 2 if now in (1, -1) else j - 1, now, Starts()
             if j - run_start >= 3:
-                for i in {run_start, *range(max(run_start, j - NEAR_COPIES), j - 2)}:
-                    cost = min(cost, after[i] + math.log10(8 * (j - i)))
+                run.push(j - 3, after[j - 3])
+                cost = min(cost, run.least(j) + math.log10(8))
         for unit in range(1, min(LONGEST_UNIT, j - 1) + 1):
-            same[unit] = same[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
-            if same[unit] >= unit and same[unit] + unit >= 3:
-                most = (same[unit] + unit) // unit
-                for copies in {most, *range(2, min(most, NEAR_COPIES) + 1)}:
-                    if copies * unit >= 3:
-                        cost = min(cost, after[j - copies * unit] + unit * per_char + math.log10(copies))
+            if value[j - 1] != value[j - 1 - unit]:
+                if same[unit]:
+                    same[unit] = 0
+                    repeats[unit].clear()
+                continue
+            same[unit] += 1
+            i = j - max(2 * unit, 3)  # the latest start: two copies, and three characters
+            if same[unit] + unit >= j - i:
+                starts = repeats[unit].setdefault(i % unit, Starts())
+                starts.push(i, after[i])
+                cost = min(cost, starts.least(j) - math.log10(unit) + unit * per_char)
         best[j], after[j] = cost, cost + BOUNDARY
         if cost >= enough and j % 64 == 0:
             # a segment that goes on past j begins at one of these places, if not after j
-            first = min(j - longest, j - NEAR_COPIES * LONGEST_UNIT, walk_start, run_start, *(j - same[u] - u for u in range(1, LONGEST_UNIT + 1)))
+            first = min(j - longest, j - LONGEST_DATE, walk_start, run_start, *(j - same[u] - u for u in range(1, LONGEST_UNIT + 1)))
             if min(best[max(0, first - LONGEST_UNIT) : j + 1]) >= enough:
                 return cost
     return best[n]
