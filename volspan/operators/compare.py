@@ -238,6 +238,12 @@ def gr_path(diff: DataFrame, keys: Sequence[str], share: float = 0.3, lags: int
     x = x.withColumns({f"early_{k}": F.coalesce(F.lag("cum_e", k).over(w), F.lit(0.0)) for k in ks})
     x = x.withColumns({f"f_{k}": F.lead("cum_e", k).over(w) for k in ks} | {f"h_{k}": F.lead(f"q_{k}", k).over(w) for k in ks})
     x = x.withColumns({f"head_{k}": F.max(F.when(F.col("pos") == k - 1, F.col("cum_e"))).over(whole) for k in ks})
+    return gr_statistics(x, keys, lags)
+
+
+def gr_statistics(x: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:
+    """The statistics from running sums, their shifts and the first sums `head_k`, by an equi-join m rows back."""
+    ks = range(1, lags + 1)
     back = x.select(*keys, (F.col("pos") + F.col("m")).alias("pos"), F.col("cum_e").alias("b_s"), F.col("q_0").alias("b_q_0"), *[F.col(f"{n}_{k}").alias(f"b_{n}_{k}") for n in "fh" for k in ks])
     y = x.where(F.col("pos") >= F.col("m") - 1).join(back, [*keys, "pos"], "left").na.fill(0.0, ["b_s", "b_q_0", *[f"b_h_{k}" for k in ks]])
     m = F.col("m")
@@ -256,7 +262,10 @@ def gr_path(diff: DataFrame, keys: Sequence[str], share: float = 0.3, lags: int
 
 def gr_fluctuation(diff: DataFrame, keys: Sequence[str], share: float = 0.3, lags: int = 1) -> DataFrame:
     """Largest absolute rolling statistic and the decisions at 10 % and 5 %."""
-    path = gr_path(diff, keys, share, lags)
+    return gr_decisions(gr_path(diff, keys, share, lags), keys)
+
+
+def gr_decisions(path: DataFrame, keys: Sequence[str]) -> DataFrame:
     sup = path.groupBy(*keys).agg(F.first("T").alias("T"), F.first("m").alias("m"), F.max(F.abs("statistic")).alias("sup_stat"))
     mu = F.col("m") / F.col("T")
     sup = sup.withColumn("cv_10", gr_critical(mu, 10)).withColumn("cv_5", gr_critical(mu, 5))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volspan.operators.features import by_symbol, position
+from volspan.operators.scorers import arrow_columns, get_scorer, predicted, score
 
 
 def contexts(df: DataFrame, length: int = 512, column: str = "rv") -> DataFrame:
@@ -27,38 +29,37 @@ def context_target(horizon: int = 1, column: str = "rv") -> Column:
 
 #: Scorers that are one window function over the values before a row: no array is made.
 WINDOW_SCORERS: dict[str, Callable[[str], Column]] = {"last": lambda c: F.last(c, ignorenulls=True), "mean": lambda c: F.avg(c)}
-#: Scorers that are column expressions: context array -> point forecast of every step.
-COLUMN_SCORERS: dict[str, Callable[[Column], Column]] = {
-    "median": lambda c: (F.element_at(F.sort_array(c), F.floor((F.size(c) + 1) / 2).cast("int")) + F.element_at(F.sort_array(c), F.floor((F.size(c) + 2) / 2).cast("int"))) / 2,
-}
-
-
 def zero_shot(df: DataFrame, scorer: str = "last", horizon: int = 1, length: int = 512, column: str = "rv") -> DataFrame:
-    """Forecasts of a column scorer, the same for every step: symbol, date, actual, forecast."""
-    rows = df.withColumn("actual", context_target(horizon, column))
+    """Forecasts from the `length` rows before each row: symbol, date, actual, forecast. Scorers that are a window function stay in
+    columns; the others are those of `scorers`, run over blocks of rows."""
     if scorer in WINDOW_SCORERS:
+        rows = df.withColumn("actual", context_target(horizon, column))
         w = by_symbol().rowsBetween(-length, -1)
         made = rows.withColumns({"pos": position(), "forecast": WINDOW_SCORERS[scorer](column).over(w)}).where(F.col("pos") >= length)
         return made.select("symbol", "date", "actual", "forecast")
-    made = contexts(rows, length, column)
-    return made.select("symbol", "date", "actual", COLUMN_SCORERS[scorer](F.col("context")).alias("forecast"))
+    return score(df, scorer, horizon, length, column).select("symbol", "date", "actual", "forecast")
 
 
-def score_contexts(made: DataFrame, load: Callable[[], Callable[[list[list[float]]], list[list[float]]]], horizon: int) -> DataFrame:
-    """Forecasts of a user's scorer: `load()` runs once per task and returns a function from a batch of
-    contexts to a batch of point paths of `horizon` steps. Adds `point` and their mean `forecast`."""
+def score_contexts(made: DataFrame, scorer: str, horizon: int, samples: bool = False, **options) -> DataFrame:
+    """Forecasts of a registered scorer from arrays `context` of any source, all of one length in a batch of rows or else handed over one by
+    one: adds `point`, `lower`, `upper`, with `samples` also those, and the mean `forecast`. See `scorers.score` for series."""
     kept = [c for c in made.columns if c != "context"]
-    source = made.select(*kept, "context")
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept) + ", point array<double>"
+    source = made.select(*kept, F.col("context").cast("array<double>").alias("context"))
+    lists = ["point", "lower", "upper", *(["samples"] if samples else [])]
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept) + ", point array<double>, lower array<double>, upper array<double>" + (", samples array<array<double>>" if samples else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = load()
+        predict = get_scorer(scorer, **options)
         for batch in batches:
-            points = predict(batch.column(len(kept)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([[float(v) for v in p] for p in points], pa.list_(pa.float64()))], names=[*kept, "point"])
-
-    scored = source.mapInArrow(run, schema)
-    return scored.withColumn("forecast", F.aggregate(F.slice("point", 1, horizon), F.lit(0.0), lambda a, x: a + x, lambda a: a / horizon))
+            context = batch.column(len(kept))
+            sizes = context.value_lengths().to_numpy(zero_copy_only=False)
+            flat = context.flatten().to_numpy(zero_copy_only=False)
+            parts = [flat.reshape(len(sizes), -1)] if len(set(sizes.tolist())) == 1 else [x[None] for x in np.split(flat, np.cumsum(sizes)[:-1])]
+            scored = [s for part in parts for s in predicted(predict, part, horizon)]
+            if scored:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrow_columns(scored, samples)], names=[*kept, *lists])
+
+    return source.mapInArrow(run, schema).withColumn("forecast", F.aggregate("point", F.lit(0.0), lambda a, x: a + x, lambda a: a / horizon))
 
 
 def summarize_samples(df: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:

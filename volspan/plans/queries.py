@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volspan.functions import losses as L
 from volspan.functions.numeric import t_two_sided_p, two_sided_p
-from volspan.operators import arma, arma_ml, compare, context, features, reports, walk
+from volspan.operators import arma, arma_ml, blocks, compare, context, features, reports, scorers, walk
 from volspan.operators import mcs as sets
 from volspan.plans import fixtures as fx
 from volspan.plans import sqltext as q
@@ -536,15 +536,11 @@ for _key, _scorer, _value, _h in (("zero_shot", "mean", "avg(rv) {w}", 22), ("ze
     QUERIES[_key], ORACLE_SQL[_key] = _zero_shot(_scorer, _value, _h)
 
 
-def _user_scorer():
-    """A user's scorer: the mean of the context's last five values for every step."""
-    return lambda batch: [[sum(c[-5:]) / 5] * 5 for c in batch]
-
-
 @register(f"WITH {q.PANEL3} SELECT symbol, date, round(avg(rv) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) * 1e6, 3) AS forecast FROM panel QUALIFY pos >= 512")
 def scorer_udf(spark, sf_dir):
+    """A scorer by name, on contexts that are arrays: the mean of their last five values."""
     made = context.contexts(fx.panel3(spark, sf_dir).select("symbol", "date", "rv")).select("symbol", "date", "context")
-    return tidy(context.score_contexts(made, _user_scorer, 5).select("symbol", "date", "forecast"))
+    return tidy(context.score_contexts(made, "mean", 5, rows=5).select("symbol", "date", "forecast"))
 
 
 def _lags(a: int, b: int) -> str:
@@ -562,6 +558,24 @@ def summarize_samples(spark, sf_dir):
     return rounded(out, point=(1e6, 3), lower=(1e6, 3), upper=(1e6, 3))
 
 
+@register(f"""WITH {q.PANEL3}, c AS (SELECT symbol, date, [{_lags(1, 30)}] AS c, avg(rv) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS actual FROM panel QUALIFY pos >= 512),
+s AS (SELECT symbol, date, actual, i % 3 AS step, c[i + 1] AS x FROM (SELECT symbol, date, actual, c, unnest(range(0, 30)) AS i FROM c)),
+p AS (SELECT symbol, date, cast(step AS INTEGER) AS step, any_value(actual) AS actual, quantile_cont(x, 0.5) AS point, quantile_cont(x, 0.1) AS lower, quantile_cont(x, 0.9) AS upper FROM s GROUP BY symbol, date, step)
+SELECT symbol, date, step, {r("actual", 1e6, 3)}, {r("point", 1e6, 3)}, {r("lower", 1e6, 3)}, {r("upper", 1e6, 3)}, {r("point", 1e6, 3, "own_point")}, {r("lower", 1e6, 3, "own_lower")}, {r("upper", 1e6, 3, "picked_upper")},
+       round(point * 0.8 * 1e6, 3) AS scaled_lower, round(avg(point) OVER (PARTITION BY symbol, date) * 1e6, 3) AS forecast FROM p""")
+def scorer_full(spark, sf_dir):
+    """A scorer of ten sample paths of three steps in full: its own interval, and summary, quantile pick and scaled interval of its output."""
+    made = scorers.score(fx.panel3(spark, sf_dir), "past_paths", 3, samples=True, paths=10)
+    summed = context.summarize_samples(made.select("symbol", "date", "samples"), ["symbol", "date"])
+    point, _, upper = context.pick_quantiles(F.array("lower", "point", "upper"), [0.1, 0.5, 0.9])
+    own = made.select("symbol", "date", "actual", "forecast", "lower", point.alias("point"), upper.alias("upper"), context.scaled_interval(F.col("point"))[0].alias("scaled"))
+    own = own.select("symbol", "date", "actual", "forecast", F.posexplode(F.arrays_zip("point", "lower", "upper", "scaled")).alias("step", "v"))
+    own = own.select("symbol", "date", "step", "actual", "forecast", F.col("v.point").alias("own_point"), F.col("v.lower").alias("own_lower"), F.col("v.upper").alias("picked_upper"), F.col("v.scaled").alias("scaled_lower"))
+    out = summed.join(own, ["symbol", "date", "step"])
+    how = dict.fromkeys(("actual", "point", "lower", "upper", "own_point", "own_lower", "picked_upper", "scaled_lower", "forecast"), (1e6, 3))
+    return rounded(out.select("symbol", "date", "step", *how), **how)
+
+
 def _arrays(made: DataFrame, **arrays: Column) -> DataFrame:
     """Arrays as their sum, first and last entry, and length."""
     out = made.select("symbol", "date", *[a.alias(n) for n, a in arrays.items()])
@@ -848,6 +862,35 @@ crit AS (VALUES (0.1, 0.2, 3.17, 2.82, 3.39, 3.05), (0.2, 0.3, 2.82, 2.55, 3.05,
 gr AS (SELECT symbol, horizon, model, T, m, sup_stat, a10 + (mu - lo) / (hi - lo) * (b10 - a10) AS cv_10, a5 + (mu - lo) / (hi - lo) * (b5 - a5) AS cv_5 FROM sup JOIN crit c(lo, hi, a10, b10, a5, b5) ON (mu > lo OR lo = 0.1) AND mu <= hi)"""
 
 
+def _features_long(model: str, horizon: int = 1):
+    """Blocks of 512 rows, so that the test tables make several."""
+    names = features.REGRESSORS[model]
+    how = {n: (1.0, 6) if model == "Log_HAR" else RV[n] for n in names}
+
+    def run(spark, sf_dir):
+        df = blocks.model_features(fx.panel3(spark, sf_dir), model, horizon, size=512)
+        return rounded(df.select("symbol", "date", "pos", "y", *names), y=(1.0, 6) if model == "Log_HAR" else (1e6, 3), **how)
+
+    return run, _features(model, horizon)[1]
+
+
+for _key, _model, _h in (("har_features_long", "HAR", 5), ("har_rs_features_long", "HAR_RS", 1), ("log_har_features_long", "Log_HAR", 22)):
+    QUERIES[_key], ORACLE_SQL[_key] = _features_long(_model, _h)
+
+
+@register(f"WITH {q.PANEL3} SELECT date, symbol, {r('(' + q.mean_back(22, 'rv', 0) + ')', 1e6, 3, 'x_m')} FROM panel")
+def rolling_mean_long(spark, sf_dir):
+    rows = blocks.positions(fx.panel3(spark, sf_dir).select("date", "symbol", "rv"))
+    out = blocks.in_blocks(rows, lambda t: t.withColumn("x_m", features.rolling_mean("rv", 22)), 22, size=512)
+    return tidy(out.select("date", "symbol", "x_m"))
+
+
+@register(f"WITH {q.F3}, {_REC} SELECT symbol, horizon, model, date, round(coalesce(a + b * forecast, forecast) * 1e6, 2) AS corrected FROM rec WHERE k >= 252")
+def mz_recursive_long(spark, sf_dir):
+    x = blocks.mz_recursive(fx.rolling_forecasts(fx.panel3(spark, sf_dir)), size=512).where("pos >= 252")
+    return rounded(x.select("symbol", "horizon", "model", "date", "corrected"), corrected=(1e6, 2))
+
+
 def _gr_path(spark, sf_dir) -> DataFrame:
     return compare.gr_path(compare.against_benchmark(_h1_losses(spark, sf_dir), "roll_22"), compare.SERIES)
 
@@ -857,6 +900,12 @@ def gr_fluctuation(spark, sf_dir):
     return rounded(_gr_path(spark, sf_dir).drop("pos"), statistic=(1, 4))
 
 
+@register(_GR + " SELECT symbol, horizon, model, date, T, m, rel_pos, round(statistic, 4) AS statistic FROM path")
+def gr_fluctuation_long(spark, sf_dir):
+    diff = compare.against_benchmark(_h1_losses(spark, sf_dir), "roll_22")
+    return rounded(blocks.gr_path(diff, size=512).drop("pos"), statistic=(1, 4))
+
+
 @register("SELECT l_orderkey, l_linenumber, round(CASE WHEN mu <= 0.1 THEN 3.17 WHEN mu <= 0.2 THEN 3.17 - (mu - 0.1) * 3.5 WHEN mu <= 0.3 THEN 2.82 - (mu - 0.2) * 2.7 WHEN mu <= 0.4 THEN 2.55 - (mu - 0.3) * 2.3 WHEN mu <= 0.5 THEN 2.32 - (mu - 0.4) * 2.2 ELSE 2.10 END, 6) AS cv_10, round(CASE WHEN mu <= 0.1 THEN 3.39 WHEN mu <= 0.2 THEN 3.39 - (mu - 0.1) * 3.4 WHEN mu <= 0.3 THEN 3.05 - (mu - 0.2) * 2.5 WHEN mu <= 0.4 THEN 2.80 - (mu - 0.3) * 2.2 WHEN mu <= 0.5 THEN 2.58 - (mu - 0.4) * 2.0 ELSE 2.38 END, 6) AS cv_5 FROM (SELECT l_orderkey, l_linenumber, l_discount * 6 AS mu FROM lineitem)")
 def gr_critical(spark, sf_dir):
     x = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 6).alias("mu"))
