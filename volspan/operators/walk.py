@@ -8,8 +8,10 @@ nothing leaves the JVM, and a thousand symbols and folds cost one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,64 @@ def test_rows(df: DataFrame, train: int, test: int, step: int) -> DataFrame:
     return df.where(pos >= train).withColumn("fold", first).where(F.col("fold") * step + train <= pos)
 
 
-def ols_fit(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y") -> DataFrame:
+#: Eigenvalues of the correlation matrix below this share of the largest count as 0.
+RANK_SHARE = 1e-10
+
+
+def least_norm(n: float, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float | None]:
+    """Of all least-squares solutions the one with the smallest sum of squared coefficients, the constant's among them, and `sigma2`.
+
+    `mean` and `cov` are of the regressors and then the target.
+    """
+    k = len(mean) - 1
+    scale = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
+    scale = np.where(scale > 1e-12 * np.maximum(np.abs(mean[:k]), 1e-300), scale, 0.0)
+    safe = np.where(scale > 0, scale, 1.0)
+    r = np.where(np.outer(scale, scale) > 0, cov[:k, :k] / np.outer(safe, safe), 0.0)
+    values, vectors = np.linalg.eigh(r)
+    kept = values > RANK_SHARE * max(values.max(initial=0.0), 1e-300)
+    to_y = np.where(scale > 0, cov[:k, k] / safe, 0.0)
+    b = vectors[:, kept] @ ((vectors[:, kept].T @ to_y) / values[kept]) / safe
+    free = vectors[:, ~kept] / safe[:, None]  # what may be added without another fit
+    if free.shape[1]:
+        a = np.vstack([-mean[:k] @ free, free])
+        b = b - free @ np.linalg.lstsq(a, np.concatenate([[mean[k] - mean[:k] @ b], b]), rcond=None)[0]
+    rank = int(kept.sum()) + 1
+    left = max(0.0, float(cov[k, k] - b @ cov[:k, k]))
+    return np.concatenate([[mean[k] - mean[:k] @ b], b]), n * left / (n - rank) if n > rank else None
+
+
+def fill_least_norm(fit: DataFrame, keys: Sequence[str], x: Sequence[str], y: str) -> DataFrame:
+    """The groups without a fit get the one of least norm, from their moments."""
+    columns = [*x, y]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    kept = [*keys, "n_obs", "const", *[f"b_{c}" for c in x], "sigma2", "r2"]
+    moments = [f"m_{c}" for c in columns] + [f"c_{columns[i]}_{columns[j]}" for i, j in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                if row["const"] is None and row["n_obs"]:
+                    cov = np.zeros((len(columns), len(columns)))
+                    for i, j in pairs:
+                        cov[i, j] = cov[j, i] = row[f"c_{columns[i]}_{columns[j]}"]
+                    b, row["sigma2"] = least_norm(row["n_obs"], np.array([row[f"m_{c}"] for c in columns]), cov)
+                    row["const"] = float(b[0])
+                    row |= {f"b_{c}": float(v) for c, v in zip(x, b[1:], strict=True)}
+                    spread = cov[-1, -1]
+                    row["r2"] = float(b[1:] @ cov[:-1, -1] / spread) if spread > 0 else None
+            yield pa.RecordBatch.from_pylist([{c: row[c] for c in kept} for row in rows], schema=pa.schema([batch.schema.field(c) for c in kept]))
+
+    schema = ", ".join(f"`{c}` {fit.schema[c].dataType.simpleString()}" for c in kept)
+    return fit.select(*kept, *moments).mapInArrow(run, schema)
+
+
+def ols_fit(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y", minimum_norm: bool = False) -> DataFrame:
     """Least squares with a constant per group: `n_obs`, `const`, `b_<x>`, `sigma2` (SSR / (n - k)) and `r2`.
 
-    Groups whose regressors are collinear, or that have fewer rows than unknowns, get nulls.
+    Groups whose regressors are collinear, or that have fewer rows than unknowns, get nulls, or with `minimum_norm` the
+    solution of least norm (that of a pseudo-inverse), worked out from their moments by one Arrow pass over the fits.
     """
     columns = [*x, y]
     moments = {f"m_{c}": F.avg(c) for c in columns}
@@ -89,7 +145,8 @@ def ols_fit(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y")
     enough = n > k + 1
     ssr = n * F.greatest(cov(y, y) - explained, F.lit(0.0))
     out = [F.when(n >= k + 1, const).alias("const"), *[F.when(n >= k + 1, F.col(f"b_{c}")).alias(f"b_{c}") for c in x]]
-    return fit.select(*keys, "n_obs", *out, F.when(enough, ssr / (n - k - 1)).alias("sigma2"), ratio(explained, cov(y, y)).alias("r2"))
+    out = [*keys, "n_obs", *out, F.when(enough, ssr / (n - k - 1)).alias("sigma2"), ratio(explained, cov(y, y)).alias("r2")]
+    return fill_least_norm(fit.select(*out, *moments), keys, x, y) if minimum_norm else fit.select(*out)
 
 
 def ols_summary(df: DataFrame, keys: Sequence[str], x: Sequence[str], lags: int = 22, y: str = "y") -> DataFrame:
@@ -142,7 +199,7 @@ def floor_forecast(x: Column, low: float = 1e-6) -> Column:
     return clip_low(x, low)
 
 
-def walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, train: int = 252, test: int = 126, step: int = 126, floor: float | None = 1e-6, purge: bool = False) -> DataFrame:
+def walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, train: int = 252, test: int = 126, step: int = 126, floor: float | None = 1e-6, purge: bool = False, minimum_norm: bool = False) -> DataFrame:
     """Out-of-sample forecasts of a regression model on a preprocessed panel: symbol, date, fold, actual, forecast.
 
     One fit per fold: daily refits on the same training rows would give the same
@@ -154,7 +211,7 @@ def walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, train: int
     training = train_rows(rows, train, step)
     if purge and horizon > 1:
         training = training.where(F.col("pos") <= F.col("fold") * step + train - horizon)
-    fit = ols_fit(training, ["symbol", "fold"], x)
+    fit = ols_fit(training, ["symbol", "fold"], x, minimum_norm=minimum_norm)
     out = ols_predict(test_rows(rows, train, test, step), fit, ["symbol", "fold"], x)
     if model == "Log_HAR":
         out = out.withColumn("forecast", F.exp(F.col("forecast") + F.col("sigma2") / 2))
@@ -163,19 +220,59 @@ def walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, train: int
     return out.select("symbol", "date", "fold", "actual", "forecast")
 
 
+def centred_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds `mean_<c>` of the symbol and `d_<c>`, the value less it."""
+    rows = rows.withColumns({f"mean_{c}": F.avg(c).over(Window.partitionBy("symbol")) for c in columns})
+    return rows.withColumns({f"d_{c}": F.col(c) - F.col(f"mean_{c}") for c in columns})
+
+
+def window_sums(rows: DataFrame, wanted: DataFrame, start: Column, end: Column, crossed: Column, x: Sequence[str], y: str = "y") -> DataFrame:
+    """The sums of `solve_sums` over a window of rows of a symbol, for each row of `wanted` (symbol, ...).
+
+    `crossed` counts, for a row, the starts and ends of windows up to its position; `start` and `end` are those counts at the
+    first row of a window and at the first one behind it. Rows between two neighbouring ones are a block, blocks are summed
+    once, and a window is the difference of two running sums of blocks. No row is copied for the windows that
+    hold it. Rows are those of `centred_rows`. Windows that end behind the last row are left out.
+    """
+    columns = [*x, y]
+    sums = {f"s_{c}": F.sum(f"d_{c}") for c in columns} | {f"s_{a}_{b}": F.sum(F.col(f"d_{a}") * F.col(f"d_{b}")) for i, a in enumerate(columns) for b in columns[i:]}
+    names = ["rows", *sums]
+    blocks = rows.groupBy("symbol", crossed.alias("block")).agg(F.count("*").alias("rows"), *[e.alias(n) for n, e in sums.items()])
+    before = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = blocks.select("symbol", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names])
+    found = wanted.withColumns({"first block": start, "end block": end})
+    for side in ("first", "end"):
+        own = upto.select("symbol", F.col("block").alias(f"{side} block"), *[F.col(n).alias(f"{side} {n}") for n in names])
+        found = found.join(own, ["symbol", f"{side} block"])
+    return found.select(*wanted.columns, *[(F.col(f"end {n}") - F.col(f"first {n}")).alias(n) for n in names])
+
+
 def refit_walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, train: int = 252, test: int = 126, step: int = 126, every: int = 22) -> DataFrame:
-    """As `walk_forward`, but refitted every `every` test rows on the window and the test rows before."""
+    """As `walk_forward`, but refitted every `every` test rows on the window and the test rows before.
+
+    The windows of all folds and refits are differences of running sums of blocks (`window_sums`).
+    """
     x = REGRESSORS[model]
-    rows = features_for_model(df, model, horizon)
+    rows = centred_rows(features_for_model(df, model, horizon), [*x, "y"])
     refits = -(-test // every)
-    spread = train_rows(rows, train + test, step).withColumn("refit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(refits - 1).cast("long"))))
-    offset = F.col("pos") - F.col("fold") * step
-    training = spread.where(offset < train + F.col("refit") * every)
-    fit = ols_fit(training, ["symbol", "fold", "refit"], x)
     tested = test_rows(rows, train, test, step).withColumn("refit", F.floor((F.col("pos") - F.col("fold") * step - train) / every))
-    out = ols_predict(tested, fit, ["symbol", "fold", "refit"], x)
-    if model == "Log_HAR":
-        out = out.withColumn("forecast", F.exp(F.col("forecast") + F.col("sigma2") / 2))
+
+    def crossed(pos: Column) -> Column:
+        """Starts and origins at or before a position."""
+        out = F.floor(pos / step) + 1
+        for r in range(refits):
+            out = out + F.greatest(F.floor((pos - train - r * every) / step) + 1, F.lit(0))
+        return out
+
+    wanted = tested.select("symbol", "fold", "refit").distinct()
+    start = F.col("fold") * step
+    sums = window_sums(rows, wanted, crossed(start), crossed(start + train + F.col("refit") * every), crossed(F.col("pos")), x)
+    fit = solve_sums(sums, ["symbol", "fold", "refit"], x)
+    out = tested.join(fit, ["symbol", "fold", "refit"])
+    value = F.col("const") + F.col("mean_y")
+    for c in x:
+        value = value + F.col(f"b_{c}") * F.col(f"d_{c}")
+    out = out.withColumn("forecast", F.exp(value + F.col("sigma2") / 2) if model == "Log_HAR" else value)
     return out.select("symbol", "date", "fold", "refit", "actual", "forecast")
 
 
@@ -209,7 +306,7 @@ def expanding_forecast(df: DataFrame, oos_start, model: str = "HAR", horizon: in
 
 
 def solve_sums(sums: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y") -> DataFrame:
-    """Coefficients from sums `rows`, `s_<a>` and `s_<a>_<b>` of shifted columns; the constant is for shifted values."""
+    """Coefficients and `sigma2` from sums `rows`, `s_<a>` and `s_<a>_<b>` of shifted columns; the constant is for shifted values."""
     n = F.col("rows")
     k = len(x)
     cov = lambda a, b: F.col(f"s_{a}_{b}") / n - F.col(f"s_{a}") * F.col(f"s_{b}") / n / n
@@ -241,4 +338,8 @@ def solve_sums(sums: DataFrame, keys: Sequence[str], x: Sequence[str], y: str =
     const = F.col(f"s_{y}") / n
     for c in x:
         const = const - F.col(f"b_{c}") * F.col(f"s_{c}") / n
-    return fit.select(*keys, "rows", const.alias("const"), *[f"b_{c}" for c in x])
+    left = cov(y, y)
+    for i, c in enumerate(x):
+        left = left - F.col(f"b_{c}") * F.col(f"c_{i}_y")
+    sigma2 = F.when(n > k + 1, n * F.greatest(left, F.lit(0.0)) / (n - k - 1))
+    return fit.select(*keys, "rows", const.alias("const"), *[f"b_{c}" for c in x], sigma2.alias("sigma2"))

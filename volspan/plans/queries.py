@@ -97,6 +97,31 @@ def write_forecasts(spark, sf_dir):
     return tidy(io.scan_forecasts(spark, path, horizons=[1]).select("symbol", "horizon", "model", "date", "actual", "forecast"))
 
 
+@register(f"WITH {q.F3} SELECT symbol, horizon, model, count(*) AS rows, count(*) AS listed FROM fc WHERE model <> 'roll_66' GROUP BY ALL")
+def write_runs(spark, sf_dir):
+    """Three models written, one of them twice: its rows are there once, and the manifest lists each run."""
+    path = new_path(spark, "runs")
+    f = fx.rolling_forecasts(fx.panel3(spark, sf_dir)).where("model <> 'roll_66'")
+    io.write_runs(f, path)
+    io.write_runs(f.where("model = 'roll_5'"), path)
+    there = io.scan_forecasts(spark, path).groupBy("symbol", "horizon", "model").agg(F.count("*").alias("rows"))
+    return there.join(io.committed_runs(spark, path).select(*io.RUN, F.col("rows").alias("listed")), list(io.RUN))
+
+
+@register(f"""WITH {q.PANEL3}, b AS (SELECT CASE WHEN dayofmonth(date) = 13 THEN ['rv5', 'rq5'] WHEN dayofmonth(date) = 14 THEN ['date'] ELSE ['kept'] END AS reasons FROM panel)
+SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM b) GROUP BY reason""")
+def panel_rejects(spark, sf_dir):
+    """Panel files with malformed numbers on every 13th and malformed dates on every 14th: rejects by reason, and the rows kept."""
+    path = new_path(spark, "panel")
+    day = F.dayofmonth("date")
+    p = fx.panel3(spark, sf_dir).select("date", "symbol", *[F.col(b).cast("string").alias(a) for a, b in panels.MEASURES.items()])
+    p = p.withColumns({"rv5": F.when(day == 13, "1.2.3").otherwise(F.col("rv5")), "rq5": F.when(day == 13, "n/a").otherwise(F.col("rq5")), "date": F.when(day == 14, "14th").otherwise(F.col("date").cast("string"))})
+    p.write.option("header", True).csv(path)
+    good, rejects = panels.scan_panel_checked(spark, path)
+    by_reason = panels.rejects_by_file(rejects).groupBy("reason").agg(F.sum("rejects").alias("n"))
+    return by_reason.unionByName(good.groupBy(F.lit("kept").alias("reason")).agg(F.count("*").alias("n")))
+
+
 @register(tidy_sql("symbol horizon date actual last roll_5", f"(SELECT symbol, horizon, date, max(actual) AS actual, max(forecast) FILTER (WHERE model = 'last') AS last, max(forecast) FILTER (WHERE model = 'roll_5') AS roll_5 FROM fc GROUP BY ALL)", q.F3, last=(1e6, 3), roll_5=(1e6, 3)))
 def forecasts_wide(spark, sf_dir):
     wide = io.forecasts_wide(fx.rolling_forecasts(fx.panel3(spark, sf_dir)), ["last", "roll_5"])
@@ -189,6 +214,14 @@ def pending_runs(spark, sf_dir):
     return io.pending_runs(grid, fx.rolling_forecasts(p).where("model = 'last'"))
 
 
+@register(f"WITH {q.F3}, {GRID} SELECT * FROM grid WHERE (symbol, horizon, model) NOT IN (SELECT symbol, horizon, model FROM fc WHERE model = 'last')")
+def pending_in(spark, sf_dir):
+    """Pending runs by the manifest of what was written."""
+    path, p = new_path(spark, "runs"), fx.panel3(spark, sf_dir)
+    io.write_runs(fx.rolling_forecasts(p).where("model = 'last'"), path)
+    return io.pending_in(io.run_grid(p, [1, 5, 22], ["last", "roll_5", "HAR"]), path)
+
+
 @register(f"WITH {q.PANEL3}, {GRID} SELECT * FROM grid")
 def run_grid(spark, sf_dir):
     return io.run_grid(fx.panel3(spark, sf_dir), [1, 5, 22], ["last", "roll_5", "HAR"])
@@ -352,6 +385,15 @@ def ols_predict(spark, sf_dir):
     return rounded(walk.ols_predict(df, walk.ols_fit(df, ["symbol"], x), ["symbol"], x).select("symbol", "date", "forecast"), forecast=(1e6, 2))
 
 
+@register(f"WITH {q.PANEL3}, {q.features('HAR', 1)}, j_ AS (SELECT *, TRUE AS tr FROM feat), {q.orthogonal(3, 'j_', 'symbol')} SELECT symbol, count(*) AS n_obs, round(sum((y - fit) * (y - fit)) / (count(*) - 4) * 1e9, 3) AS sigma2, round(sum((y - fit) * z2) / sum(z2 * z2) + sum(y * z2) / sum(z2 * z2), 4) AS b_month, 0.0::DOUBLE AS apart FROM o3 GROUP BY symbol")
+def ols_minimum_norm(spark, sf_dir):
+    """Regressors with a repeated and a constant column: the month's weight is shared by its two copies."""
+    df = features.features_for_model(fx.panel3(spark, sf_dir), "HAR").withColumns({"again": F.col("x_m"), "flat": F.lit(0.0)})
+    fit = walk.ols_fit(df, ["symbol"], ["x_d", "x_w", "x_m", "again", "flat"], minimum_norm=True)
+    out = fit.select("symbol", "n_obs", "sigma2", (F.col("b_x_m") + F.col("b_again")).alias("b_month"), (F.abs(F.col("b_x_m") - F.col("b_again")) + F.abs("b_flat")).alias("apart"))
+    return rounded(out, sigma2=(1e9, 3), b_month=(1, 4), apart=(1, 6))
+
+
 def _hac_sql(model: str, lags: int) -> str:
     """The sandwich from what the other regressors leave of each one, by orthogonalisation."""
     k, names = q.N_X[model], features.REGRESSORS[model]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,61 @@ def clean_name(model: Column) -> Column:
     return F.regexp_replace(model, r"[-. ]", "_")
 
 
-def write_forecasts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """One folder per model and horizon; names are cleaned."""
+#: What identifies a run.
+RUN = ("symbol", "horizon", "model")
+SCHEMA = "date date, actual double, forecast double, model string, horizon int, symbol string"
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, horizon, model (its full name), `folder` (the cleaned name), `rows`: the runs whose last write was completed."""
+    fs, pattern = _files(spark, f"{path}/_runs/written-*")
+    names = "symbol string, horizon int, folder string, model string, rows long, written timestamp"
+    if not fs.globStatus(pattern):
+        return spark.createDataFrame([], names).drop("written")
+    runs = spark.read.schema(names).parquet(f"{path}/_runs/written-*")
+    last = F.max_by(F.struct("folder", "rows"), "written").alias("last")
+    return runs.groupBy(*RUN).agg(last).select(*RUN, "last.folder", "last.rows")
+
+
+def write_runs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A folder per run (model, horizon, symbol), which takes the place of an earlier one: a run written twice has its rows once.
+
+    The runs are listed first, out of sight, and the list is moved to the manifest when the rows are written,
+    so a job that ends in between leaves its runs uncommitted. Two names that clean to one raise an error, before anything is
+    written, also if one of them is there already.
+    """
+    spark = df.sparkSession
+    named = df.withColumn("folder", clean_name(F.col("model"))).withColumns({"symbol": F.col("symbol").cast("string"), "horizon": F.col("horizon").cast("int")})
+    draft, final = (f"{path}/_runs/{state}-{uuid.uuid4().hex}" for state in (".draft", "written"))
+    named.groupBy("symbol", "horizon", "folder", "model").agg(F.count("*").alias("rows")).withColumn("written", F.current_timestamp()).write.parquet(draft)
+    listed = spark.read.parquet(draft).select("folder", "model").unionByName(committed_runs(spark, path).select("folder", "model"))
+    clash = listed.groupBy("folder").agg(F.sort_array(F.collect_set("model")).alias("models")).where(F.size("models") > 1).first()
+    fs, source = _files(spark, draft)
+    if clash is not None:
+        fs.delete(source, True)
+        raise ValueError(f"models {', '.join(clash.models)} would share the folder {clash.folder}")
+    # one file per run, but for runs so large that Spark splits them
+    rows = named.drop("model").withColumnRenamed("folder", "model").hint("rebalance", "model", "horizon", "symbol")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "horizon", "symbol").format(fmt).option("header", True).save(path)
+    if not fs.rename(source, _files(spark, final)[1]):
+        raise OSError(f"the list of runs could not be moved to {final}")
+
+
+def write_forecasts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "runs") -> None:
+    """`write_runs`, or with another mode one folder per model and horizon; names are cleaned."""
+    if mode == "runs":
+        return write_runs(df, path, fmt)
     df.withColumn("model", clean_name(F.col("model"))).write.mode(mode).partitionBy("model", "horizon").format(fmt).option("header", True).save(path)
 
 
-def scan_forecasts(spark: SparkSession, path: str, models: Sequence[str] | None = None, horizons: Sequence[int] | None = None, fmt: str = "parquet") -> DataFrame:
-    """Rows with actual and forecast; filters on model and horizon prune folders."""
-    df = spark.read.format(fmt).option("header", True).load(path)
+def scan_forecasts(spark: SparkSession, path: str, models: Sequence[str] | None = None, horizons: Sequence[int] | None = None, fmt: str = "parquet", schema: str = SCHEMA) -> DataFrame:
+    """Rows with actual and forecast; filters on model, horizon and symbol prune folders. A schema keeps symbols such as 007 as they are."""
+    df = spark.read.format(fmt).option("header", True).schema(schema).load(path)
     if models is not None:
         df = df.where(F.col("model").isin(*models))
     if horizons is not None:
@@ -88,15 +136,20 @@ def pending_runs(grid: DataFrame, done: DataFrame) -> DataFrame:
     return grid.join(done.select("symbol", "horizon", "model").distinct(), ["symbol", "horizon", "model"], "left_anti")
 
 
+def pending_in(grid: DataFrame, path: str) -> DataFrame:
+    """Runs of the grid that are not committed at a path of `write_runs`."""
+    return pending_runs(grid, committed_runs(grid.sparkSession, path))
+
+
 def route(df: DataFrame, window: Column, default: int = 252) -> DataFrame:
     """Results of other training windows than the default one get a `route` of their own: the folder they belong to."""
     return df.withColumn("route", F.when(window == default, "default").otherwise(F.concat(F.lit("window_"), window.cast("string"))))
 
 
 def write_routed(df: DataFrame, path: str, window: Column, default: int = 252, fmt: str = "parquet") -> None:
-    """A folder per route, model and horizon, so that a scan of one route reads no other."""
+    """A folder per route, and in it per model, horizon and symbol: a scan of one route reads no other, and a run that is written again takes the place of the first."""
     routed = route(df, window, default).withColumn("model", clean_name(F.col("model")))
-    routed.write.mode("append").partitionBy("route", "model", "horizon").format(fmt).option("header", True).save(path)
+    routed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("route", "model", "horizon", "symbol").format(fmt).option("header", True).save(path)
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "parquet") -> None:

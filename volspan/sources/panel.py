@@ -33,6 +33,31 @@ def scan_panel(spark: SparkSession, path: str, symbols: Sequence[str] | None = N
     return filter_symbols(raw, symbols)
 
 
+def scan_panel_checked(spark: SparkSession, path: str, symbols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """`scan_panel` of CSV files without silent nulls: the rows that can be read, and the rejects.
+
+    A reject has `file`, `record` and `reasons`: columns whose value is not of their type, `symbol` or `date` if empty, and `columns` for a line of
+    too few or too many values. An empty measure is a null, no reject.
+    """
+    header = spark.read.option("header", True).csv(path).schema
+    schema = T.StructType([*[T.StructField(f.name, T.StringType()) for f in header], T.StructField("bad line", T.StringType())])
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad line").option("columnPruning", False).schema(schema).csv(path)
+    typed = {"date": F.to_date(F.try_to_timestamp(F.substring("date", 1, 10), F.lit("yyyy-MM-dd")))} | {c: F.expr(f"try_cast({c} AS double)") for c in MEASURES}
+    wrong = [F.when(F.col("`bad line`").isNotNull(), "columns"), F.when(F.col("symbol").isNull(), "symbol"), F.when(typed["date"].isNull(), "date")]
+    wrong += [F.when(F.col(c).isNotNull() & typed[c].isNull(), c) for c in MEASURES]
+    reasons = F.filter(F.array(*wrong), lambda x: x.isNotNull())
+    line = F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in header])
+    seen = raw.select("*", F.col("_metadata.file_path").alias("file of row"), reasons.alias("reasons of row"))
+    good = seen.where(F.size("reasons of row") == 0).select(typed["date"].alias("date"), "symbol", *[typed[c].alias(c) for c in MEASURES])
+    rejects = seen.where(F.size("reasons of row") > 0).select(F.col("file of row").alias("file"), F.coalesce("bad line", line).alias("record"), F.col("reasons of row").alias("reasons"))
+    return filter_symbols(good, symbols), rejects
+
+
+def rejects_by_file(rejects: DataFrame) -> DataFrame:
+    """Rejected lines of each file, by reason; a line counts once for every reason."""
+    return rejects.select("file", F.explode("reasons").alias("reason")).groupBy("file", "reason").agg(F.count("*").alias("rejects"))
+
+
 def scan_by_class(spark: SparkSession, paths: dict[str, str], dataset: str = "stocks", symbols: Sequence[str] | None = None, fmt: str = "csv") -> DataFrame:
     """Panel of one asset class from a file per class; unknown names mean the first class."""
     name = dataset if dataset in paths else next(iter(paths))
