@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from volspan.operators import walk
+from volspan.operators import quantiles, walk
 from volspan.sources import forecasts as io
 from volspan.sources import panel
 
@@ -110,3 +110,18 @@ def test_refits_equal_fits_of_their_rows(spark):
             b = np.linalg.lstsq(np.column_stack([np.ones(origin - fold * step), x[fold * step : origin]]), y[fold * step : origin], rcond=None)[0]
             r = got[DAY + dt.timedelta(days=first + pos)]
             assert (r.fold, r.refit) == (fold, refit) and math.isclose(r.forecast, b[0] + b[1:] @ x[pos], rel_tol=1e-6)
+
+
+def test_counted_quantiles(spark):
+    """Ties, extremes, one row, infinities and nulls; few parts make many rounds."""
+    rng = np.random.default_rng(9)
+    groups = {"ties": [1.0] * 50 + [2.0] * 7, "wide": [-1.7e308, 1.7e308, 0.0, 1e-300, -1e-300, 5e-324, 3.0], "one": [4.0], "normal": rng.normal(size=501).tolist(), "clustered": (10.0 ** rng.uniform(-200, 200, 97)).tolist()}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("ties", float("nan")), ("none", None), (None, 1.0), ("one", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double").withColumns({"lo": F.lit("clash"), "rank": F.lit(1)})
+    levels = [0.0, 0.1, 0.5, 0.995, 1.0]
+    for buckets in (64, 1024):
+        got = {(r.g, r.level): r.value for r in quantiles.exact_quantiles(df, ["g"], "v", levels, buckets).collect()}
+        assert got.keys() == {(g, x) for g in groups for x in levels}
+        for (g, x), v in got.items():
+            assert math.isclose(v, float(np.quantile(np.array(groups[g], np.longdouble), x)), rel_tol=1e-9, abs_tol=1e-320), (g, x)
+    assert quantiles.exact_quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0

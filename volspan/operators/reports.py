@@ -109,10 +109,14 @@ def window_comparison(df: DataFrame, windows: Sequence[int] = (252, 512), least:
     return wide.withColumn("better", better)
 
 
+def period_split(df: DataFrame, split: str = "2020-03-01") -> DataFrame:
+    """Adds `period`: pre for dates before `split`, else post."""
+    return df.withColumn("period", F.when(F.col("date") < F.to_date(F.lit(split)), "pre").otherwise("post"))
+
+
 def subsample_metrics(df: DataFrame, split: str = "2020-03-01", least: int = 10) -> DataFrame:
     """Metrics before and after a date, averaged over the assets with enough rows."""
-    period = F.when(F.col("date") < F.to_date(F.lit(split)), "pre").otherwise("post")
-    per = series_metrics(df.withColumn("period", period), [*SERIES, "period"]).where(F.col("n_obs") >= least)
+    per = series_metrics(period_split(df, split), [*SERIES, "period"]).where(F.col("n_obs") >= least)
     return per.groupBy("model", "horizon", "period").agg(*[F.avg(m).alias(m) for m in METRICS], F.count("*").alias("n_tickers"))
 
 

@@ -187,6 +187,12 @@ def ols_summary(df: DataFrame, keys: Sequence[str], x: Sequence[str], lags: int
     return out.withColumn("t", t).withColumn("p_value", two_sided_p(F.col("t")))
 
 
+def ols_residuals(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y", minimum_norm: bool = False) -> DataFrame:
+    """The rows of `df` that have a fit, with `fit` and `residual`."""
+    out = ols_predict(df, ols_fit(df, keys, x, y, minimum_norm), keys, x, "fit")
+    return out.select(*df.columns, "fit", (F.col(y) - F.col("fit")).alias("residual"))
+
+
 def ols_predict(rows: DataFrame, fit: DataFrame, keys: Sequence[str], x: Sequence[str], name: str = "forecast") -> DataFrame:
     """The fitted value of each row; rows without a fit go."""
     value = F.col("const")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volspan.functions import losses as L
 from volspan.functions.numeric import t_two_sided_p, two_sided_p
-from volspan.operators import arma, arma_ml, blocks, compare, context, features, reports, scorers, walk
+from volspan.operators import arma, arma_ml, blocks, compare, context, features, quantiles, reports, scorers, walk
 from volspan.operators import mcs as sets
 from volspan.plans import fixtures as fx
 from volspan.plans import sqltext as q
@@ -264,6 +264,22 @@ def tickers_or_all(spark, sf_dir):
     return count(panels.symbols_or_all(p, ["XYZ"]), "none").unionByName(count(panels.symbols_or_all(p, ["ASIA", "XYZ"]), "some"))
 
 
+@register(f"WITH {q.PANEL5}, c AS (SELECT symbol, quantile_cont(rv, 0.995) AS top FROM panel GROUP BY symbol) SELECT date, symbol, {r('least(rv, top)', 1e6, 3, 'rv')} FROM panel JOIN c USING (symbol)")
+def winsorize_long(spark, sf_dir):
+    """By counting rounds instead of all values of a symbol in one task."""
+    return tidy(quantiles.winsorize(fx.panel5(spark, sf_dir)).select("date", "symbol", "rv"))
+
+
+_LEVELS = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@register(" UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, {x}::DOUBLE AS level, round(quantile_cont(l_extendedprice::DOUBLE, {x}), 4) AS value FROM lineitem GROUP BY ALL" for x in _LEVELS))
+def group_quantiles(spark, sf_dir):
+    """Five quantiles of few and large groups."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    return rounded(quantiles.exact_quantiles(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", _LEVELS), value=(1, 4))
+
+
 @register(f"WITH {q.PANEL5}, c AS (SELECT symbol, quantile_cont(rv, 0.995) AS top FROM panel GROUP BY symbol) SELECT date, symbol, {r('least(rv, top)', 1e6, 3, 'rv')} FROM panel JOIN c USING (symbol)")
 def winsorize(spark, sf_dir):
     return tidy(panels.winsorize(fx.panel5(spark, sf_dir)).select("date", "symbol", "rv"))
@@ -293,7 +309,7 @@ def floor_forecast(spark, sf_dir):
 @register(f"WITH {q.F3} SELECT CASE WHEN date < DATE '1999-01-01' THEN 'pre' ELSE 'post' END AS period, symbol, model, count(*) AS n FROM fc GROUP BY ALL")
 def period_split(spark, sf_dir):
     f = fx.rolling_forecasts(fx.panel3(spark, sf_dir))
-    return f.groupBy(F.when(F.col("date") < F.lit("1999-01-01").cast("date"), "pre").otherwise("post").alias("period"), "symbol", "model").agg(F.count("*").alias("n"))
+    return reports.period_split(f, "1999-01-01").groupBy("period", "symbol", "model").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {q.PANEL5}, g AS (SELECT symbol, year(date) AS y, count(*) AS n FROM panel GROUP BY ALL HAVING count(*) >= 100) SELECT symbol, cast(y AS INTEGER) AS y, n FROM g")
@@ -419,6 +435,13 @@ def har_summary(spark, sf_dir):
     return rounded(t, estimate=(1, 6), se=(1, 6), R2=(1, 6), t=(1, 4), p_value=(1, 5))
 
 
+@register(f"WITH {q.PANEL3}, {q.features('HAR_J', 1)}, j_ AS (SELECT *, TRUE AS tr FROM feat), {q.orthogonal(4, 'j_', 'symbol')} SELECT symbol, date, round((y - fit) * 1e6, 2) AS residual FROM o4")
+def har_residuals(spark, sf_dir):
+    """The residual rows of a fit."""
+    rows = walk.ols_residuals(features.features_for_model(fx.panel3(spark, sf_dir), "HAR_J"), ["symbol"], features.REGRESSORS["HAR_J"])
+    return rounded(rows.select("symbol", "date", "residual"), residual=(1e6, 2))
+
+
 _REFIT = f"""WITH {q.PANEL3}, {q.features('HAR', 1)},
 folds_ AS (SELECT symbol, unnest(range(0, cast(floor((count(*) - 253) / 126) AS BIGINT) + 1)) AS fold FROM feat GROUP BY symbol HAVING count(*) > 252),
 refits_ AS (SELECT symbol, fold, unnest(range(0, 6)) AS refit FROM folds_),

@@ -46,3 +46,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more, through Spark's own file systems."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
