@@ -177,3 +177,38 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 11))
     assert quality_rules.band(10, quality_rules.DOCUMENT_BANDS) == (0.30, 1.20) and P.PATTERN
+
+
+def test_reputation_blocks_bad_hosts(spark):
+    """Hosts of known shares, one with a third of all pages: those that lie below the crawl are blocked by labels of half their pages,
+    and the other half of the labels agrees."""
+    rng = random.Random(21)
+    share = {f"h{i}.site{i % 20}.{('com', 'net', 'org')[i % 3]}": (0.15 if i % 20 in (3, 7, 11) else 0.9) for i in range(120)} | {"hot.big.com": 0.9, "few.site1.net": 0.0}
+    pages, good = [], {}
+    for host, p in share.items():
+        for _ in range(2_000 if host == "hot.big.com" else 2 if host.startswith("few") else 30):
+            good[len(pages)] = int(rng.random() < p)
+            pages.append((len(pages), f"https://{host}/x"))
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    seen = spark.createDataFrame([(i, g) for i, g in good.items() if i % 2], "doc_id long, quality int")
+    judged = hosts.judge_urls(df, seen).collect()
+    blocked = {r.host for r in judged if r.verdict == "block"}
+    assert blocked == {h for h, p in share.items() if p == 0.15}  # two bad pages of a host are too few
+    held_out = [good[r.page_id] for r in judged if r.verdict == "block" and r.page_id % 2 == 0]
+    assert sum(held_out) / len(held_out) < 0.25
+    same = spark.createDataFrame([(i, int(rng.random() < 0.85)) for i in good], "doc_id long, quality int")
+    assert sum(r.verdict == "block" for r in hosts.judge_urls(df, same).collect()) < 0.05 * len(pages)  # nothing to tell hosts apart
+    assert {r.verdict for r in hosts.judge_urls(df, same, min_good=0.999).collect()} == {"block"}
+
+
+def test_listed_suffixes(spark):
+    names = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.z.kobe.jp", "z.kobe.jp", "jp", "10.0.0.1", "", "q.w.unknown", "u@h.site.com:80"]
+    df = spark.createDataFrame([(h,) for h in names], "host string")
+    listed = spark.createDataFrame([("co.uk",), ("uk",), ("kobe.jp",), ("jp",), ("com",), ("co.uk",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in hosts.listed_suffixes(df, listed).collect()}
+    assert got["a.b.co.uk"] == ("b.co.uk", "co.uk") == got["b.co.uk"] and got["co.uk"] == ("co.uk", "co.uk")
+    assert got["x.y.z.kobe.jp"] == ("z.kobe.jp", "kobe.jp") == got["z.kobe.jp"] and got["jp"] == ("jp", "jp")
+    assert got["10.0.0.1"] == ("10.0.0.1", "10.0.0.1") and got[""] == ("", "") and got["q.w.unknown"] == ("w.unknown", "unknown") and got["u@h.site.com:80"] == ("site.com", "com")
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(names)], "page_id long, url string")
+    none = spark.createDataFrame([(None, 1)], "doc_id long, quality int")
+    assert hosts.judge_urls(pages, none, suffixes=listed).count() == len(names)

@@ -4,8 +4,10 @@ Labelled page outcomes (good or not) are counted per host, registered domain and
 suffix. Beta-binomial priors shrink them level by level: a suffix towards all pages, a
 domain towards its suffix, a host towards its domain. The strength of each level's
 prior comes from the spread between its groups (the intra-class correlation of an
-analysis of variance). A page is blocked when the upper bound of its host's
-posterior share of good pages lies below `min_good`. Rules come first: the longest
+analysis of variance); where groups differ no more than chance makes them, a group weighs as
+little as if all labelled pages stood against it. A page is blocked when the upper bound of its host's
+posterior share of good pages lies below the share of all labelled pages, that is when the host
+is worse than the crawl with the certainty of the bound, or below a given `min_good`. Rules come first: the longest
 rule that fits a url decides it.
 
 Defined results: a null url or one without "://" has an empty host and path, fits no
@@ -63,6 +65,17 @@ def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> C
     return F.when(is_address(bare), bare).when(two.isin(*two_labels), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
+def listed_suffixes(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Adds `domain` and `suffix` to rows of hosts by a list (column `suffix`, of any number of labels): the longest listed ending of
+    a host is its suffix, else its last label; one label more is its domain."""
+    bare, labels = bare_host(F.col("host")), F.split(bare_host(F.col("host")), r"\.")
+    endings = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
+    known = endings.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.max(F.size(F.split("suffix", r"\."))).alias("listed labels"))
+    n = F.coalesce("listed labels", F.lit(1))
+    cut = lambda k: F.when(is_address(bare), bare).otherwise(F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), F.size(labels)), "."))
+    return hosts.join(known, "host", "left").withColumns({"domain": cut(n + 1), "suffix": cut(n)}).drop("listed labels")
+
+
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The struct (rule, action) of the longest rule (host, path start, action) that fits, else null."""
     picked = F.lit(None)
@@ -72,8 +85,12 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return picked
 
 
+#: A group of one labelled page weighs so much at most against its prior of 1.
+LEAST_STRENGTH = 0.01
+
+
 def prior_strength(groups: DataFrame) -> float:
-    """Beta prior strength (a + b) from counts n and good k per group: 1 / rho - 1, between 1 and 1000."""
+    """Beta prior strength (a + b) from counts n and good k per group: 1 / rho - 1, and all labelled pages at most."""
     p = F.col("k") / F.col("n")
     r = (
         groups.where("n > 0")
@@ -86,22 +103,26 @@ def prior_strength(groups: DataFrame) -> float:
     within = (r.k - r.npp) / (r.n - r.g)
     size = (r.n - r.nn / r.n) / (r.g - 1)
     rho = (between - within) / (between + (size - 1) * within) if between + (size - 1) * within > 0 else 0.0
-    return min(1000.0, max(1.0, 1.0 / rho - 1.0)) if rho > 0 else 1000.0
+    return min(r.n, max(LEAST_STRENGTH, 1.0 / rho - 1.0)) if rho > 0 else r.n
 
 
-def host_posteriors(counts: DataFrame, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
-    """Posterior `a` and `b` of each host from its row (host, n, k)."""
-    hosts = counts.withColumn("domain", domain_of(F.col("host"), two_labels)).withColumn("suffix", suffix_of(F.col("host"), two_labels))
+def host_posteriors(counts: DataFrame, suffixes: DataFrame | Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[DataFrame, float]:
+    """Posterior `a` and `b` of each host from its row (host, n, k), and the share of good pages of all."""
+    if isinstance(suffixes, DataFrame):
+        hosts = listed_suffixes(counts, suffixes)
+    else:
+        hosts = counts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    totals = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    total = totals.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     mean = (total.k + 1.0) / (total.n + 2.0) if total.n else 0.5
-    s_host, s_domain, s_suffix = map(prior_strength, (hosts, domains, suffixes)) if total.n else (2.0, 2.0, 2.0)
+    s_host, s_domain, s_suffix = map(prior_strength, (hosts, domains, totals)) if total.n else (2.0, 2.0, 2.0)
     up = lambda s, prior: (F.lit(s) * prior + F.col("k")) / (F.lit(s) + F.col("n"))
-    suffixes = suffixes.select("suffix", up(s_suffix, F.lit(mean)).alias("suffix_mean"))
-    domains = domains.join(suffixes, "suffix").select("domain", up(s_domain, F.col("suffix_mean")).alias("domain_mean"))
+    totals = totals.select("suffix", up(s_suffix, F.lit(mean)).alias("suffix_mean"))
+    domains = domains.join(totals, "suffix").select("domain", up(s_domain, F.col("suffix_mean")).alias("domain_mean"))
     hosts = hosts.join(domains, "domain")
-    return hosts.select("host", (F.lit(s_host) * F.col("domain_mean") + F.col("k")).alias("a"), (F.lit(s_host) * (1 - F.col("domain_mean")) + F.col("n") - F.col("k")).alias("b"))
+    posterior = hosts.select("host", (F.lit(s_host) * F.col("domain_mean") + F.col("k")).alias("a"), (F.lit(s_host) * (1 - F.col("domain_mean")) + F.col("n") - F.col("k")).alias("b"))
+    return posterior, mean
 
 
 def upper_bound(a: Column, b: Column, z: float) -> Column:
@@ -118,21 +139,23 @@ def judge_urls(
     url_col: str = "url",
     outcome_id: str = "doc_id",
     outcome_col: str = "quality",
-    min_good: float = 0.5,
+    min_good: float | None = None,
     z: float = 1.645,
-    two_label_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
+    suffixes: DataFrame | Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Per page: `id_col`, `host`, `path`, `rule`, `verdict` and the posterior bound `good_bound`.
 
     The host counts, one row per host, are written once; all levels are made of them.
-    `two_label_suffixes` names the suffixes of two labels; any other suffix is the last label.
+    `suffixes` names those of two labels (any other is the last label), or is a whole list of suffixes as a table. Without
+    `min_good` a host must be worse than all labelled pages together.
     """
     url = F.col(f"`{url_col}`")
     found = pages.select(F.col(f"`{id_col}`"), url_host(url).alias("host"), url_path(url).alias("path"))
     known = outcomes.where(F.col(f"`{outcome_col}`").isin(0, 1) & F.col(f"`{outcome_id}`").isNotNull()).groupBy(F.col(f"`{outcome_id}`").alias("labelled id")).agg(F.min(outcome_col).cast("long").alias("good"))
     counts = found.join(known, F.col(f"`{id_col}`") == F.col("labelled id"), "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    posterior = host_posteriors(stored(counts, "host_counts"), two_label_suffixes).select("host", upper_bound(F.col("a"), F.col("b"), z).alias("good_bound"))
+    posterior, mean = host_posteriors(stored(counts, "host_counts"), suffixes)
+    posterior = posterior.select("host", upper_bound(F.col("a"), F.col("b"), z).alias("good_bound"))
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     judged = found.join(posterior, "host").withColumn("picked", rule) if rules else found.join(posterior, "host").withColumn("picked", F.lit(None).cast("struct<rule:string,action:string>"))
-    own = F.when(F.col("good_bound") < min_good, "block").otherwise("allow")
+    own = F.when(F.col("good_bound") < (mean if min_good is None else min_good), "block").otherwise("allow")
     return judged.select(f"`{id_col}`", "host", "path", F.col("picked.rule").alias("rule"), F.coalesce(F.col("picked.action"), own).alias("verdict"), "good_bound")

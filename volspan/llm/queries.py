@@ -87,14 +87,14 @@ h AS (
   FROM labels_of),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
-g AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean, sum(n) AS n FROM s),
+g AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mean FROM s),
 level AS (SELECT 'h' AS l, n, k FROM h UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s),
 sums AS (SELECT l, sum(n) AS n, sum(k) AS k, count(*) AS g, sum(k * k / n) AS npp, sum(n * n) AS nn FROM level WHERE n > 0 GROUP BY l),
 var AS (
-  SELECT l, CASE WHEN g >= 2 AND n > g THEN (npp - k * k / n) / (g - 1) END AS b, CASE WHEN n > g THEN (k - npp) / (n - g) END AS w,
+  SELECT l, n, CASE WHEN g >= 2 AND n > g THEN (npp - k * k / n) / (g - 1) END AS b, CASE WHEN n > g THEN (k - npp) / (n - g) END AS w,
          CASE WHEN g >= 2 THEN (n - nn / n) / (g - 1) END AS z FROM sums),
-rho AS (SELECT l, b IS NULL OR w IS NULL AS few, CASE WHEN b + (z - 1) * w > 0 THEN (b - w) / (b + (z - 1) * w) ELSE 0 END AS r FROM var),
-strength AS (SELECT l, CASE WHEN few THEN 2 WHEN r > 0 THEN least(1000, greatest(1, 1 / r - 1)) ELSE 1000 END AS s FROM rho),
+rho AS (SELECT l, n, b IS NULL OR w IS NULL AS few, CASE WHEN b + (z - 1) * w > 0 THEN (b - w) / (b + (z - 1) * w) ELSE 0 END AS r FROM var),
+strength AS (SELECT l, CASE WHEN few THEN 2 WHEN r > 0 THEN least(n, greatest(0.01, 1 / r - 1)) ELSE n END AS s FROM rho),
 sm AS (SELECT suffix, (v.s * g.mean + s.k) / (v.s + s.n) AS m FROM s, g, strength v WHERE l = 's'),
 dm AS (SELECT domain, (v.s * m + k) / (v.s + n) AS m FROM d JOIN sm USING (suffix), strength v WHERE l = 'd'),
 post AS (SELECT host, v.s * m + k AS a, v.s * (1 - m) + n - k AS b FROM h JOIN dm USING (domain), strength v WHERE l = 'h'),
@@ -107,8 +107,8 @@ judged AS (
                  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM found JOIN bound USING (host))
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN u < 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM judged
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN u < mean THEN 'block' ELSE 'allow' END AS verdict
+FROM judged, g
 """
 
 
