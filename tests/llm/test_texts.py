@@ -608,6 +608,19 @@ def test_overlaps_of_repeated_words(spark):
     assert sorted(r["item"] for r in kept.collect()) == [2, 3] and kept.columns == df.columns
 
 
+def test_scores_grow_with_all_evidence(spark):
+    """No sum of evidence is cut: a text with more toxic words than another one scores higher, however many it has."""
+    insults = [f"vile{chr(97 + i)}{chr(97 + i)}x" for i in range(24)]
+    rng = random.Random(31)
+    rows = [(i, prose(20, i) + " " + " ".join(rng.sample(insults, 6)) if i % 5 == 0 else prose(26, i)) for i in range(600)]
+    rows += [(1000 + n, prose(20, 7) + " " + " ".join(insults[:n])) for n in range(1, 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxicity for r in toxicity.toxicity_scores(df, labels).collect()}
+    ladder = [got[1000 + n] for n in range(1, 25)]
+    assert all(a.evidence < b.evidence and a.score < b.score < 1 for a, b in itertools.pairwise(ladder)) and ladder[-1].evidence > 40
+
+
 # ---- importance resampling
 
 
@@ -619,6 +632,12 @@ def test_kth_largest(spark):
     for k in (1, 2, 50, 301, 303, len(values)):
         assert importance.kth_largest(df, "v", k) == order[k - 1]
     assert importance.kth_largest(df, "v", 0) is None
+    doubles = [rng.gauss(0, 1) * 10.0 ** rng.randint(-12, 12) for _ in range(200)] + [-1.7e308, 1.7e308, 0.0, 5e-324, 2.5, math.nextafter(2.5, 3)] + [-3.0] * 6
+    df = spark.createDataFrame([(v,) for v in doubles], "v double")
+    order = sorted(doubles, reverse=True)
+    for k in (1, 2, 77, 100, len(doubles)):
+        assert importance.kth_largest(df, "v", k) == order[k - 1]
+    assert importance.kth_largest(df, "v", 500) == -1.7e308 and importance.kth_largest(df.where("false"), "v", 1) is None
 
 
 def test_importance_prefers_the_target(spark, empty):

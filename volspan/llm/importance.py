@@ -11,11 +11,11 @@ task that runs again draws the same.
 Weights of long texts are far apart, so noise decides among short and borderline ones
 only; `length_power` p divides the sum by n ** p for a softer draw (1: the mean).
 
-The k-th largest key is found exactly by counting the keys by 16 of their bits in
-three rounds, narrowed each time; nothing is sorted or collected whole.
+The k-th largest key is found exactly by counting rounds over narrowing intervals; nothing is sorted
+or collected whole.
 
 Defined results: null and empty texts have no n-grams and log weight 0 (neither
-model prefers them); keys beyond 2 ** 23 count as that; repeated rows get equal keys; rows tied at the k-th key are all
+model prefers them); repeated rows get equal keys; rows tied at the k-th key are all
 kept; an empty table gives an empty result; without a labelled good document every
 log weight is 0.
 """
@@ -93,29 +93,30 @@ def gumbel(id_col: str, text_col: str, seed: int):
     return -F.log(-F.log(uniform))
 
 
-#: Keys are compared in steps of 2**-24; 48 bits of such steps reach from -2**23 to 2**23.
-STEP_BITS, KEY_BITS, ROUND_BITS = 24, 48, 16
+#: Parts into which a round cuts the interval that holds the wanted key: so many counts reach the driver at most.
+PARTS = 4096
 
 
-def kth_largest(keys: DataFrame, key: str, k: int) -> int | None:
-    """The k-th largest of a long column from 0 to 2**48 - 1, in three counting rounds.
+def kth_largest(keys: DataFrame, key: str, k: int) -> float | None:
+    """The k-th largest of a column of finite doubles, exactly; the smallest for a larger k.
 
-    Each round counts the rows by the next 16 bits, so at most 2**16 counts reach the driver.
+    A round counts the keys of an interval by parts, with the least and largest key of each; the part that holds the wanted
+    key is the next interval, until it holds a single value.
     """
-    if k <= 0:
+    n, low, high = keys.agg(F.count(key), F.min(key), F.max(key)).first()
+    if k <= 0 or not n:
         return None
-    prefix = 0
-    for shift in range(KEY_BITS - ROUND_BITS, -1, -ROUND_BITS):
-        inside = keys.where(F.shiftright(key, shift + ROUND_BITS) == prefix) if shift + ROUND_BITS < KEY_BITS else keys
-        counts = inside.groupBy(F.shiftright(key, shift).alias("part")).count().collect()
-        for part, n in sorted(map(tuple, counts), reverse=True):
-            if k <= n:
-                prefix = part
+    k = min(k, n)
+    while low < high:
+        width = high / 2 - low / 2
+        place = F.floor((F.col(key) / 2 - low / 2) / width * PARTS) if width > 0 else F.when(F.col(key) > low, PARTS - 1).otherwise(0)
+        inside = keys.where(F.col(key).between(low, high)).groupBy(F.least(place, F.lit(PARTS - 1)).alias("part"))
+        for part in sorted(inside.agg(F.count("*").alias("held"), F.min(key).alias("least"), F.max(key).alias("most")).collect(), reverse=True):
+            if k <= part.held:
+                low, high = part.least, part.most
                 break
-            k -= n
-        else:
-            return 0
-    return prefix
+            k -= part.held
+    return low
 
 
 def importance_resample(
@@ -145,7 +146,5 @@ def importance_resample(
     scored = append_struct(noisy, "text to weigh", "importance result", dtype, score, keep=[id_col, "noise"])
     key = F.col("`importance result`.log_weight") + F.col("noise")
     scored = stored(scored.select(quoted(id_col), "`importance result`.*", key.alias("gumbel_key")), "importance")
-    half = float(1 << (KEY_BITS - STEP_BITS - 1))
-    step = F.floor((F.greatest(F.least(F.col("gumbel_key"), F.lit(half - 1)), F.lit(-half)) + half) * float(1 << STEP_BITS)).cast("long")
-    least = kth_largest(scored.select(step.alias("step")), "step", round(keep_share * scored.count()))
-    return scored.withColumn("kept", F.lit(False) if least is None else step >= least)
+    least = kth_largest(scored.select("gumbel_key"), "gumbel_key", round(keep_share * scored.count()))
+    return scored.withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= least)

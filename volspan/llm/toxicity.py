@@ -9,7 +9,7 @@ texts; a blank between letters set apart may also end a word. The restored words
 
 Score: features that labelled texts show to be tied to toxicity have weights (log odds,
 smoothed); a text's evidence is the sum over its distinct features of positive
-weight, turned into a probability by a logistic curve fitted on the same rows.
+weight, turned into a probability by a logistic curve of the logarithm of the whole sum, fitted on the same rows.
 Labels take part only through `labels`; the caller leaves out held-out rows.
 
 Defined results: null and empty texts have evidence 0 and the score of that; repeated
@@ -335,10 +335,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trigrams
         for batch in batches:
             for part in slices(batch, 0):
                 e = evidence(part.column(0), restorer, weights)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.floor(e * 8), 400).astype(np.int64)), pa.array(part.column(1).to_pylist(), pa.int64())], names=["step", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.floor(e * 8).astype(np.int64)), pa.array(part.column(1).to_pylist(), pa.int64())], names=["step", "toxic"])
 
-    steps = rows.mapInArrow(weigh, "step long, toxic long").groupBy("step", "toxic").count().toPandas()  # at most 802 rows
-    x, y, n = np.minimum(steps.step.to_numpy() / 8, 20.0), steps.toxic.to_numpy().astype(float), steps["count"].to_numpy().astype(float)
+    steps = rows.mapInArrow(weigh, "step long, toxic long").groupBy("step", "toxic").count().toPandas()  # two rows at most for each eighth of evidence that one of the bounded sample has
+    x, y, n = np.log1p(steps.step.to_numpy() / 8), steps.toxic.to_numpy().astype(float), steps["count"].to_numpy().astype(float)
     a, b = 1.0, -2.0
     for _ in range(200):  # Newton steps with a small ridge on the slope
         s = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -383,7 +383,7 @@ def toxicity_scores(
             state["weights"][few[0]] = few[1]
             state["restorer"] = Restorer(trigrams)
         e = evidence(texts, state["restorer"], state["weights"])
-        s = np.zeros(len(texts)) if b == -math.inf else 1 / (1 + np.exp(-np.clip(a * np.minimum(e, 20.0) + b, -30, 30)))
+        s = np.zeros(len(texts)) if b == -math.inf else 1 / (1 + np.exp(-np.clip(a * np.log1p(e) + b, -700, 700)))
         return [e.astype(float), s]
 
     dtype = StructType([StructField("evidence", DoubleType()), StructField("score", DoubleType())])
