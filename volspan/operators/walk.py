@@ -8,7 +8,7 @@ nothing leaves the JVM, and a thousand symbols and folds cost one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from volspan.functions.numeric import clip_low, ratio, two_sided_p
 from volspan.operators.features import REGRESSORS, features_for_model
+from volspan.session import new_path
 
 #: Least pivot of the scaled matrix; below it the fit is null.
 PIVOT = 1e-12
@@ -232,8 +233,8 @@ def centred_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumns({f"d_{c}": F.col(c) - F.col(f"mean_{c}") for c in columns})
 
 
-def window_sums(rows: DataFrame, wanted: DataFrame, start: Column, end: Column, crossed: Column, x: Sequence[str], y: str = "y") -> DataFrame:
-    """The sums of `solve_sums` over a window of rows of a symbol, for each row of `wanted` (symbol, ...).
+def window_sums(rows: DataFrame, windows: Callable[[DataFrame], DataFrame], start: Column, end: Column, crossed: Column, x: Sequence[str], y: str = "y") -> DataFrame:
+    """The sums of `solve_sums` over windows of rows: for each row of `windows` (symbol, ...), made from the symbols and their numbers of rows `n`.
 
     `crossed` counts, for a row, the starts and ends of windows up to its position; `start` and `end` are those counts at the
     first row of a window and at the first one behind it. Rows between two neighbouring ones are a block, blocks are summed
@@ -245,7 +246,12 @@ def window_sums(rows: DataFrame, wanted: DataFrame, start: Column, end: Column,
     names = ["rows", *sums]
     blocks = rows.groupBy("symbol", crossed.alias("block")).agg(F.count("*").alias("rows"), *[e.alias(n) for n, e in sums.items()])
     before = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    upto = blocks.select("symbol", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names])
+    upto = blocks.select("symbol", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names], F.sum("rows").over(Window.partitionBy("symbol")).alias("all rows"))
+    # a few rows per fold, read three times: written once
+    path = new_path(rows.sparkSession, "block_sums")
+    upto.write.parquet(path)
+    upto = rows.sparkSession.read.schema(upto.schema).parquet(path)
+    wanted = windows(upto.groupBy("symbol").agg(F.max("all rows").alias("n")))
     found = wanted.withColumns({"first block": start, "end block": end})
     for side in ("first", "end"):
         own = upto.select("symbol", F.col("block").alias(f"{side} block"), *[F.col(n).alias(f"{side} {n}") for n in names])
@@ -263,6 +269,12 @@ def refit_walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, trai
     refits = -(-test // every)
     tested = test_rows(rows, train, test, step).withColumn("refit", F.floor((F.col("pos") - F.col("fold") * step - train) / every))
 
+    def origins(n: DataFrame) -> DataFrame:
+        """Every fold and refit with rows to test."""
+        folds = n.where(F.col("n") > train).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - train - 1) / step))))
+        spread = folds.withColumn("refit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(refits - 1).cast("long"))))
+        return spread.where(F.col("fold") * step + train + F.col("refit") * every < F.col("n")).drop("n")
+
     def crossed(pos: Column) -> Column:
         """Starts and origins at or before a position."""
         out = F.floor(pos / step) + 1
@@ -270,10 +282,9 @@ def refit_walk_forward(df: DataFrame, model: str = "HAR", horizon: int = 1, trai
             out = out + F.greatest(F.floor((pos - train - r * every) / step) + 1, F.lit(0))
         return out
 
-    wanted = tested.select("symbol", "fold", "refit").distinct()
     start = F.col("fold") * step
-    sums = window_sums(rows, wanted, crossed(start), crossed(start + train + F.col("refit") * every), crossed(F.col("pos")), x)
-    fit = solve_sums(sums, ["symbol", "fold", "refit"], x)
+    sums = window_sums(rows, origins, crossed(start), crossed(start + train + F.col("refit") * every), crossed(F.col("pos")), x)
+    fit = solve_sums(sums, ["symbol", "fold", "refit"], x, variance=model == "Log_HAR")
     out = tested.join(fit, ["symbol", "fold", "refit"])
     value = F.col("const") + F.col("mean_y")
     for c in x:
@@ -311,8 +322,8 @@ def expanding_forecast(df: DataFrame, oos_start, model: str = "HAR", horizon: in
     return out.select("symbol", "date", "refit", "actual", (value + F.col("y") - F.col("d_y")).alias("forecast"))
 
 
-def solve_sums(sums: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y") -> DataFrame:
-    """Coefficients and `sigma2` from sums `rows`, `s_<a>` and `s_<a>_<b>` of shifted columns; the constant is for shifted values."""
+def solve_sums(sums: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y", variance: bool = False) -> DataFrame:
+    """Coefficients, and with `variance` also `sigma2`, from sums `rows`, `s_<a>` and `s_<a>_<b>` of shifted columns; the constant is for shifted values."""
     n = F.col("rows")
     k = len(x)
     cov = lambda a, b: F.col(f"s_{a}_{b}") / n - F.col(f"s_{a}") * F.col(f"s_{b}") / n / n
@@ -344,6 +355,8 @@ def solve_sums(sums: DataFrame, keys: Sequence[str], x: Sequence[str], y: str =
     const = F.col(f"s_{y}") / n
     for c in x:
         const = const - F.col(f"b_{c}") * F.col(f"s_{c}") / n
+    if not variance:
+        return fit.select(*keys, "rows", const.alias("const"), *[f"b_{c}" for c in x])
     left = cov(y, y)
     for i, c in enumerate(x):
         left = left - F.col(f"b_{c}") * F.col(f"c_{i}_y")
