@@ -120,6 +120,22 @@ def test_bpe_equals_the_library(odd):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_long_rows_merge_in_the_order_of_short_ones():
+    """Pairs (A, B) where (AB, A) ranks lower: repeated, in rows of both layouts, against the library's rule."""
+    import tiktoken
+
+    tool = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    library = tiktoken.Encoding("long", pat_str=P.PATTERN, mergeable_ranks=tool.ranks, special_tokens={})._core_bpe
+    far = len(tool.ranks)
+    odd = [(t[:c], t[c:]) for t, r in tool.ranks.items() for c in range(1, len(t)) if t[:c] in tool.ranks and t[c:] in tool.ranks and tool.ranks.get(t + t[:c], far) < r]
+    assert len(odd) > 50
+    rng = random.Random(8)
+    rows = [head + (a + b) * k + tail for a, b in odd for k in (3, 40, 130) for head, tail in ((b"", a), (b, b""))]
+    rows += [bytes(rng.choice(b"abcdeisonrt=-_") for _ in range(rng.randint(257, 2000))) for _ in range(60)]
+    for raw in rows:
+        assert tool.merge_long(tool.byte[np.frombuffer(raw, np.uint8)]).tolist() == library.encode_single_piece(raw) or raw in tool.ranks
+
+
 def test_bpe_query(spark, tmp_path):
     texts = [None, "Hello world", prose(50, 2)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
