@@ -341,15 +341,19 @@ def plain_pii(text):
     return out
 
 
-@pytest.fixture(scope="module")
-def crf():
-    rng = random.Random(9)
+def pii_texts(n, seed):
+    rng = random.Random(seed)
     texts = []
-    for i in range(150):
+    for i in range(n):
         d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))  # noqa: B023, E731
         mark = rng.choice([f"jo.{d(2)}@mail{d(1)}.example.com", f"+1 ({d(3)}) 555-{d(4)}", ".".join(str(rng.randint(0, 255)) for _ in range(4)), f"in {d(4)} about {d(3)}"])
         texts.append(f"{prose(12, i)} {mark} {prose(12, 1000 + i)}")
-    return pii.fit_weights(texts, 600, 6)
+    return texts
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii.fit_weights(pii_texts(150, 9), 600, 6)
 
 
 PII = [
@@ -392,6 +396,39 @@ def test_spelled_out_at_without_digits(spark, crf):
     assert out[0].spans and out[1].spans
 
 
+UNSPACED = {
+    "contact:bob.smith[at]example[dot]com": "bob.smith[at]example[dot]com",
+    '{"mail":"bob.smith[at]example[dot]com"}': "bob.smith[at]example[dot]com",
+    "name,bob.smith(at)example.com,Paris": "bob.smith(at)example.com",
+    '<a href="mailto:bob[at]example.com">': "bob[at]example.com",
+    '{"ip":"10[.]2[.]3[.]4","n":12,"year":2019}': "10[.]2[.]3[.]4",
+    "<td>(555) 123-4567</td><td>17</td>": "(555) 123-4567",
+    "user=ann;card=4111.1111.1111.1111;n=3": "4111.1111.1111.1111",
+    "x" * 300 + ";bob at example.com;" + "y" * 300: "bob at example.com",
+}
+
+
+def test_entities_without_blanks():
+    """Boundaries lie at quotes, tags, colons and separators too, and beside tokens of any length."""
+    cards = [f"{n:015d}{next(x for x in '0123456789' if pii.luhn(f'{n:015d}{x}'))}" for n in range(4 * 10**14, 5 * 10**14, 10**12 + 7)]
+    crf = pii.fit_weights([t for i, card in enumerate(cards) for t in (f"{prose(9, i)} {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} {prose(9, 500 + i)}", *pii_texts(3, i))], 1500)
+    for text, entity in UNSPACED.items():
+        assert [text[a:b] for a, b, _ in pii.added_spans(text, crf, [])] == [entity], text
+    for text in ("price 1,234,567 in 2019-02-03 at 10:30:12 v1.2.3 and id 7", "rows 1-20, pi 3.14159, 100 000 km, [5, 16, 7], meet at 5"):
+        assert pii.added_spans(text, crf, []) == []
+
+
+def test_windows_cover_every_trigger_once():
+    rng = random.Random(12)
+    for _ in range(400):
+        text = "".join(rng.choice(["12", "@", " at x.com", " dot ", "[at]", "word ", " ", ",", ".", "é", "_", "lorem ipsum dolor " * 12]) for _ in range(rng.randint(0, 40)))
+        tokens = [t for w in pii.windows(text) for t in w.tokens]
+        every = [m.span() for m in pii.TOKEN.finditer(text)]
+        assert tokens == sorted(set(tokens)) and set(tokens) <= set(every)
+        hot = {w.tokens[i][0] for w in pii.windows(text) for i in range(len(w.tokens)) if w.hot[i + 1] > w.hot[i]}
+        assert hot == {m.start() for m in pii.TRIGGER.finditer(text)}
+
+
 def labellings(w, at=0):
     """All ways to cut a window from token `at` on: lists of (begin, end, kind)."""
     n = len(w.tokens)
@@ -421,7 +458,8 @@ def labelling_score(w, field, segments):
 
 def test_field_against_all_labellings(crf):
     """The decoded labelling is the best of all; likelihood and gradient are those of the sum over all."""
-    w = pii.windows("or 10 . 2 a")[0]
+    w = pii.windows("or 1@2@3.4 a")[0]
+    assert [w.ending(j)[0] for j in range(1, len(w.tokens) + 1)] == [[], [], [], [1], [], [3], [], [3], []]
     rng = np.random.default_rng(4)
     for field in (crf, pii.Field(rng.normal(size=crf.spans.shape), rng.normal(size=crf.outside.shape), rng.normal(size=crf.moves.shape))):
         every = list(labellings(w))
@@ -429,8 +467,8 @@ def test_field_against_all_labellings(crf):
         found = w.best(field)
         best = every[int(scores.argmax())]
         assert found == [s for s in best if s[2] < pii.OUTSIDE] or math.isclose(scores.max(), labelling_score(w, field, best))
-        gold = {(1, 4): 1}
-        own = [(0, 1, 4), (1, 4, 1), (4, 5, 4)]
+        gold = {(3, 8): 1}
+        own = [(0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 8, 1), (8, 9, 4)]
         value, slope = w.gradient(field, gold)
         assert math.isclose(value, labelling_score(w, field, own) - np.logaddexp.reduce(scores), rel_tol=1e-9)
         for part in range(3):

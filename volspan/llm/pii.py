@@ -3,19 +3,25 @@
 Base kinds (email, ip, card, phone) are found by pattern, leftmost and
 non-overlapping per kind; a match that fails its test is dropped without a retry.
 
-The random field segments the tokens around every trigger (a digit, an at sign, or a
-spelled-out "at"/"dot" sign) into entities of at most `MOST_TOKENS` tokens and
-`MOST_CHARS` characters, and single outside tokens. Features describe whole spans: how
-many digits, which separators, which tests (octets, Luhn, digit counts) the span passes
-once spelled-out signs are undone, and the tokens beside it; outside tokens and
-neighbouring labels have weights of their own. Dynamic programming over segment ends and
+Tokens are runs of digits, runs of letters and single signs, so that entities in JSON, CSV,
+HTML and other texts without blanks have boundaries too. The random field segments the
+tokens around every trigger (a run of digits, an at sign, or a spelled-out "at"/"dot"
+sign) into entities of at most `MOST_TOKENS` tokens and `MOST_CHARS` characters, and single
+outside tokens. A candidate lies within a stretch: between two words, around quotes,
+colons and the like (`breaks`) no entity goes on; it begins with a letter, digit, plus sign or
+parenthesis, and ends with a letter or digit; it holds one at sign, or no word and either four
+runs of digits or, without commas, `FEW_DIGITS` to `MANY_DIGITS` digits. Features describe whole spans: how many digits, which
+separators, which tests (octets, Luhn, digit counts) the span passes once spelled-out signs
+are undone, and what stands beside it; outside tokens and neighbouring labels have weights
+of their own. Dynamic programming over segment ends and
 labels picks boundaries and types together, so its cost is tokens x MOST_TOKENS x labels
 squared. Entities that overlap no base span are added, with the kinds `crf_email` and so on.
 
 The weights are fitted here, by gradient steps on the segmentation likelihood, on
 windows around base matches of a bounded sample of rows, each also in disguised
-forms (signs spelled out, plus sign left out, other separators), and on windows around
-other triggers.
+forms (signs spelled out, plus sign left out, other separators), between blanks and inside
+quotes, tags, brackets and separated fields, and on windows around near misses (dates, amounts,
+versions) and other triggers.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results;
 texts are read whole (the windows of a text are disjoint and cover every trigger);
@@ -27,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import cached_property
+from itertools import accumulate, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -48,13 +55,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Longest entity in tokens and in characters, and tokens of context on both sides of a trigger.
-MOST_TOKENS, MOST_CHARS = 12, 120
-CONTEXT = 3
+MOST_TOKENS, MOST_CHARS = 24, 120
+CONTEXT = 8
+#: Fewest and most digits of an entity without an at sign; an address may have fewer.
+FEW_DIGITS, MANY_DIGITS = 8, 19
 #: Windows that fit the weights: at most so many.
-FIT_WINDOWS = 800
+FIT_WINDOWS = 1000
 
-TOKEN = re.compile(r"[^\s]+")
-TRIGGER = re.compile(r"[0-9@]|(?i:[\[({<](?:at|dot)[\])}>])|(?i:(?<!\S)dot(?!\S))|(?i:(?<!\S)at(?=\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}))")
+TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|[^\w\s]|_")
+#: Each match begins where a token does.
+TRIGGER = re.compile(r"[0-9]++|@|(?i:[\[({<](?:at|dot)[\])}>])|(?i:(?<!\S)dot(?!\S))|(?i:(?<!\S)at(?=\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}))")
 
 
 def luhn(digits: str) -> bool:
@@ -103,36 +113,43 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # whole-span features
 
-_PUNCT = ".,;:!?\"'#*%&$|<>"
+_GLUE = frozenset("._%+-@")
 FEATURES = (
     "one", "tokens", "email_shape", "email_spelled", "at_count1", "host_tail", "local_ok", "ip_shape", "ip_spelled", "octets",
-    "digits16", "luhn", "digits8_15", "digits_only", "plus", "paren", "grouped3", "grouped4", "letters", "other_sign", "no_digit",
-    "edge_plain", "edge_letter", "before_digit", "after_digit", "short_digits", "long_digits", "sign_edge",
+    "digits16", "luhn", "digits8_9", "digits10_15", "digits_only", "plus", "paren", "grouped3", "grouped4", "letters", "other_sign", "no_digit",
+    "glued_before", "glued_after", "edge_letter", "before_digit", "after_digit", "short_digits", "long_digits", "sign_edge",
 )
 NF = len(FEATURES)
+_NO_DIGITS = str.maketrans("", "", "0123456789")
+_GROUPS, _OCTETS = re.compile(r"[0-9]+"), re.compile(r"\s*[.,]\s*")
 _AT_WORD = re.compile(r"(?i)\s*(?:[\[({<]\s*at\s*[\])}>]|\bat\b)\s*")
 _DOT_WORD = re.compile(r"(?i)\s*(?:[\[({<]\s*dot\s*[\])}>]|\bdot\b)\s*")
 
 
 def span_features(s: str, tokens: int, before: str, after: str) -> np.ndarray:
-    """The features of one candidate span; `before` and `after` are its neighbour tokens."""
-    core = s.strip(_PUNCT)
-    signs = _DOT_WORD.sub(".", _AT_WORD.sub("@", core))
-    spelled = signs != core
-    d = digits_of(signs)
+    """The features of one candidate span; `before` and `after` are the two characters on its sides."""
+    rest = s.translate(_NO_DIGITS)
+    if any(c.isalpha() for c in rest):
+        signs = _DOT_WORD.sub(".", _AT_WORD.sub("@", s))
+        rest = signs.translate(_NO_DIGITS)
+    else:
+        signs = s
+    spelled = signs != s
+    groups = _GROUPS.findall(signs)
+    d = "".join(groups)
     n = len(d)
-    rest = re.sub(r"[0-9]", "", signs)
-    octets = re.split(r"\s*[.,]\s*", signs.replace("[.]", "."))
+    four = len(groups) == 4 and n <= 12 and all(int(g) <= 255 for g in groups)
+    octets = _OCTETS.split(signs.replace("[.]", ".")) if four else ()
     ip = len(octets) == 4 and all(o.isascii() and o.isdigit() and len(o) <= 3 and int(o) <= 255 for o in octets)
-    email = re.fullmatch(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+)+", signs) is not None
-    groups = re.findall(r"[0-9]+", signs)
+    email = "@" in signs and re.fullmatch(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+)+", signs) is not None
     return np.array(
         [
             1.0, tokens / MOST_TOKENS, email and not spelled, email and spelled, signs.count("@") == 1, re.search(r"\.[a-z]{2,6}$", signs) is not None,
-            re.match(r"[A-Za-z0-9._%+-]+\s?@", signs) is not None, ip and not spelled, ip and spelled, sum(map(len, groups)) <= 12 and len(groups) == 4 and all(int(g) <= 255 for g in groups),
-            16 <= n <= 19, 16 <= n <= 19 and luhn(d), 8 <= n <= 15, bool(n) and not rest, signs.startswith("+"), "(" in signs and ")" in signs,
+            re.match(r"[A-Za-z0-9._%+-]+\s?@", signs) is not None, ip and not spelled, ip and spelled, four,
+            16 <= n <= 19, 16 <= n <= 19 and luhn(d), 8 <= n <= 9, 10 <= n <= 15, bool(n) and not rest, signs.startswith("+"), "(" in signs and ")" in signs,
             len(groups) >= 3 and len(groups[-1]) == 4 and len(groups[-2]) == 3, len(groups) == 4 and all(len(g) == 4 for g in groups),
-            any(c.isalpha() for c in rest), any(c in "=/\\_#*$|<>" for c in rest), n == 0, core == s, core[:1].isalpha() and core[-1:].isalpha(),
+            any(c.isalpha() for c in rest), any(c in "=/\\_#*$|<>" for c in rest), n == 0,
+            before[-1:].isalnum() or before[-1:] in _GLUE, after[:1].isalnum() or after[:1] in _GLUE and after[1:].isalnum(), s[:1].isalpha() and s[-1:].isalpha(),
             any("0" <= c <= "9" for c in before), any("0" <= c <= "9" for c in after), 0 < n < 7, n > 19, signs[:1] in (".", "@") or signs[-1:] in (".", "@"),
         ],
         np.float32,
@@ -168,20 +185,62 @@ def logsum(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
+SPELLED = frozenset(("at", "dot"))
+_STOPS = frozenset("\"'`:;=&?!*|$")
+_OPENING, _CLOSING = frozenset("<[{"), frozenset(">]}")
+
+
+def breaks(words: Sequence[str], spans: Sequence[tuple[int, int]]) -> list[bool]:
+    """Before which tokens no entity goes on: between words with a blank between them, unless one is a
+    spelled-out sign, and around stops. Brackets stop unless they hold a sign: `[at]`, `<dot>`, `[.]`."""
+    n = len(words)
+    spelled = [w.lower() in SPELLED or w in (".", "@") for w in words]
+    stop = [
+        w in _STOPS or w in _OPENING and not (i + 1 < n and spelled[i + 1]) or w in _CLOSING and not (i and spelled[i - 1])
+        for i, w in enumerate(words)
+    ]
+    plain = [w[0].isalnum() for w in words]
+    out = [True]
+    for i in range(1, n):
+        apart = spans[i][0] > spans[i - 1][1] and plain[i] and plain[i - 1] and not (spelled[i] or spelled[i - 1])
+        out.append(stop[i] or stop[i - 1] or apart and not (words[i][0] in "0123456789" and words[i - 1][0] in "0123456789"))
+    return out
+
+
 class Window:
     """The tokens around triggers. A labelling cuts them into entities and single outside tokens."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]], triggers: Sequence[bool]):
         self.text, self.tokens = text, tokens
-        self.word = [text[a:b] if b - a <= MOST_CHARS else text[a : a + MOST_CHARS] for a, b in tokens]
-        self.hot = np.concatenate([[0], np.cumsum(triggers)])
+        self.word = words = [text[a : min(b, a + MOST_CHARS)] for a, b in tokens]
+        self.first = first = []  # where the stretch of each token begins
+        for i, new in enumerate(breaks(words, tokens)):
+            first.append(i if new else first[-1])
+        digits = [b - a if w[0] in "0123456789" else 0 for w, (a, b) in zip(words, tokens, strict=True)]
+        self.opens = [w.isascii() and (w.isalnum() or w in "+(") for w in words]
+        self.closes = [w.isascii() and w.isalnum() for w in words]
+        sums = (triggers, digits, map(bool, digits), [w == "," for w in words], [w == "@" or w.lower() == "at" for w in words], [w[0].isalpha() and w.lower() not in SPELLED for w in words])
+        self.hot, self.digits, self.runs, self.commas, self.ats, self.letters = ([0, *accumulate(map(int, x))] for x in sums)
+
+    def candidate(self, i: int, j: int) -> bool:
+        """Whether tokens `i` to `j` can be an entity; both lie in one stretch."""
+        if not self.opens[i] or self.hot[j] == self.hot[i] or self.tokens[j - 1][1] - self.tokens[i][0] > MOST_CHARS:
+            return False
+        if self.ats[j] > self.ats[i]:
+            return self.ats[j] == self.ats[i] + 1
+        if self.letters[j] > self.letters[i]:
+            return False
+        n = self.digits[j] - self.digits[i]
+        return self.runs[j] == self.runs[i] + 4 and n <= MANY_DIGITS or FEW_DIGITS <= n <= MANY_DIGITS and self.commas[j] == self.commas[i]
 
     def ending(self, j: int) -> tuple[list[int], np.ndarray]:
         """Where the candidate entities that end before token `j` begin, and their features."""
-        last = self.tokens[j - 1][1]
-        starts = [i for i in range(max(0, j - MOST_TOKENS), j) if self.hot[j] > self.hot[i] and last - self.tokens[i][0] <= MOST_CHARS]
-        after = self.word[j] if j < len(self.tokens) else ""
-        made = [span_features(self.text[self.tokens[i][0] : last], j - i, self.word[i - 1] if i else "", after) for i in starts]
+        last, text = self.tokens[j - 1][1], self.text
+        starts = [i for i in range(max(self.first[j - 1], j - MOST_TOKENS), j) if self.candidate(i, j)] if self.closes[j - 1] else []
+        made = []
+        for i in starts:
+            a = self.tokens[i][0]
+            made.append(span_features(text[a:last], j - i, text[max(0, a - 2) : a], text[last : last + 2]))
         return starts, np.stack(made) if made else np.zeros((0, NF), np.float32)
 
     @cached_property
@@ -267,62 +326,39 @@ class Window:
 
 
 def windows(text: str) -> list[Window]:
-    """Disjoint windows that cover every trigger with its context."""
-    at = sorted({m.start() for m in TRIGGER.finditer(text)})
-    if not at:
-        return []
-    # tokens are looked up only near the triggers, so that long texts cost what their triggers cost
+    """Disjoint windows that cover every trigger with its context; tokens are looked up only near triggers."""
     out: list[Window] = []
     held: list[tuple[int, int]] = []
     hot: list[bool] = []
-    following = 0
 
     def close() -> None:
-        if held:
-            out.append(Window(text, list(held), list(hot)))
+        held.extend(m.span() for m in islice(TOKEN.finditer(text, held[-1][1]), CONTEXT))
+        out.append(Window(text, list(held), hot + [False] * (len(held) - len(hot))))
         held.clear()
         hot.clear()
 
-    for t in at:
-        if held and t < held[-1][1]:
-            for k in range(len(held) - 1, -1, -1):
-                if held[k][0] <= t < held[k][1]:
-                    if not hot[k]:
-                        hot[k], following = True, CONTEXT - (len(held) - 1 - k)
-                    break
-        else:
-            start = t
-            while start and not text[start - 1].isspace():
-                start -= 1
-            left = [(m.start(), m.end()) for m in TOKEN.finditer(text, held[-1][1] if held else max(0, start - 200), start)]
-            if not held and start > 200 and left and not text[max(0, start - 201)].isspace():
-                left = left[1:]
-            if held and len(left) > MOST_TOKENS + following:
-                for s in left[:following]:
-                    held.append(s)
-                    hot.append(False)
+    for trigger in TRIGGER.finditer(text):
+        t = trigger.start()
+        if held:
+            left = [m.span() for m in islice(TOKEN.finditer(text, held[-1][1], t), MOST_TOKENS + 1)]
+            if len(left) > MOST_TOKENS:  # more than twice the context, so the windows stay disjoint
                 close()
-                left = left[following:]
-            for s in left[-CONTEXT:] if not held else left:
-                held.append(s)
-                hot.append(False)
-            m = TOKEN.match(text, start)
-            held.append(m.span())
-            hot.append(True)
-            following = CONTEXT
-    tail = TOKEN.finditer(text, held[-1][1])
-    for _ in range(following):
-        if (m := next(tail, None)) is None:
-            break
-        held.append(m.span())
-        hot.append(False)
-    close()
+        if not held:
+            since = max(0, t - 2 * MOST_CHARS)
+            left = [m.span() for m in TOKEN.finditer(text, since, t)]
+            if since and left and left[0][0] == since:  # it may begin earlier
+                left = left[1:]
+            left = left[-CONTEXT:]
+        held += [*left, TOKEN.match(text, t).span()]
+        hot += [False] * len(left) + [True]
+    if held:
+        close()
     return out
 
 
 def disguises(kind: str, s: str) -> list[str]:
     if kind == "email":
-        return [s.replace("@", " at ").replace(".", " dot "), s.replace("@", " [at] ").replace(".", "[dot]"), s.replace("@", " @ ")]
+        return [s.replace("@", " at ").replace(".", " dot "), s.replace("@", " [at] ").replace(".", "[dot]"), s.replace("@", "[at]"), s.replace("@", " @ ")]
     if kind == "ip":
         return [s.replace(".", " dot "), s.replace(".", "[.]"), s.replace(".", " . ")]
     if kind == "card":
@@ -330,9 +366,25 @@ def disguises(kind: str, s: str) -> list[str]:
     return [s.lstrip("+"), s.lstrip("+").replace(" ", "."), "00" + s.lstrip("+")]
 
 
+#: What a match is set into besides its own words: quotes, tags, brackets, separated fields.
+SETTINGS = ('"{}"', "={};", ">{}<", ",{},", "({})", ":{}", "'{}',", "[{}]")
+
+
+def ordinary(rng: np.random.Generator) -> str:
+    """A near miss of the kinds: dates, times, amounts, versions, lists, "at" and "dot" as words."""
+    n = lambda most: int(rng.integers(1, most))
+    forms = (
+        f"{1900 + n(130)}-{n(13):02}-{n(29):02} at {n(24)}:{n(60):02}", f"{n(29)}.{n(13)}.{1900 + n(130)}", f"{n(24):02}:{n(60):02}:{n(60):02}",
+        f"{n(900)},{n(1000):03},{n(1000):03}", f"${n(900)},{n(1000):03}.{n(100):02}", f"v{n(9)}.{n(20)}.{n(20)}", f"[{n(9)}, {n(99)}, {n(99)}]", f"[{n(9)},{n(99)},{n(99)}]",
+        f"meet at {n(12)} there", "look at it", f"at {n(90)} . {n(9)} percent", f"number {n(10**8)}", f"{n(99)} {n(99)} {n(99)}", f"{n(29)}/{n(13)}/{1900 + n(130)}",
+    )
+    return forms[int(rng.integers(len(forms)))]
+
+
 def training_windows(texts: Sequence[str], most: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Snippets around base matches, plain and disguised, and around other triggers; with gold spans."""
+    """Snippets around base matches, plain and disguised, around near misses and other triggers; with gold spans."""
     out: list[tuple[str, list[tuple[int, int, int]]]] = []
+    rng = np.random.Generator(np.random.PCG64(7))
     for text in texts:
         spans = base_spans(text)
         taken = [s for k in KINDS for s in spans[k]]
@@ -345,8 +397,11 @@ def training_windows(texts: Sequence[str], most: int) -> list[tuple[str, list[tu
                 if glue is None or TRIGGER.search(left + right):
                     continue
                 for s in (text[a:b], *disguises(kind, text[a:b])):
-                    head = left + " " if left else ""
-                    out.append((f"{head}{s} {right}", [(len(head), len(head) + len(s), k)]))
+                    for setting in ("{}", SETTINGS[len(out) // 2 % len(SETTINGS)]):
+                        before, behind = setting.split("{}")
+                        head = f"{left} {before}" if left else before
+                        out.append((f"{head}{s}{behind} {right}", [(len(head), len(head) + len(s), k)]))
+                out += [(f"{left} {ordinary(rng)} {right}", []) for _ in range(3)]
         for m in list(TRIGGER.finditer(text))[:3]:
             if not any(x <= m.start() < y for x, y in taken):
                 a, b = max(0, m.start() - 40), m.end() + 40
@@ -366,8 +421,8 @@ def fit_weights(texts: Sequence[str], most: int = FIT_WINDOWS, rounds: int = 4)
         for w in windows(text):
             found = {}
             for a, b, k in gold:
-                i = next((i for i, t in enumerate(w.tokens) if t[0] <= a < t[1]), None)
-                j = next((j for j, t in enumerate(w.tokens) if t[0] < b <= t[1]), None)
+                i = next((i for i, t in enumerate(w.tokens) if t[0] == a), None)
+                j = next((j for j, t in enumerate(w.tokens) if t[1] == b), None)
                 if i is not None and j is not None and i in w.ending(j + 1)[0]:
                     found[(i, j + 1)] = k
             if not gold or found:
@@ -396,11 +451,7 @@ def added_spans(text: str, weights: Field, taken: Sequence[tuple[int, int]]) ->
     for w in windows(text):
         for i, j, k in w.best(weights):
             a, b = w.tokens[i][0], w.tokens[j - 1][1]
-            while b > a and text[b - 1] in _PUNCT:
-                b -= 1
-            while a < b and text[a] in _PUNCT:
-                a += 1
-            if b > a and not any(x < b and a < y for x, y in taken):
+            if not any(x < b and a < y for x, y in taken):
                 out.append((a, b, k))
     return out
 
