@@ -103,6 +103,22 @@ def test_compression_bands(spark):
         assert reasons["incompressible"] >= 3 and reasons["repetitive"] >= 1 and reasons["chunks outside"] + reasons["repetitive"] >= 4, reasons
 
 
+def test_bands_come_from_all_good_texts(spark):
+    """60,000 good texts of one length class: quantiles and margin are those of all of them; others have no say."""
+    text = lambda i: " ".join(f"{i * 7919 * k % 1_000_003:06d}" for k in range(1, 26))
+    n, press = 60_000, zstandard.ZstdCompressor(level=3).compress
+    texts = F.concat_ws(" ", *[F.lpad((F.col("doc_id") * 7919 * k % 1_000_003).cast("string"), 6, "0") for k in range(1, 26)])
+    df = spark.range(n + 500).withColumnRenamed("id", "doc_id").withColumn("text", F.when(F.col("doc_id") < n, texts).otherwise(F.repeat(F.lit("again "), 29)))
+    df = df.unionByName(df.select(F.lit(None).cast("long").alias("doc_id"), F.lit("no id " * 29).alias("text")).limit(40))
+    labels = spark.range(n + 500).select(F.col("id").alias("doc_id"), (F.col("id") < n).cast("int").alias("quality"))
+    whole, chunks = quality_rules.fit_bands(df, labels.unionByName(labels))
+    ratios = np.round([len(press(text(i).encode())) / 174 for i in range(n)], 4)
+    margin = 0.02 + 0.5 / math.sqrt(n)
+    low, high = quality_rules.band(174, whole)
+    assert math.isclose(low, np.quantile(ratios, 0.001) * (1 - margin)) and math.isclose(high, np.quantile(ratios, 0.999) * (1 + margin))
+    assert chunks == quality_rules.CHUNK_BANDS
+
+
 # ---- byte-level BPE
 
 

@@ -34,8 +34,8 @@ CHUNK_BANDS = ((None, 0.25, 0.64),)
 CHUNK_SHARE = 0.25
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
-#: Bound on the expected number of good rows that fit the bands, and the rows that a band needs at least.
-FIT_ROWS, FIT_LEAST = 50_000, 30
+#: Rows that a band needs at least.
+FIT_LEAST = 30
 
 RESULT = StructType(
     [StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -91,27 +91,24 @@ def fit_bands(
     label_id: str = "doc_id",
     good_col: str = "quality",
     chunk_bytes: int = CHUNK_BYTES,
-    fit_rows: int = FIT_ROWS,
     min_words: int = 20,
 ) -> tuple[tuple, tuple]:
-    """Document and chunk bands from the texts labelled good (at most about `fit_rows`, picked by a hash of the id).
+    """Document and chunk bands from all texts labelled good.
 
     A band reaches from the 0.1 % to the 99.9 % quantile of the ratios of its length class, widened by a
     share of 0.02 + 0.5 / sqrt(rows): few rows prove little. A class of fewer than `FIT_LEAST` rows keeps
-    its default band. At most a few dozen quantiles reach the driver.
+    its default band. All texts are compressed where they lie, and only their ratios meet the labels: no
+    text is shuffled, and no list of ids is held whole. At most a few dozen quantiles reach the driver.
     """
     good = labels.where(F.col(quoted(good_col)) == 1).select(F.col(quoted(label_id)).alias("good id")).where("`good id` is not null").distinct()
-    share = min(1.0, fit_rows / max(1, good.count()))
-    good = good.where(F.pmod(F.xxhash64("good id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(good), rows.id == F.col("good id")).select("text")
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).where("id is not null")
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
-            for part in slices(batch, 0):
-                kinds, ratios = [], []
-                for text in part.column(0).to_pylist():
+            for part in slices(batch, 1):
+                at, kinds, ratios = [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
                     raw = (text or "").encode()
                     if len(raw.split(None, min_words)) < min_words:
                         continue
@@ -121,11 +118,14 @@ def fit_bands(
                     if len(chunks) > 1:
                         kinds += [-1] * len(chunks)
                         ratios += [r for _, r in chunks]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(ratios, pa.float64())], names=["kind", "ratio"])
+                    at += [i] * (len(kinds) - len(at))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.int64()), pa.array(ratios, pa.float64())], names=["id", "kind", "ratio"])
 
     # four digits: an exact quantile of a few thousand distinct values, however long the texts are
     q = F.percentile(F.round("ratio", 4), F.array(F.lit(0.001), F.lit(0.999)))
-    found = {r.kind: (r.n, *r.q) for r in rows.mapInArrow(run, "kind long, ratio double").groupBy("kind").agg(F.count("*").alias("n"), q.alias("q")).where(F.col("n") >= FIT_LEAST).collect()}
+    measured = rows.mapInArrow(run, StructType([rows.schema["id"], StructField("kind", LongType()), StructField("ratio", DoubleType())]))
+    measured = measured.join(good, measured.id == F.col("good id"), "left_semi")
+    found = {r.kind: (r.n, *r.q) for r in measured.groupBy("kind").agg(F.count("*").alias("n"), q.alias("q")).where(F.col("n") >= FIT_LEAST).collect()}
 
     def widened(n: int, low: float, high: float) -> tuple[float, float]:
         margin = 0.02 + 0.5 / math.sqrt(n)
