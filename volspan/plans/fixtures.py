@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspan.operators.features import position, rolling_mean, target
+from volspan.session import new_path
 from volspan.sources import panel as panels
 from volspan.sources.ticks import TICK_ORDER, lineitem_ticks, realized_measures
 
 #: Rolling means that stand in for models: name -> rows; all start at row 66.
 MODELS = {"last": 1, "roll_22": 22, "roll_5": 5, "roll_66": 66}
 WARM_UP = 66
+#: Suppliers up to which they are broadcast to the order lines; beyond, Spark chooses.
+BROADCAST_ROWS = 1_000_000
 HORIZONS = (1, 5)
 
 
@@ -19,18 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written_panel(ticks: DataFrame) -> DataFrame:
+    """The panel of ticks, written once: queries read it several times, and each reading would shuffle and sort all ticks anew."""
+    panel = panels.with_jump(panels.with_log(realized_measures(ticks, TICK_ORDER)))
+    path = new_path(ticks.sparkSession, "measures")
+    panel.write.parquet(path)
+    return ticks.sparkSession.read.schema(panel.schema).parquet(path)
+
+
 def panel3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One symbol per return flag."""
-    return panels.with_jump(panels.with_log(realized_measures(lineitem_ticks(table(spark, sf_dir, "lineitem"), F.col("l_returnflag")), TICK_ORDER)))
+    return written_panel(lineitem_ticks(table(spark, sf_dir, "lineitem"), F.col("l_returnflag")))
 
 
 def panel5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One symbol per region of the supplier."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    few = suppliers.count() <= BROADCAST_ROWS
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
-    lines = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return panels.with_jump(panels.with_log(realized_measures(lineitem_ticks(lines, F.col("r_name")), TICK_ORDER)))
+    suppliers = suppliers.join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+    lines = lines.join(F.broadcast(suppliers) if few else suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return written_panel(lineitem_ticks(lines, F.col("r_name")))
 
 
 def panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
