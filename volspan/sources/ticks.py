@@ -14,8 +14,8 @@ def realized_measures(ticks: DataFrame, order: list[str]) -> DataFrame:
     night comes from the daily last prices, which are few, and is added to the day's sums.
     """
     by_day = Window.partitionBy("symbol", "date").orderBy(*order)
-    r = ticks.withColumns({"r": F.col("p") - F.lag("p").over(by_day), "place": F.row_number().over(by_day)})
-    r = r.withColumn("before", F.lag(F.abs("r")).over(by_day))
+    last, before = F.lag("p").over(by_day), F.lag("p", 2).over(by_day)  # one pass of the window for both returns
+    r = ticks.withColumns({"r": F.col("p") - last, "before": F.abs(last - before), "place": F.row_number().over(by_day)})
     square = F.col("r") * F.col("r")
     day = r.groupBy("symbol", "date").agg(
         F.min_by("p", "place").alias("first"),
