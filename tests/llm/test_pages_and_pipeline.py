@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import io
+import math
 import random
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 import zstandard
@@ -167,6 +169,22 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     assert all(r.round_trip for r in docs.collect())
 
 
+def test_quality_stage_judges_by_all_good_texts(spark, tmp_path):
+    """60,000 good texts, of which 100 compress far better; these are among those that a pick of 50,000 by a hash of the id leaves out."""
+    n, press = 60_000, zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
+    left_out = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= int(50_000 / n * (1 << 30))
+    rare = {r.id for r in spark.range(n).where(left_out).orderBy("id").limit(100).collect()}
+    plain = " ".join("00000" + c for c in "1000000001011001110111110")  # no eight words twice
+    texts = [plain if i in rare else " ".join(f"{i * 7919 * k % 1_000_003:06d}" for k in range(1, 26)) for i in range(n)] + [" ".join(["again"] * 29)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.select("*", F.lit("x").alias("lang"), F.lit("y").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    ratios = np.array([len(press(t.encode())) / 174 for t in texts])
+    low, high = np.quantile(np.round(ratios[:n], 4), [0.001, 0.999]) * (1 + (0.02 + 0.5 / math.sqrt(n)) * np.array([-1, 1]))
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert kept == set(np.flatnonzero((ratios >= low) & (ratios <= high)).tolist()) - {n} and rare < kept
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
